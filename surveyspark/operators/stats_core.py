@@ -4,11 +4,12 @@ Everything starts from the *value-count* table ``(keys..., variable, value, n)``
 rows are collapsed to one row per distinct value with a map-side partial
 aggregate, so a hot value (a third of all rows) is one row, never a hot task.
 
-Exact quantiles use a two-level prefix sum over that table: distinct values are
-cut into ordered buckets by approximate cut points, bucket totals are summed in
-order (a tiny table), and each bucket ranks its own values. No variable is ever
-sorted inside a single task, and the percentile's value map is never built for
-an unbounded group.
+Exact quantiles: groups whose distinct-value count is checked to be bounded
+use ``percentile(value, p, n)`` (a bounded value map); larger groups use a
+two-level prefix sum: distinct values are cut into ordered buckets by
+approximate cut points, bucket totals are summed in order (a tiny table), and
+each bucket ranks its own values. No group is ever sorted inside one task and
+no unbounded value map is built.
 """
 
 from __future__ import annotations
@@ -78,14 +79,38 @@ def mode_from_counts(counts: DataFrame, keys: Sequence[str] = (), var: str = VAR
 
 
 def exact_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = (),
-                    var: str = VAR, val: str = VAL, buckets: int = 256,
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    var: str = VAR, val: str = VAL, buckets: int = 128,
+                    names: Sequence[str] | None = None, max_distinct: int = 500_000) -> DataFrame:
     """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``) from value counts.
 
     Returns one row per (keys..., variable) with one column per probability.
+
+    The value-count table is checkpointed (reliable, in the cluster's
+    checkpoint folder) and its per-group distinct count checked: groups with
+    at most ``max_distinct`` values use Spark's ``percentile`` with a frequency
+    column (its value map is then bounded); larger groups use the bucketed
+    prefix-sum plan, which never holds a whole group in one task.
     """
+    from surveyspark.session import ensure_checkpoint_dir
+
     gk = [*keys, var]
     names = list(names) if names else [f"q{int(round(p * 1000)):04d}" for p in probs]
+    ensure_checkpoint_dir(counts.sparkSession)
+    counts = counts.checkpoint(eager=True)
+    big = counts.groupBy(*gk).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > max_distinct).select(*gk)
+    n_big = big.count()
+    parr = F.array(*[F.lit(float(p)) for p in probs])
+    small = counts if n_big == 0 else counts.join(F.broadcast(big), gk, "left_anti")
+    res_small = small.groupBy(*gk).agg(F.percentile(F.col(val), parr, F.col("n")).alias("_qs")).select(
+        *gk, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
+    if n_big == 0:
+        return res_small
+    res_big = _bucketed_quantiles(counts.join(F.broadcast(big), gk, "left_semi"), probs, gk, val, buckets, names)
+    return res_small.unionByName(res_big)
+
+
+def _bucketed_quantiles(counts: DataFrame, probs, gk, val, buckets, names) -> DataFrame:
+    """Exact quantiles by a two-level prefix sum over ordered buckets of distinct values."""
     # 1. ordered bucket cut points from a bounded-memory sketch over distinct values
     fr = [i / buckets for i in range(1, buckets)]
     cuts = counts.groupBy(*gk).agg(

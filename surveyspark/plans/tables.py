@@ -66,3 +66,77 @@ def supplier_region(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(reg, F.col("n_regionkey") == F.col("r_regionkey"))
             .select("cluster", F.col("s_nationkey").alias("region_code"),
                     F.col("n_name").alias("region_name"), "r_name"))
+
+
+# --- survey-shaped scoring records derived from lineitem ----------------------
+# Each survey field is a deterministic function of real lineitem columns, so the
+# record set grows with the table. (element lists = the survey's code sets)
+_WATER = [11, 12, 13, 21, 41, 43, 61]
+_TOILET = [11, 12, 21, 22, 31]
+_FUEL = [1, 2, 7, 8, 95]
+
+SURVEY_FIELDS_SQL = {
+    "ageenfant": "CAST(l_quantity AS INTEGER) + 9",
+    "sexeenfant": "CAST(1 + l_linenumber % 2 AS INTEGER)",
+    "milieuderesidence": "CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END",
+    "indicederichesse": "CAST(1 + CAST(round(l_discount * 100) AS INTEGER) % 5 AS INTEGER)",
+    "niveauinstructionmere": "CAST(CAST(round(l_tax * 100) AS INTEGER) % 4 AS INTEGER)",
+    "rangdenaissance": "l_linenumber",
+    "hemoglobinemere": "round(8.0 + l_extendedprice / 15000.0, 1)",
+    "intervalleintergenesique": "CAST(l_partkey % 48 AS INTEGER)",
+    "dureeallaitement": "CAST(l_orderkey % 30 AS INTEGER)",
+    "nombreenfantsnesvivants": "CAST(1 + l_suppkey % 8 AS INTEGER)",
+    "nombrevisitesprenatales": "CAST(l_partkey % 9 AS INTEGER)",
+    "nombremembresmenage": "CAST(l_suppkey % 6 AS INTEGER)",
+    "imcmere": "round(15.0 + l_extendedprice / 4000.0, 1)",
+    "region": "CAST(1 + l_suppkey % 12 AS INTEGER)",
+    "vaccine_status": "CAST(l_orderkey % 2 AS INTEGER)",
+    "vaccinbcg": "CAST(l_partkey % 2 AS INTEGER)",
+    "diarrhee": "CAST(l_linenumber % 3 AS INTEGER)",
+    "prisededecisionmere": "CAST(1 + l_orderkey % 4 AS INTEGER)",
+    "statutmatrimonialmere": "CAST(l_partkey % 6 AS INTEGER)",
+    "tailleanaissance": "CAST(1 + l_suppkey % 5 AS INTEGER)",
+    "sourceeaupotable": f"CAST(element_at(array({', '.join(map(str, _WATER))}), CAST(l_partkey % 7 AS INTEGER) + 1) AS INTEGER)",
+    "typeinstallationssanitaires": f"CAST(element_at(array({', '.join(map(str, _TOILET))}), CAST(l_orderkey % 5 AS INTEGER) + 1) AS INTEGER)",
+    "typecombustiblecuisine": f"CAST(element_at(array({', '.join(map(str, _FUEL))}), CAST(l_suppkey % 5 AS INTEGER) + 1) AS INTEGER)",
+    "regionecologique": "CAST(1 + l_partkey % 4 AS INTEGER)",
+    "vaccinpolio0": "CAST(l_orderkey % 3 AS INTEGER) % 2",
+    "vaccinpolio1": "CAST(l_partkey % 3 AS INTEGER) % 2",
+    "vaccinpolio2": "CAST(l_suppkey % 3 AS INTEGER) % 2",
+    "vaccinpolio3": "CAST(l_orderkey % 5 AS INTEGER) % 2",
+    "vaccindtp1": "CAST(l_partkey % 5 AS INTEGER) % 2",
+    "vaccindtp2": "CAST(l_suppkey % 7 AS INTEGER) % 2",
+    "vaccindtp3": "CAST(l_orderkey % 7 AS INTEGER) % 2",
+    "vaccinrougeole1": "CAST(l_partkey % 11 AS INTEGER) % 2",
+    "agemere": "CAST(15 + l_partkey % 35 AS INTEGER)",
+}
+
+SURVEY_FIELDS = list(SURVEY_FIELDS_SQL)
+
+
+def _duck(expr: str) -> str:
+    """Spark SQL -> DuckDB for the few functions that differ in name."""
+    import re
+    return re.sub(r"element_at\(array\(([^)]*)\), ([^)]*\)) \+ 1\)", r"[\1][\2 + 1]", expr)
+
+
+def survey_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survey-shaped records (33 scoring fields + roles) from lineitem."""
+    li = read(spark, sf_dir, "lineitem")
+    return li.selectExpr(
+        "l_orderkey AS household", "l_suppkey AS cluster", "l_linenumber", "l_quantity AS w",
+        "l_discount", "l_tax",
+        "CAST(l_discount >= 0.08 AS INT) AS y1", "CAST(l_tax >= 0.07 AS INT) AS y2",
+        "CAST(l_quantity <= 5 AS INT) AS y3",
+        "CAST((l_discount >= 0.08) OR (l_tax >= 0.07) OR (l_quantity <= 5) AS INT) AS y",
+        f"{SCORE_SQL} AS p",
+        *[f"{e} AS {k}" for k, e in SURVEY_FIELDS_SQL.items()])
+
+
+SURVEY_SQL = "(SELECT l_orderkey AS household, l_suppkey AS cluster, l_linenumber, l_quantity AS w, " \
+    "l_discount, l_tax, " \
+    "CAST(l_discount >= 0.08 AS INTEGER) AS y1, CAST(l_tax >= 0.07 AS INTEGER) AS y2, " \
+    "CAST(l_quantity <= 5 AS INTEGER) AS y3, " \
+    "CAST((l_discount >= 0.08) OR (l_tax >= 0.07) OR (l_quantity <= 5) AS INTEGER) AS y, " \
+    f"{SCORE_SQL} AS p, " + ", ".join(f"{_duck(e)} AS {k}" for k, e in SURVEY_FIELDS_SQL.items()) + \
+    " FROM lineitem)"
