@@ -97,7 +97,7 @@ def share(df: DataFrame, y: str) -> DataFrame:
     """AGG-18: two-part split (risk / normal) with shares."""
     tot = df.groupBy(F.when(F.col(y) == 1, "risk").otherwise("normal").alias("part")).agg(
         F.count(F.lit(1)).alias("n"))
-    return tot.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return share_of_total(tot, "n", [], out="share").withColumn("share", F.col("share") / 100.0)
 
 
 def column_widths(df: DataFrame, cols: Sequence[str] | None = None, pad: int = 3, cap: int = 65) -> DataFrame:
@@ -131,6 +131,11 @@ def share_of_total(df: DataFrame, n: str, by: Sequence[str], out: str = "pct") -
     return j.withColumn(out, F.col(n) * 100.0 / F.col("__tot")).drop("__tot")
 
 
+def ordered(df: DataFrame, order: Sequence) -> DataFrame:
+    """TOP-5: frequency-descending / rate-ascending order with an explicit tie-break (range-partitioned sort)."""
+    return df.orderBy(*order)
+
+
 def best_model(metrics: DataFrame, col: str, ordinal: str = "ordinal") -> DataFrame:
     """TOP-1: the row with the largest metric; the first (lowest ordinal) wins ties."""
     return metrics.orderBy(F.col(col).desc(), F.col(ordinal).asc()).limit(1)

@@ -34,10 +34,12 @@ def bias_corrected(n: Column, g1: Column, g2: Column):
 
 
 def dagostino_p(n: Column, g1: Column, g2: Column) -> Column:
-    """STA-1: D'Agostino-Pearson omnibus p-value from n and population g1, g2.
+    """STA-1: D'Agostino-Pearson omnibus p-value; K2 is chi-square with 2 df, so p = exp(-K2 / 2)."""
+    return F.exp(-dagostino_k2(n, g1, g2) / 2.0)
 
-    K2 = Z1^2 + Z2^2 is chi-square with 2 df, so p = exp(-K2 / 2).
-    """
+
+def dagostino_k2(n: Column, g1: Column, g2: Column) -> Column:
+    """STA-1: omnibus statistic K2 = Z1^2 + Z2^2 from n and population g1, g2."""
     n = n.cast("double")
     y = g1 * F.sqrt((n + 1.0) * (n + 3.0) / (6.0 * (n - 2.0)))
     beta2 = 3.0 * (n * n + 27.0 * n - 70.0) * (n + 1.0) * (n + 3.0) / (
@@ -54,8 +56,7 @@ def dagostino_p(n: Column, g1: Column, g2: Column) -> Column:
     d = 1.0 + x * F.sqrt(2.0 / (a - 4.0))
     term2 = F.signum(d) * F.cbrt((1.0 - 2.0 / a) / F.abs(d))
     z2 = (1.0 - 2.0 / (9.0 * a) - term2) / F.sqrt(2.0 / (9.0 * a))
-    k2 = z1 * z1 + z2 * z2
-    return F.exp(-k2 / 2.0)
+    return z1 * z1 + z2 * z2
 
 
 def describe(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
@@ -79,7 +80,7 @@ def profile_continuous(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def profile_discrete(df: DataFrame, cols: Sequence[str], shapiro_cap: int = 5000,
-                     shapiro: DataFrame | None = None) -> DataFrame:
+                     shapiro: DataFrame | None = None, digits: int | None = 3) -> DataFrame:
     """AGG-3: full profile with normality test.
 
     Shapiro-Wilk applies when n <= ``shapiro_cap`` (its statistic comes from
@@ -90,8 +91,8 @@ def profile_discrete(df: DataFrame, cols: Sequence[str], shapiro_cap: int = 5000
     G1, G2 = bias_corrected(F.col("n_obs"), F.col("g1"), F.col("g2"))
     n = F.col("n_obs")
     dag_p = dagostino_p(n, F.col("g1"), F.col("g2"))
-    y = F.col("g1") * F.sqrt((n + 1.0) * (n + 3.0) / (6.0 * (n - 2.0)))
-    out = d.withColumns({"G1": G1, "G2": G2, "dag_p": dag_p})
+    # column names are case-insensitive: the corrected moments get distinct names
+    out = d.withColumns({"skew_c": G1, "kurt_c": G2, "dag_p": dag_p})
     if shapiro is not None:
         out = out.join(shapiro.select(VAR, F.col("W").alias("sw_w"), F.col("p").alias("sw_p")), VAR, "left")
     else:
@@ -101,29 +102,32 @@ def profile_discrete(df: DataFrame, cols: Sequence[str], shapiro_cap: int = 5000
     test = F.when(use_sw, "Shapiro-Wilk").otherwise("D'Agostino-Pearson")
     stat = F.when(use_sw, F.col("sw_w")).otherwise(dag_stat)
     pval = F.when(use_sw, F.col("sw_p")).otherwise(F.col("dag_p"))
-    del y
+    def rd(c, d):
+        c = F.col(c) if isinstance(c, str) else c
+        return c if digits is None else F.round(c, d)
+
     return out.select(
         F.col(VAR).alias("Variable"), F.col("n_obs").alias("Effectif_Valide"),
-        F.round("mean", 3).alias("Moyenne"), F.round("q50", 3).alias("Mediane"),
-        F.round("mode", 3).alias("Mode"), F.round("sd", 3).alias("Ecart_Type"),
-        F.round("variance", 3).alias("Variance"), F.col("min").alias("Min"), F.col("max").alias("Max"),
-        F.round("q25", 3).alias("Q25"), F.round("q75", 3).alias("Q75"),
-        F.round(F.col("q75") - F.col("q25"), 3).alias("IQR"),
-        F.round("G1", 3).alias("Skewness"), F.round("G2", 3).alias("Kurtosis"),
-        test.alias("Nom_Test_Normalite"), F.round(stat, 4).alias("Stat_Test_Normalite"),
+        rd("mean", digits).alias("Moyenne"), rd("q50", digits).alias("Mediane"),
+        rd("mode", digits).alias("Mode"), rd("sd", digits).alias("Ecart_Type"),
+        rd("variance", digits).alias("Variance"), F.col("min").alias("Min"), F.col("max").alias("Max"),
+        rd("q25", digits).alias("Q25"), rd("q75", digits).alias("Q75"),
+        rd(F.col("q75") - F.col("q25"), digits).alias("IQR"),
+        rd("skew_c", digits).alias("Skewness"), rd("kurt_c", digits).alias("Kurtosis"),
+        test.alias("Nom_Test_Normalite"), rd(stat, 4).alias("Stat_Test_Normalite"),
         pval.alias("p_value_Normalite"),
         F.when(pval < 0.05, "Non normale").otherwise("Normale").alias("Distribution"))
 
 
 def _dag_k2(n, g1, g2) -> Column:
-    return -2.0 * F.ln(dagostino_p(n, g1, g2))
+    return dagostino_k2(n, g1, g2)
 
 
 def dagostino(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """STA-1: (variable, n, K2, p) per column."""
     mom = S.moments_from_counts(_counts(df, cols))
-    p = dagostino_p(F.col("n_obs"), F.col("g1"), F.col("g2"))
-    return mom.select(VAR, "n_obs", (-2.0 * F.ln(p)).alias("k2"), p.alias("p_value"))
+    k2 = dagostino_k2(F.col("n_obs"), F.col("g1"), F.col("g2"))
+    return mom.select(VAR, "n_obs", k2.alias("k2"), F.exp(-k2 / 2.0).alias("p_value"))
 
 
 def shape_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -211,7 +215,7 @@ def box_stats(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
 
 
 def render_report(profile: DataFrame) -> DataFrame:
-    """SNK-3: one 6-line text block per variable from a ``profile_discrete`` frame."""
+    """SNK-3: one 7-line text block per variable from a ``profile_discrete(digits=None)`` frame."""
     p = profile
     txt = F.concat_ws(
         "\n",
