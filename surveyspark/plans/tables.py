@@ -120,11 +120,16 @@ def _duck(expr: str) -> str:
     return re.sub(r"element_at\(array\(([^)]*)\), ([^)]*\)) \+ 1\)", r"[\1][\2 + 1]", expr)
 
 
+ROW_KEY = ["household", "l_linenumber", "l_partkey", "cluster"]   # unique per lineitem row
+ROW_KEY_SQL = "concat_ws('|', CAST(household AS VARCHAR), CAST(l_linenumber AS VARCHAR), " \
+    "CAST(l_partkey AS VARCHAR), CAST(cluster AS VARCHAR))"
+
+
 def survey_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey-shaped records (33 scoring fields + roles) from lineitem."""
     li = read(spark, sf_dir, "lineitem")
     return li.selectExpr(
-        "l_orderkey AS household", "l_suppkey AS cluster", "l_linenumber", "l_quantity AS w",
+        "l_orderkey AS household", "l_suppkey AS cluster", "l_linenumber", "l_partkey", "l_quantity AS w",
         "l_discount", "l_tax",
         "CAST(l_discount >= 0.08 AS INT) AS y1", "CAST(l_tax >= 0.07 AS INT) AS y2",
         "CAST(l_quantity <= 5 AS INT) AS y3",
@@ -133,7 +138,7 @@ def survey_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[f"{e} AS {k}" for k, e in SURVEY_FIELDS_SQL.items()])
 
 
-SURVEY_SQL = "(SELECT l_orderkey AS household, l_suppkey AS cluster, l_linenumber, l_quantity AS w, " \
+SURVEY_SQL = "(SELECT l_orderkey AS household, l_suppkey AS cluster, l_linenumber, l_partkey, l_quantity AS w, " \
     "l_discount, l_tax, " \
     "CAST(l_discount >= 0.08 AS INTEGER) AS y1, CAST(l_tax >= 0.07 AS INTEGER) AS y2, " \
     "CAST(l_quantity <= 5 AS INTEGER) AS y3, " \
