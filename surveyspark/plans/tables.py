@@ -127,7 +127,11 @@ ROW_KEY_SQL = "concat_ws('|', CAST(household AS VARCHAR), CAST(l_linenumber AS V
 
 def survey_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey-shaped records (33 scoring fields + roles) from lineitem."""
-    li = read(spark, sf_dir, "lineitem")
+    return survey_from_lineitem(read(spark, sf_dir, "lineitem"))
+
+
+def survey_from_lineitem(li: DataFrame) -> DataFrame:
+    """The survey projection of a lineitem frame (batch or stream)."""
     return li.selectExpr(
         "l_orderkey AS household", "l_suppkey AS cluster", "l_linenumber", "l_partkey", "l_quantity AS w",
         "l_discount", "l_tax",
