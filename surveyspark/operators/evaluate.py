@@ -181,13 +181,33 @@ def confusion(df: DataFrame, y: str, yhat: str, w: str | None = None, normalise:
     return c.join(rows, [*by, y]).withColumn("share", F.col("weight") / F.col("_row")).drop("_row")
 
 
-def metric_table(df: DataFrame, y: str, p: str, w: str | None, by: Sequence[str], cutoff: float = 0.5) -> DataFrame:
-    """AUC, log loss and macro F1 per group (one row per group)."""
-    d = df.withColumn("_yhat", (F.col(p) >= cutoff).cast("int"))
-    auc = weighted_auc(d, y, p, w, by)
-    ll = weighted_log_loss(d, y, p, w, by)
-    f1 = macro_f1(d, y, "_yhat", w, by)
-    return auc.join(ll, list(by)).join(f1, list(by)) if by else with_scalars(with_scalars(auc, ll), f1)
+def metric_table(df: DataFrame, y: str, p: str, w: str | None, by: Sequence[str], cutoff: float = 0.5,
+                 eps: float = 1e-15) -> DataFrame:
+    """AUC, log loss and macro F1 per group (one row per group).
+
+    Two grouped passes over the input: the distinct-score table for AUC, and
+    one aggregate that carries both the log-loss sums and the confusion sums.
+    """
+    wcol = F.col(w).cast("double") if w else F.lit(1.0)
+    yc, hc = F.col(y), (F.col(p) >= cutoff).cast("int")
+    yy = yc.cast("double")
+    q = F.greatest(F.least(F.col(p), F.lit(1.0 - eps)), F.lit(eps))
+    s = df.groupBy(*by).agg(
+        F.sum(wcol * -(yy * F.ln(q) + (1.0 - yy) * F.ln(1.0 - q))).alias("_ll"), F.sum(wcol).alias("_w"),
+        F.sum(F.when((yc == 1) & (hc == 1), wcol).otherwise(0.0)).alias("tp"),
+        F.sum(F.when((yc == 0) & (hc == 1), wcol).otherwise(0.0)).alias("fp"),
+        F.sum(F.when((yc == 1) & (hc == 0), wcol).otherwise(0.0)).alias("fn"),
+        F.sum(F.when((yc == 0) & (hc == 0), wcol).otherwise(0.0)).alias("tn"),
+        F.max(F.when(yc == 1, 1).otherwise(0)).alias("_has1"), F.max(F.when(yc == 0, 1).otherwise(0)).alias("_has0"),
+        F.max(F.when(hc == 1, 1).otherwise(0)).alias("_hhas1"), F.max(F.when(hc == 0, 1).otherwise(0)).alias("_hhas0"))
+    f1_pos = _f1(F.col("tp"), F.col("fp"), F.col("fn"))
+    f1_neg = _f1(F.col("tn"), F.col("fn"), F.col("fp"))
+    present1 = ((F.col("_has1") + F.col("_hhas1")) > 0).cast("double")
+    present0 = ((F.col("_has0") + F.col("_hhas0")) > 0).cast("double")
+    rest = s.select(*by, (F.col("_ll") / F.col("_w")).alias("log_loss"),
+                    ((f1_pos * present1 + f1_neg * present0) / (present1 + present0)).alias("f1_macro"))
+    auc = weighted_auc(df, y, p, w, by)
+    return auc.join(rest, list(by)) if by else with_scalars(auc, rest)
 
 
 def gap_table(scored: DataFrame, y: str, p: str, w: str | None, model: str = "model", split: str = "split",

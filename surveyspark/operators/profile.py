@@ -62,10 +62,10 @@ def dagostino_k2(n: Column, g1: Column, g2: Column) -> Column:
 def describe(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
              probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Moments + exact quartiles + mode per (keys, variable) from one value-count table."""
-    cnt = _counts(df, cols, keys)
+    cnt = S.materialized_counts(df, cols, keys)
     gk = [*keys, VAR]
     mom = S.moments_from_counts(cnt, keys)
-    qs = S.exact_quantiles(cnt, probs, keys, names=[f"q{int(p * 100)}" for p in probs])
+    qs = S.exact_quantiles(cnt, probs, keys, names=[f"q{int(p * 100)}" for p in probs], materialize=False)
     mode = S.mode_from_counts(cnt, keys)
     return mom.join(qs, gk).join(mode, gk)
 
@@ -200,8 +200,8 @@ def kde(df: DataFrame, cols: Sequence[str], grid: int = 100, cutoff_sd: float =
 
 def box_stats(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """AGG-16: quartiles, whiskers (most extreme values within k IQR), outlier count, mean."""
-    cnt = _counts(df, cols)
-    q = S.exact_quantiles(cnt, [0.25, 0.5, 0.75], names=["q1", "median", "q3"])
+    cnt = S.materialized_counts(df, cols)
+    q = S.exact_quantiles(cnt, [0.25, 0.5, 0.75], names=["q1", "median", "q3"], materialize=False)
     mom = S.moments_from_counts(cnt).select(VAR, "mean")
     j = cnt.join(F.broadcast(q), VAR)
     iqr = F.col("q3") - F.col("q1")

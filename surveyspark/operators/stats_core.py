@@ -80,13 +80,15 @@ def mode_from_counts(counts: DataFrame, keys: Sequence[str] = (), var: str = VAR
 
 def exact_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = (),
                     var: str = VAR, val: str = VAL, buckets: int = 128,
-                    names: Sequence[str] | None = None, max_distinct: int = 500_000) -> DataFrame:
+                    names: Sequence[str] | None = None, max_distinct: int = 50_000,
+                    materialize: bool = True) -> DataFrame:
     """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``) from value counts.
 
     Returns one row per (keys..., variable) with one column per probability.
 
     The value-count table is checkpointed (reliable, in the cluster's
-    checkpoint folder) and its per-group distinct count checked: groups with
+    checkpoint folder; skip with ``materialize=False`` when the caller already
+    did) and its per-group distinct count checked: groups with
     at most ``max_distinct`` values use Spark's ``percentile`` with a frequency
     column (its value map is then bounded); larger groups use the bucketed
     prefix-sum plan, which never holds a whole group in one task.
@@ -95,8 +97,9 @@ def exact_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[st
 
     gk = [*keys, var]
     names = list(names) if names else [f"q{int(round(p * 1000)):04d}" for p in probs]
-    ensure_checkpoint_dir(counts.sparkSession)
-    counts = counts.checkpoint(eager=True)
+    if materialize:
+        ensure_checkpoint_dir(counts.sparkSession)
+        counts = counts.checkpoint(eager=True)
     big = counts.groupBy(*gk).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > max_distinct).select(*gk)
     n_big = big.count()
     parr = F.array(*[F.lit(float(p)) for p in probs])
@@ -152,6 +155,13 @@ def _bucketed_quantiles(counts: DataFrame, probs, gk, val, buckets, names) -> Da
         F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
 
 
+def materialized_counts(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Value counts of several columns, checkpointed once and shared by every statistic."""
+    from surveyspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return value_counts(long_form(df, cols, keys), keys).checkpoint(eager=True)
+
+
 def medians(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Exact medians of several columns: one row per key with one column per input column."""
     cnt = value_counts(long_form(df, cols, keys), keys)
