@@ -131,3 +131,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def materialize_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Checkpoint a derived key table (reliable, in the cluster's checkpoint folder) and
+    broadcast it if its checked row count is within ``max_rows``; otherwise leave the
+    join strategy to the planner and AQE. One computation serves the check and the join."""
+    from surveyspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    m = df.checkpoint(eager=True)
+    return F.broadcast(m) if m.count() <= max_rows else m

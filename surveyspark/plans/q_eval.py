@@ -40,8 +40,14 @@ UNION ALL SELECT cluster, CASE WHEN r <= ceil(CAST(0.2 AS DOUBLE) * g) THEN 'tes
 
 
 def scored(spark, sf):
-    """Survey records + split; ``p`` is the deterministic score."""
-    return J.attach_split(survey_records(spark, sf), split_table(spark, sf), "cluster")
+    """Survey records + split; ``p`` is the deterministic score.
+
+    The split table has one row per cluster: it is checkpointed once and
+    broadcast when its checked size is within bound (else a shuffle join).
+    """
+    from surveyspark.functions.exprs import materialize_small
+    st = materialize_small(split_table(spark, sf), 5_000_000)
+    return J.attach_split(survey_records(spark, sf), st, "cluster")
 
 
 SCORED_SQL = f"(SELECT s.*, sp.split FROM {SV} s JOIN {SPLIT_SQL} sp USING (cluster))"

@@ -62,10 +62,12 @@ def supplier_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cluster"), "s_nationkey")
     nat = X.bounded_broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), 10_000)
     reg = X.bounded_broadcast(read(spark, sf_dir, "region").select("r_regionkey", "r_name"), 10_000)
-    return (sup.join(nat, sup.s_nationkey == nat.n_nationkey)
+    dims = (sup.join(nat, sup.s_nationkey == nat.n_nationkey)
             .join(reg, F.col("n_regionkey") == F.col("r_regionkey"))
             .select("cluster", F.col("s_nationkey").alias("region_code"),
                     F.col("n_name").alias("region_name"), "r_name"))
+    # one row per supplier: broadcast to the fact side only within a checked bound
+    return X.bounded_broadcast(dims, 2_000_000)
 
 
 # --- survey-shaped scoring records derived from lineitem ----------------------
