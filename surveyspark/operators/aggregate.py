@@ -110,9 +110,28 @@ def column_widths(df: DataFrame, cols: Sequence[str] | None = None, pad: int = 3
                                            F.lit(cap)).alias("width"))
 
 
-def sequence(df: DataFrame, session: str, order: Sequence[str], out: str = "seq") -> DataFrame:
-    """WIN-1: 1..n inside each session (partitioned window: sessions spread over tasks)."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(session).orderBy(*order)))
+def sequence(df: DataFrame, session: str, order: Sequence[str], out: str = "seq", buckets: int = 256) -> DataFrame:
+    """WIN-1: 1..n inside each session, ordered by ``order`` (first column numeric or timestamp).
+
+    Equivalent to ``row_number() over (partition by session order by ...)``,
+    but a session holding a third of all rows is not sorted in one task: rows
+    are cut into ordered buckets by approximate cut points of the first order
+    column, bucket counts are prefix-summed per session (at most ``buckets``
+    rows each), and each (session, bucket) numbers its own rows.
+    """
+    first = order[0]
+    key = F.col(first).cast("timestamp").cast("double") if dict(df.dtypes)[first].startswith("timestamp") \
+        else F.col(first).cast("double")
+    fr = [i / buckets for i in range(1, buckets)]
+    b = df.withColumn("_ok", key)
+    cuts = b.groupBy(session).agg(F.percentile_approx("_ok", fr, 10000).alias("_cuts"))
+    b = b.join(cuts, session).withColumn("_bk", F.size(F.filter("_cuts", lambda x: x < F.col("_ok")))).drop("_cuts")
+    cnt = b.groupBy(session, "_bk").agg(F.count(F.lit(1)).alias("_bn"))
+    wb = Window.partitionBy(session).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
+    wi = Window.partitionBy(session, "_bk").orderBy(*order)
+    return (b.join(off, [session, "_bk"]).withColumn(out, (F.col("_off") + F.row_number().over(wi)).cast("int"))
+            .drop("_ok", "_bk", "_off"))
 
 
 def share_of_total(df: DataFrame, n: str, by: Sequence[str], out: str = "pct") -> DataFrame:

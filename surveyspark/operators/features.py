@@ -54,10 +54,17 @@ def target_encode(df: DataFrame, cols: Sequence[str], y: str, split: str = "spli
     (fold, category) and per fold, so the fitted tables scale with the number
     of categories, not rows.
     """
+    from surveyspark.functions.exprs import materialize_small
+    from surveyspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     tr = df.where(F.col(split) == train)
     yd = F.col(y).cast("double")
-    gl_f = tr.groupBy(fold).agg(F.count(F.lit(1)).alias("_gn"), F.sum(yd).alias("_gs"),
-                                F.sum(yd * yd).alias("_gs2"))
+    # per-(fold, category) sums of every encoded column, checkpointed once: the
+    # fitted tables below read this small table instead of re-running the input
+    cfs = {c: tr.groupBy(fold, c).agg(F.count(F.lit(1)).alias("_cn"), F.sum(yd).alias("_cs"),
+                                      F.sum(yd * yd).alias("_cs2")).checkpoint(eager=True) for c in cols}
+    first = cfs[cols[0]]
+    gl_f = first.groupBy(fold).agg(F.sum("_cn").alias("_gn"), F.sum("_cs").alias("_gs"), F.sum("_cs2").alias("_gs2"))
     gl_t = gl_f.agg(F.sum("_gn").alias("_Tn"), F.sum("_gs").alias("_Ts"), F.sum("_gs2").alias("_Ts2"))
     gl = with_scalars(gl_f, gl_t)
     # out-of-fold global mean / variance, per fold; and the full-train ones
@@ -70,15 +77,17 @@ def target_encode(df: DataFrame, cols: Sequence[str], y: str, split: str = "spli
     out = with_scalars(df, full).join(F.broadcast(gl), fold, "left")
     is_tr = F.col(split) == train
     for c in cols:
-        cf = tr.groupBy(fold, c).agg(F.count(F.lit(1)).alias("_cn"), F.sum(yd).alias("_cs"),
-                                     F.sum(yd * yd).alias("_cs2"))
+        cf = cfs[c]
         ct = cf.groupBy(c).agg(F.sum("_cn").alias("_tn"), F.sum("_cs").alias("_ts"), F.sum("_cs2").alias("_ts2"))
         # training rows: out-of-fold statistics of their category
         oof = (ct.join(cf, c, "left")
                .select(c, fold, (F.col("_tn") - F.coalesce("_cn", F.lit(0))).alias("_on"),
                        (F.col("_ts") - F.coalesce("_cs", F.lit(0.0))).alias("_os"),
                        (F.col("_ts2") - F.coalesce("_cs2", F.lit(0.0))).alias("_os2")))
-        out = (out.join(oof, [c, fold], "left").join(ct, c, "left"))
+        # one row per category (and fold): broadcast within a checked bound, so a hot
+        # category never lands in one shuffle task; beyond it AQE handles the skew
+        out = (out.join(materialize_small(oof, 2_000_000), [c, fold], "left")
+               .join(materialize_small(ct, 2_000_000), c, "left"))
         enc_oof = F.when(F.col("_on") > 0, _encoding(F.col("_on"), F.col("_os"), F.col("_os2"),
                                                      F.col("_oym"), F.col("_oyv"))).otherwise(F.col("_oym"))
         enc_full = F.when(F.col("_tn") > 0, _encoding(F.col("_tn"), F.col("_ts"), F.col("_ts2"),
