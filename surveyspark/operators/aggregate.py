@@ -171,13 +171,17 @@ def preview(df: DataFrame, order: Sequence[str], n: int = 50) -> DataFrame:
 
 
 def top_in_row(names: Sequence[str], values: Sequence, k: int) -> Column:
-    """TOP-3 / TOP-6: the k largest (name, value) pairs inside each row, stable on ties."""
-    arr = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(nm).alias("name"), _c(v).cast("double").alias("value"))
+    """TOP-3 / TOP-6: the k largest (name, value) pairs inside each row, stable on ties.
+
+    ``sort_array`` over structs (negated value, input position, name) orders by
+    descending value then input order, with codegen-friendly natural ordering
+    (no interpreted comparator lambda).
+    """
+    arr = F.array(*[F.struct((-_c(v).cast("double")).alias("neg"), F.lit(i).alias("ord"), F.lit(nm).alias("name"))
                     for i, (nm, v) in enumerate(zip(names, values))])
-    srt = F.array_sort(arr, lambda a, b: F.when(a["value"] > b["value"], -1)
-                       .when(a["value"] < b["value"], 1)
-                       .when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0))
-    return F.slice(srt, 1, k)
+    top = F.slice(F.sort_array(arr), 1, k)
+    return F.transform(top, lambda x: F.struct(x["name"].alias("name"), (-x["neg"]).alias("value"),
+                                               x["ord"].alias("ord")))
 
 
 def stack_metrics(frames: Sequence[DataFrame]) -> DataFrame:
