@@ -110,22 +110,32 @@ def column_widths(df: DataFrame, cols: Sequence[str] | None = None, pad: int = 3
                                            F.lit(cap)).alias("width"))
 
 
-def sequence(df: DataFrame, session: str, order: Sequence[str], out: str = "seq", buckets: int = 256) -> DataFrame:
+def sequence(df: DataFrame, session: str, order: Sequence[str], out: str = "seq",
+             hot_rows: int = 100_000, max_hot: int = 100_000) -> DataFrame:
     """WIN-1: 1..n inside each session, ordered by ``order`` (first column numeric or timestamp).
 
-    Equivalent to ``row_number() over (partition by session order by ...)``,
-    but a session holding a third of all rows is not sorted in one task: rows
-    are cut into ordered buckets by approximate cut points of the first order
-    column, bucket counts are prefix-summed per session (at most ``buckets``
-    rows each), and each (session, bucket) numbers its own rows.
+    Equivalent to ``row_number() over (partition by session order by ...)``.
+    Ordinary sessions are numbered by a plain partitioned window. A hot session
+    (more than ``hot_rows`` rows; one may hold a third of all rows) is cut into
+    equal-width slices of its first order column, about ``hot_rows`` rows per
+    slice; slice counts are prefix-summed and each slice numbers its own rows,
+    so no task sorts a whole hot session. The hot-session table is checkpointed
+    and broadcast within a checked bound.
     """
+    from surveyspark.functions.exprs import materialize_small
     first = order[0]
     key = F.col(first).cast("timestamp").cast("double") if dict(df.dtypes)[first].startswith("timestamp") \
         else F.col(first).cast("double")
-    fr = [i / buckets for i in range(1, buckets)]
     b = df.withColumn("_ok", key)
-    cuts = b.groupBy(session).agg(F.percentile_approx("_ok", fr, 10000).alias("_cuts"))
-    b = b.join(cuts, session).withColumn("_bk", F.size(F.filter("_cuts", lambda x: x < F.col("_ok")))).drop("_cuts")
+    hot = (b.groupBy(session).agg(F.count(F.lit(1)).alias("_n"), F.min("_ok").alias("_lo"), F.max("_ok").alias("_hi"))
+           .where(F.col("_n") > hot_rows)
+           .withColumn("_nb", F.least(F.ceil(F.col("_n") / hot_rows), F.lit(1_000_000)).cast("long")))
+    hot = materialize_small(hot, max_hot)
+    span = F.col("_hi") - F.col("_lo")
+    bk = F.when(F.col("_nb").isNull() | (span <= 0), F.lit(0).cast("long")).otherwise(
+        F.least(F.floor((F.col("_ok") - F.col("_lo")) / span * F.col("_nb")), F.col("_nb") - 1).cast("long"))
+    b = b.join(hot.select(session, "_lo", "_hi", "_nb"), session, "left").withColumn("_bk", bk) \
+        .drop("_lo", "_hi", "_nb")
     cnt = b.groupBy(session, "_bk").agg(F.count(F.lit(1)).alias("_bn"))
     wb = Window.partitionBy(session).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")

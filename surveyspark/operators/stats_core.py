@@ -100,15 +100,19 @@ def exact_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[st
     if materialize:
         ensure_checkpoint_dir(counts.sparkSession)
         counts = counts.checkpoint(eager=True)
-    big = counts.groupBy(*gk).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > max_distinct).select(*gk)
-    n_big = big.count()
+    big_d = counts.groupBy(*gk).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > max_distinct)
+    stats = big_d.agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("dmax")).first()
+    n_big = stats["n"]
+    big = big_d.select(*gk)
     parr = F.array(*[F.lit(float(p)) for p in probs])
     small = counts if n_big == 0 else counts.join(F.broadcast(big), gk, "left_anti")
     res_small = small.groupBy(*gk).agg(F.percentile(F.col(val), parr, F.col("n")).alias("_qs")).select(
         *gk, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
     if n_big == 0:
         return res_small
-    res_big = _bucketed_quantiles(counts.join(F.broadcast(big), gk, "left_semi"), probs, gk, val, buckets, names)
+    # buckets of about ``max_distinct`` distinct values each, at most ``buckets``
+    nb = int(min(buckets, max(8, -(-stats["dmax"] // max(max_distinct, 1)))))
+    res_big = _bucketed_quantiles(counts.join(F.broadcast(big), gk, "left_semi"), probs, gk, val, nb, names)
     return res_small.unionByName(res_big)
 
 

@@ -72,6 +72,6 @@ def test_sequence_equals_row_number(spark):
     from surveyspark.operators.aggregate import sequence
     rows = [(0 if i % 3 else 1, float(i % 17), i) for i in range(600)]   # one session holds two thirds
     df = spark.createDataFrame(rows, "s int, t double, id int")
-    a = sequence(df, "s", ["t", "id"], buckets=8)
+    a = sequence(df, "s", ["t", "id"], hot_rows=50)      # session 0 is hot: sliced
     b = a.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("t", "id")))
     assert b.where(F.col("seq") != F.col("rn")).count() == 0
