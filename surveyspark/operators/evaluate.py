@@ -26,24 +26,22 @@ def _keys(df: DataFrame, by: Sequence[str]):
 
 
 def ordered_prefix(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str],
-                   buckets: int = 128, prefix: str = "cum_") -> DataFrame:
+                   rows_per_bucket: int = 200_000, prefix: str = "cum_") -> DataFrame:
     """Exclusive running sums of ``cols`` over ascending ``order`` within ``by`` (distinct order values).
 
-    Ordered buckets come from a bounded approximate sketch of ``order``; bucket
-    totals are prefix-summed over at most ``buckets`` rows per group, and each
-    bucket runs its own small window.
+    Rows get ordered bucket ids from a range partitioning (``stats_core.ordered_buckets``,
+    checkpointed); bucket totals are prefix-summed per group over a small table,
+    and each bucket runs its own window, so no group is sorted in one task.
     """
+    from surveyspark.operators.stats_core import ordered_buckets
     gk = list(by)
-    fr = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*gk).agg(F.percentile_approx(order, fr, 10000).alias("_cuts"))
-    b = df.join(F.broadcast(cuts), gk).withColumn("_bk", F.size(F.filter("_cuts", lambda x: x < F.col(order))))
-    b = b.drop("_cuts")
+    b = ordered_buckets(df, gk, [order], rows_per_bucket=rows_per_bucket)
     btot = b.groupBy(*gk, "_bk").agg(*[F.sum(c).alias(f"_bt_{c}") for c in cols])
     wb = Window.partitionBy(*gk).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     boff = btot.select(*gk, "_bk", *[F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0.0)).alias(f"_bo_{c}")
                                      for c in cols])
     wi = Window.partitionBy(*gk, "_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    j = b.join(F.broadcast(boff), [*gk, "_bk"])
+    j = b.join(boff, [*gk, "_bk"])
     return j.select(*[x for x in b.columns if x != "_bk"],
                     *[(F.col(f"_bo_{c}") + F.coalesce(F.sum(c).over(wi), F.lit(0.0))).alias(f"{prefix}{c}")
                       for c in cols])

@@ -6,10 +6,10 @@ aggregate, so a hot value (a third of all rows) is one row, never a hot task.
 
 Exact quantiles: groups whose distinct-value count is checked to be bounded
 use ``percentile(value, p, n)`` (a bounded value map); larger groups use a
-two-level prefix sum: distinct values are cut into ordered buckets by
-approximate cut points, bucket totals are summed in order (a tiny table), and
-each bucket ranks its own values. No group is ever sorted inside one task and
-no unbounded value map is built.
+two-level prefix sum: distinct values are cut into ordered buckets by a range
+partitioning (``ordered_buckets``), bucket totals are summed in order (a small
+table), and each bucket ranks its own values. No group is ever sorted inside
+one task and no unbounded value map is built.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def mode_from_counts(counts: DataFrame, keys: Sequence[str] = (), var: str = VAR
 
 
 def exact_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = (),
-                    var: str = VAR, val: str = VAL, buckets: int = 128,
+                    var: str = VAR, val: str = VAL, bucket_rows: int = 200_000,
                     names: Sequence[str] | None = None, max_distinct: int = 50_000,
                     materialize: bool = True) -> DataFrame:
     """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``) from value counts.
@@ -110,21 +110,36 @@ def exact_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[st
         *gk, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
     if n_big == 0:
         return res_small
-    # buckets of about ``max_distinct`` distinct values each, at most ``buckets``
-    nb = int(min(buckets, max(8, -(-stats["dmax"] // max(max_distinct, 1)))))
-    res_big = _bucketed_quantiles(counts.join(F.broadcast(big), gk, "left_semi"), probs, gk, val, nb, names)
+    # ordered buckets of about ``bucket_rows`` distinct values each
+    res_big = _bucketed_quantiles(counts.join(F.broadcast(big), gk, "left_semi"), probs, gk, val,
+                                  bucket_rows, names)
     return res_small.unionByName(res_big)
 
 
+def ordered_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_bucket: int = 200_000,
+                    max_buckets: int = 100_000, out: str = "_bk") -> DataFrame:
+    """Assign each row an ordered bucket id: ids increase with (keys, order).
+
+    ``repartitionByRange`` samples balanced range bounds (bounded sketch) and
+    places rows by binary search in the JVM; the partition id is the bucket.
+    The result is checkpointed (reliable) so every later use sees the same
+    buckets. About ``rows_per_bucket`` rows per bucket, so the windows that run
+    per bucket stay small whatever the skew of ``keys``.
+    """
+    import math as _m
+    from surveyspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    base = df.checkpoint(eager=True)
+    nb = int(max(1, min(max_buckets, _m.ceil(base.count() / rows_per_bucket))))
+    return (base.repartitionByRange(nb, *keys, *order).withColumn(out, F.spark_partition_id())
+            .checkpoint(eager=True))
+
+
 def _bucketed_quantiles(counts: DataFrame, probs, gk, val, buckets, names) -> DataFrame:
     """Exact quantiles by a two-level prefix sum over ordered buckets of distinct values."""
-    # 1. ordered bucket cut points from a bounded-memory sketch over distinct values
-    fr = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(*gk).agg(
-        F.percentile_approx(val, fr, 10000).alias("_cuts"),
-        F.sum("n").alias("_N"))
-    b = counts.join(F.broadcast(cuts), gk).withColumn(
-        "_bk", F.size(F.filter("_cuts", lambda x: x < F.col(val))))
+    # 1. ordered buckets of distinct values (balanced range partitions)
+    cuts = counts.groupBy(*gk).agg(F.sum("n").alias("_N"))
+    b = ordered_buckets(counts, gk, [val], rows_per_bucket=max(1, buckets)).join(F.broadcast(cuts), gk)
     # 2. bucket totals, prefix-summed in bucket order (<= buckets rows per variable)
     btot = b.groupBy(*gk, "_bk").agg(F.sum("n").alias("_bn"))
     wb = Window.partitionBy(*gk).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)

@@ -71,7 +71,7 @@ def test_roc_points_end_at_one(spark):
 def test_ordered_prefix_matches_cumsum(spark):
     vals = [(float(i), float(i % 7)) for i in range(300)]
     df = spark.createDataFrame(vals, "o double, v double").withColumn("k", F.lit(1))
-    out = {r.o: r.cum_v for r in EV.ordered_prefix(df, ["k"], "o", ["v"], buckets=8).collect()}
+    out = {r.o: r.cum_v for r in EV.ordered_prefix(df, ["k"], "o", ["v"], rows_per_bucket=40).collect()}
     run = 0.0
     for o, v in vals:
         assert out[o] == run

@@ -12,7 +12,7 @@ def test_exact_quantiles_both_paths_match_numpy(spark):
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
     exp = np.percentile(vals, [p * 100 for p in probs])
     a = S.exact_quantiles(cnt, probs).first()
-    b = S.exact_quantiles(cnt, probs, max_distinct=0, buckets=16).first()     # forced distributed path
+    b = S.exact_quantiles(cnt, probs, max_distinct=0, bucket_rows=300).first()     # forced distributed path
     for i, p in enumerate(probs):
         nm = f"q{int(round(p * 1000)):04d}"
         assert abs(a[nm] - exp[i]) < 1e-9 and abs(b[nm] - exp[i]) < 1e-9
