@@ -51,7 +51,8 @@ def drop_text_na(df: DataFrame, col: str, nulls: Sequence[str] = tuple(FV.TEXT_N
 
 def drop_unmapped(freq: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:
     """FLT-6: keep only codes present in the lookup (inner join, lookup broadcast)."""
-    return freq.join(F.broadcast(lookup), list(on), "inner")
+    from surveyspark.functions.exprs import bounded_broadcast
+    return freq.join(bounded_broadcast(lookup, 1_000_000), list(on), "inner")
 
 
 def count_at_least(df: DataFrame, col: str, t: float, alias: str = "n_at_least") -> DataFrame:
@@ -86,7 +87,7 @@ def impute_median(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ())
     if not cols:
         return df
     med = S.medians(df, cols, keys).select(*keys, *[F.col(x).alias(f"__med_{x}") for x in cols])
-    joined = df.join(F.broadcast(med), list(keys), "left") if keys else with_scalars(df, med)
+    joined = df.join(med, list(keys), "left") if keys else with_scalars(df, med)   # keyed: planner / AQE
     out = joined.withColumns({x: F.coalesce(F.col(x).cast("double"), F.col(f"__med_{x}")) for x in cols})
     return out.drop(*[f"__med_{x}" for x in cols])
 

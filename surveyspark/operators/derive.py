@@ -38,7 +38,7 @@ def split_at_median(df: DataFrame, col: str, out: str, strict: bool = False,
                     keys: Sequence[str] = ()) -> DataFrame:
     """DRV-10: dichotomise at the column's own exact median (``>=``; ``>`` if strict)."""
     med = S.medians(df, [col], keys).select(*keys, F.col(col).alias("__median"))
-    j = df.join(F.broadcast(med), list(keys), "left") if keys else with_scalars(df, med)
+    j = df.join(med, list(keys), "left") if keys else with_scalars(df, med)   # keyed: planner / AQE
     cond = (F.col(col) > F.col("__median")) if strict else (F.col(col) >= F.col("__median"))
     return j.withColumn(out, cond.cast("int")).drop("__median")
 
@@ -125,7 +125,7 @@ def centre_caption(var, mean, median, tol: float = 1.0) -> Column:
 
 def pretty_terms(df: DataFrame, lookup: DataFrame, col: str = "term", out: str = "label") -> DataFrame:
     """DRV-22: model-term label by exact lookup (avoids substring-order traps)."""
-    lk = F.broadcast(lookup.select(F.col("term").alias("__t"), F.col("label").alias("__l")))
+    lk = X.bounded_broadcast(lookup.select(F.col("term").alias("__t"), F.col("label").alias("__l")), 1_000_000)
     return df.join(lk, F.col(col) == F.col("__t"), "left") \
         .withColumn(out, F.coalesce("__l", F.col(col))).drop("__t", "__l")
 

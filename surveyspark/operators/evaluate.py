@@ -76,7 +76,7 @@ def roc_points(df: DataFrame, y: str, p: str, w: str | None = None, by: Sequence
     d, gk = _keys(df, by)
     st = ordered_prefix(score_table(d, y, p, w, gk), gk, "_s", ["wp", "wn"])
     tot = st.groupBy(*gk).agg(F.sum("wp").alias("_TP"), F.sum("wn").alias("_TN"))
-    j = st.join(F.broadcast(tot), gk)
+    j = st.join(tot, gk)
     tp_at = F.col("_TP") - F.col("cum_wp")
     fp_at = F.col("_TN") - F.col("cum_wn")
     res = j.select(*gk, F.col("_s").alias("threshold"), F.try_divide(fp_at, F.col("_TN")).alias("fpr"),

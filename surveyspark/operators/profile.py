@@ -153,7 +153,8 @@ def frequency(df: DataFrame, cols: Sequence[str], lookup: DataFrame | None = Non
     out = cnt.join(F.broadcast(tot), VAR).withColumn("pct", F.col("n") * 100.0 / F.col("_tot")).drop("_tot")
     if lookup is not None:
         lk = lookup.select(VAR, F.col("code").cast("string").alias("code"), "label")
-        out = out.join(F.broadcast(lk), [VAR, "code"], "inner")
+        from surveyspark.functions.exprs import bounded_broadcast
+        out = out.join(bounded_broadcast(lk, 1_000_000), [VAR, "code"], "inner")
     return out
 
 

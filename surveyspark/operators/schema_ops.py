@@ -100,7 +100,8 @@ def decode_labels(df: DataFrame, col: str, lookup: DataFrame, out: str | None =
     lk = lookup
     if variable is not None:
         lk = lk.where(F.col("variable") == variable)
-    lk = F.broadcast(lk.select(F.col("code").alias("__code"), F.col("label").alias("__label")))
+    from surveyspark.functions.exprs import bounded_broadcast
+    lk = bounded_broadcast(lk.select(F.col("code").alias("__code"), F.col("label").alias("__label")), 1_000_000)
     j = df.join(lk, F.col(col) == F.col("__code"), "left")
     return j.withColumn(out or f"{col}_label", F.coalesce(F.col("__label"), F.col(col).cast("string"))) \
         .drop("__code", "__label")
@@ -113,7 +114,8 @@ def with_alias(df: DataFrame, src: str, out: str) -> DataFrame:
 
 def enrich_region(df: DataFrame, dim: DataFrame, key: str, dim_key: str = "region_code") -> DataFrame:
     """PRJ-14: add region name / coordinates (fixed-size dimension, broadcast)."""
-    return df.join(F.broadcast(dim), F.col(key) == F.col(dim_key), "left").drop(dim_key)
+    from surveyspark.functions.exprs import bounded_broadcast
+    return df.join(bounded_broadcast(dim, 1_000_000), F.col(key) == F.col(dim_key), "left").drop(dim_key)
 
 
 def assemble_record(df: DataFrame, ts: Column | None = None, fmt: str = "dd/MM/yyyy HH:mm") -> DataFrame:

@@ -23,6 +23,13 @@ VAR = "variable"
 VAL = "value"
 
 
+def per_group(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Broadcast a per-variable table only when no extra group keys exist (then its size is
+    bounded by the number of columns); keyed tables grow with the data and are left to the
+    planner and AQE."""
+    return F.broadcast(df) if not list(keys) else df
+
+
 def long_form(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
               var: str = VAR, val: str = VAL, drop_null: bool = True) -> DataFrame:
     """Stack numeric columns into (keys..., variable, value DOUBLE)."""
@@ -53,7 +60,7 @@ def moments_from_counts(counts: DataFrame, keys: Sequence[str] = (), var: str =
         (F.sum(F.col("n") * F.col(val)) / F.sum("n")).alias("mean"),
         F.min(val).alias("min"), F.max(val).alias("max"))
     dev = F.col(val) - F.col("mean")
-    cm = (counts.join(F.broadcast(tot.select(*gk, "mean", "n_obs")), gk)
+    cm = (counts.join(per_group(tot.select(*gk, "mean", "n_obs"), keys), gk)
           .groupBy(*gk).agg(
               F.sum(F.col("n") * dev * dev).alias("m2s"),
               F.sum(F.col("n") * dev * dev * dev).alias("m3s"),
@@ -105,13 +112,13 @@ def exact_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[st
     n_big = stats["n"]
     big = big_d.select(*gk)
     parr = F.array(*[F.lit(float(p)) for p in probs])
-    small = counts if n_big == 0 else counts.join(F.broadcast(big), gk, "left_anti")
+    small = counts if n_big == 0 else counts.join(per_group(big, keys), gk, "left_anti")
     res_small = small.groupBy(*gk).agg(F.percentile(F.col(val), parr, F.col("n")).alias("_qs")).select(
         *gk, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
     if n_big == 0:
         return res_small
     # ordered buckets of about ``bucket_rows`` distinct values each
-    res_big = _bucketed_quantiles(counts.join(F.broadcast(big), gk, "left_semi"), probs, gk, val,
+    res_big = _bucketed_quantiles(counts.join(per_group(big, keys), gk, "left_semi"), probs, gk, val,
                                   bucket_rows, names)
     return res_small.unionByName(res_big)
 
@@ -137,16 +144,17 @@ def ordered_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], ro
 
 def _bucketed_quantiles(counts: DataFrame, probs, gk, val, buckets, names) -> DataFrame:
     """Exact quantiles by a two-level prefix sum over ordered buckets of distinct values."""
+    keyed = gk[:-1]
     # 1. ordered buckets of distinct values (balanced range partitions)
     cuts = counts.groupBy(*gk).agg(F.sum("n").alias("_N"))
-    b = ordered_buckets(counts, gk, [val], rows_per_bucket=max(1, buckets)).join(F.broadcast(cuts), gk)
+    b = ordered_buckets(counts, gk, [val], rows_per_bucket=max(1, buckets)).join(per_group(cuts, keyed), gk)
     # 2. bucket totals, prefix-summed in bucket order (<= buckets rows per variable)
     btot = b.groupBy(*gk, "_bk").agg(F.sum("n").alias("_bn"))
     wb = Window.partitionBy(*gk).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     boff = btot.withColumn("_boff", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
     # 3. rank inside each bucket (a bucket is a slice of distinct values)
     wi = Window.partitionBy(*gk, "_bk").orderBy(val).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (b.join(F.broadcast(boff.select(*gk, "_bk", "_boff")), [*gk, "_bk"])
+    ranked = (b.join(per_group(boff.select(*gk, "_bk", "_boff"), keyed), [*gk, "_bk"])
               .withColumn("_start", F.col("_boff") + F.coalesce(F.sum("n").over(wi), F.lit(0)))
               .select(*gk, val, "_start", (F.col("_start") + F.col("n")).alias("_end"), "_N"))
     # 4. target 0-based positions floor(h), floor(h)+1 of h = (N-1) p
@@ -162,7 +170,7 @@ def _bucketed_quantiles(counts: DataFrame, probs, gk, val, buckets, names) -> Da
         F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_pos")),
         F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_pos")))).alias("_t")).select(
         *gk, "_pi", "_t._side", "_t._pos")
-    hit = (ranked.join(F.broadcast(pos), gk)
+    hit = (ranked.join(per_group(pos, keyed), gk)
            .where((F.col("_start") <= F.col("_pos")) & (F.col("_pos") < F.col("_end")))
            .select(*gk, "_pi", "_side", val))
     pairs = hit.groupBy(*gk, "_pi").agg(

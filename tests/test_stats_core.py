@@ -25,3 +25,16 @@ def test_moments_and_mode(spark):
     m = S.moments_from_counts(cnt).first()
     assert abs(m["mean"] - np.mean(vals)) < 1e-12 and abs(m["sd"] - np.std(vals, ddof=1)) < 1e-12
     assert S.mode_from_counts(cnt).first()["mode"] == 2.0     # tie 2 vs 3 -> lowest
+
+
+def test_keyed_quantiles_and_medians(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 4, 2000), rng.normal(size=2000).round(2))]
+    df = spark.createDataFrame(rows, "g int, x double")
+    cnt = S.value_counts(S.long_form(df, ["x"], ["g"]), ["g"])
+    got = {r.g: r.median for r in S.exact_quantiles(cnt, [0.5], ["g"], names=["median"], max_distinct=0,
+                                                     bucket_rows=50).collect()}
+    med = {r.g: r.x for r in S.medians(df, ["x"], ["g"]).collect()}
+    for g in range(4):
+        exp = float(np.median([v for k, v in rows if k == g]))
+        assert abs(got[g] - exp) < 1e-12 and abs(med[g] - exp) < 1e-12
