@@ -108,7 +108,7 @@ def exact_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[st
         ensure_checkpoint_dir(counts.sparkSession)
         counts = counts.checkpoint(eager=True)
     big_d = counts.groupBy(*gk).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > max_distinct)
-    stats = big_d.agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("dmax")).first()
+    stats = big_d.agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("dmax"), F.sum("_d").alias("drows")).first()
     n_big = stats["n"]
     big = big_d.select(*gk)
     parr = F.array(*[F.lit(float(p)) for p in probs])
@@ -119,12 +119,12 @@ def exact_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[st
         return res_small
     # ordered buckets of about ``bucket_rows`` distinct values each
     res_big = _bucketed_quantiles(counts.join(per_group(big, keys), gk, "left_semi"), probs, gk, val,
-                                  bucket_rows, names)
+                                  bucket_rows, names, n_rows=int(stats["drows"]))
     return res_small.unionByName(res_big)
 
 
 def ordered_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_bucket: int = 200_000,
-                    max_buckets: int = 100_000, out: str = "_bk") -> DataFrame:
+                    max_buckets: int = 100_000, out: str = "_bk", n_rows: int | None = None) -> DataFrame:
     """Assign each row an ordered bucket id: ids increase with (keys, order).
 
     ``repartitionByRange`` samples balanced range bounds (bounded sketch) and
@@ -136,18 +136,22 @@ def ordered_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], ro
     import math as _m
     from surveyspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    base = df.checkpoint(eager=True)
-    nb = int(max(1, min(max_buckets, _m.ceil(base.count() / rows_per_bucket))))
+    if n_rows is None:          # size unknown: materialise once, then count
+        df = df.checkpoint(eager=True)
+        n_rows = df.count()
+    base = df
+    nb = int(max(1, min(max_buckets, _m.ceil(n_rows / rows_per_bucket))))
     return (base.repartitionByRange(nb, *keys, *order).withColumn(out, F.spark_partition_id())
             .checkpoint(eager=True))
 
 
-def _bucketed_quantiles(counts: DataFrame, probs, gk, val, buckets, names) -> DataFrame:
+def _bucketed_quantiles(counts: DataFrame, probs, gk, val, buckets, names, n_rows: int | None = None) -> DataFrame:
     """Exact quantiles by a two-level prefix sum over ordered buckets of distinct values."""
     keyed = gk[:-1]
     # 1. ordered buckets of distinct values (balanced range partitions)
     cuts = counts.groupBy(*gk).agg(F.sum("n").alias("_N"))
-    b = ordered_buckets(counts, gk, [val], rows_per_bucket=max(1, buckets)).join(per_group(cuts, keyed), gk)
+    b = ordered_buckets(counts, gk, [val], rows_per_bucket=max(1, buckets), n_rows=n_rows).join(
+        per_group(cuts, keyed), gk)
     # 2. bucket totals, prefix-summed in bucket order (<= buckets rows per variable)
     btot = b.groupBy(*gk, "_bk").agg(F.sum("n").alias("_bn"))
     wb = Window.partitionBy(*gk).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)

@@ -56,3 +56,12 @@ def test_clean_survey_end_to_end(spark):
     assert out[0]["Y_ICEA"] == 1 and out[0]["Y1_stunting"] == 1 and out[1]["Y_ICEA"] == 0
     assert out[0]["poids_analytique"] == 5.0 and out[0]["v445"] == 23.0
     assert out[1]["h2"] == 9           # null -> the rule's target code
+
+
+def test_q4_sentinels_before_rescaling(spark):
+    # a raw haemoglobin sentinel 9996 must not survive as 999.6 after the /10 (rule Q4)
+    rows = [(0, 10, 10, 10, 2000.0, 9996.0, 1, 1e6, 1), (0, 10, 10, 10, 2000.0, 120.0, 1, 1e6, 1)]
+    df = spark.createDataFrame(rows, "hw13 int, hw5 int, hw8 int, hw11 int, v445 double, v438 double, v025 int, "
+                                     "v005 double, h2 int")
+    out = [r.v438 for r in C.clean_survey(df).collect()]
+    assert out == [12.0]
