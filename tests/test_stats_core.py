@@ -38,3 +38,18 @@ def test_keyed_quantiles_and_medians(spark):
     for g in range(4):
         exp = float(np.median([v for k, v in rows if k == g]))
         assert abs(got[g] - exp) < 1e-12 and abs(med[g] - exp) < 1e-12
+
+
+def test_quantiles_property_random_inputs(spark):
+    from hypothesis import given, settings, strategies as st
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(st.integers(-50, 50), min_size=1, max_size=200), st.sampled_from([0, 10**9]))
+    def check(vals, md):
+        df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+        cnt = S.value_counts(S.long_form(df, ["x"]))
+        r = S.exact_quantiles(cnt, [0.1, 0.5, 0.9], max_distinct=md, bucket_rows=7).first()
+        exp = np.percentile(np.array(vals, dtype=float), [10, 50, 90])
+        assert np.allclose([r["q0100"], r["q0500"], r["q0900"]], exp, atol=1e-9)
+
+    check()
