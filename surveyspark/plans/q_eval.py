@@ -489,3 +489,37 @@ def top06(spark, sf):
     top = A.top_in_row(["stunting", "wasting", "underweight"], ["p_stunting", "p_wasting", "p_underweight"], 3)
     return m.groupBy(F.array_join(F.transform(top, lambda x: x["name"]), ",").alias("top_subclasses")).agg(
         F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- document-level target
+
+def labelled_documents(spark, sf):
+    """documents joined to their labels: quality is the target, text length the score."""
+    docs = read(spark, sf, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("score"))
+    labs = read(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("y"),
+                                            F.col("toxic").cast("int").alias("toxic"))
+    return docs.join(labs, "doc_id")
+
+
+@query("evl01b_document_auc", """
+WITH d AS (SELECT d.lang, CAST(d.n_chars AS DOUBLE) AS s, CAST(l.quality AS INTEGER) AS y
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+sc AS (SELECT lang, s, SUM(CASE WHEN y = 1 THEN 1.0 ELSE 0 END) AS wp, SUM(CASE WHEN y = 1 THEN 0 ELSE 1.0 END) AS wn
+       FROM d GROUP BY 1, 2),
+c AS (SELECT *, COALESCE(SUM(wn) OVER (PARTITION BY lang ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        AS cwn FROM sc)
+SELECT lang, ROUND(SUM(wp * (cwn + wn / 2.0)) / NULLIF(SUM(wp) * SUM(wn), 0), 6) AS auc FROM c GROUP BY lang""")
+def evl01b(spark, sf):
+    """EVL-1 on the document-level binding: AUC of text length for the quality label, per language."""
+    a = EV.weighted_auc(labelled_documents(spark, sf), "y", "score", None, ["lang"])
+    return a.select("lang", _r(F.col("auc")).alias("auc"))
+
+
+@query("agg09b_document_conditional_rates", """
+SELECT lang, COUNT(*) AS n, ROUND(AVG(CAST(l.toxic AS DOUBLE)), 6) AS p_toxic_given_quality
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1 GROUP BY lang""")
+def agg09b(spark, sf):
+    """AGG-9 on the document-level binding: P(toxic | quality) per language."""
+    d = labelled_documents(spark, sf).where(F.col("y") == 1)
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
+                                 _r(F.avg(F.col("toxic").cast("double"))).alias("p_toxic_given_quality"))
