@@ -41,8 +41,11 @@ def drop_split(df: DataFrame, split_table: DataFrame, key: str, split: str, col:
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """JN-4: attach a one-row aggregate (medians, rates) to every row.
 
-    Expressed as a broadcast equi-join on a constant key: the right side is a
-    global aggregate, so it has exactly one row.
+    Expressed as an uncorrelated scalar subquery (``DataFrame.scalar()``) that
+    returns all the aggregate's columns as one struct: Spark runs it once and
+    inlines the result, so no join (and no nested-loop plan) is needed.
     """
-    return (df.withColumn(_K, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(_K, F.lit(1))), _K, "left").drop(_K))
+    cols = one_row.columns
+    sub = one_row.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_s")).scalar()
+    out = df.withColumn(_K, sub)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(_K)[c].alias(c) for c in cols])
