@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import ann_forest, topk_search
+from surveyspark.llm import ann_forest, chat_format, topk_search
 from surveyspark.llm.common import table
 from surveyspark.llm.registry import query
 
@@ -34,3 +34,32 @@ def op2_topk_search(spark, sf_dir):
 def op3_ann_forest(spark, sf_dir):
     """Each embedding with vec_id divisible by 20: its 20 nearest by inner product, found in the forest."""
     return ann_forest.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+#: the conversation that holds control strings of common templates (fixed value)
+PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
+
+OP10_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, length(replace(replace(role, '\', '\\'), '<|', '\<|'))
+          + length(replace(replace(text, '\', '\\'), '<|', '\<|')) + 24 AS chars FROM r)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op10_chat_format", OP10_SQL)
+def op10_chat_format(spark, sf_dir):
+    """All conversations and the probe, formatted and read back."""
+    probe = spark.createDataFrame([(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_format.read_back(chat_format.render(rows))
