@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import ann_forest, chat_format, topk_search
+from surveyspark.llm import ann_forest, chat_format, language_id, topk_search
 from surveyspark.llm.common import table
 from surveyspark.llm.registry import query
 
@@ -63,3 +63,12 @@ def op10_chat_format(spark, sf_dir):
                                   "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat_format.read_back(chat_format.render(rows))
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    """The language of every whole text, by code length in per-language context trees."""
+    docs = table(spark, sf_dir, "documents")
+    trees = language_id.learn(docs)
+    rows = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
+    return language_id.predict(rows, trees).select("doc_id", "held_out", "lang_pred", "score")
