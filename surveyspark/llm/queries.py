@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import ann_forest, chat_format, language_id, topk_search
+from surveyspark.llm import ann_forest, chat_format, language_id, sentencepiece_codec, topk_search
 from surveyspark.llm.common import table
 from surveyspark.llm.registry import query
 
@@ -72,3 +72,9 @@ def op9_language_id(spark, sf_dir):
     trees = language_id.learn(docs)
     rows = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
     return language_id.predict(rows, trees).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark, sf_dir):
+    """Ids of every whole text, decoded again, with parity of the rebuilt and the reference library."""
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
