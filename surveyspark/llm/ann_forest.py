@@ -25,6 +25,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ def augment(x: np.ndarray, top_norm: float) -> np.ndarray:
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     """List column as a (rows, dim) array; shorter vectors are padded with zeros."""
-    lens = pa.compute.list_value_length(col).to_numpy(zero_copy_only=False)
+    lens = pc.list_value_length(col).to_numpy(zero_copy_only=False)
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if len(lens) and (lens == dim).all():
         return flat.reshape(len(lens), dim)

@@ -23,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,7 +182,7 @@ def predict(df: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
                 bits = trees.code_lengths(texts)
                 has = np.array([LETTER.search(x) is not None for x in texts.to_pylist()], bool)
                 has &= bool(trees.langs)
-                sizes = np.maximum(1, pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
+                sizes = np.maximum(1, pc.binary_length(texts).to_numpy(zero_copy_only=False))
                 if trees.langs:
                     best = bits.argmin(axis=1)
                     rate = bits / sizes[:, None]
