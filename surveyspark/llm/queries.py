@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import ann_forest, chat_format, language_id, sentencepiece_codec, topk_search
+from surveyspark.llm import ann_forest, chat_format, jaccard_join, language_id, sentencepiece_codec, topk_search
 from surveyspark.llm.common import table
 from surveyspark.llm.registry import query
 
@@ -78,3 +78,9 @@ def op9_language_id(spark, sf_dir):
 def op4_sentencepiece(spark, sf_dir):
     """Ids of every whole text, decoded again, with parity of the rebuilt and the reference library."""
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_jaccard_join")
+def op8_jaccard_join(spark, sf_dir):
+    """Every document with its class and its number of links at similarity 0.8 on five-word n-grams."""
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
