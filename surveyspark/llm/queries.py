@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import ann_forest, chat_format, jaccard_join, language_id, sentencepiece_codec, topk_search
+from surveyspark.llm import ann_forest, chat_format, jaccard_join, language_id, pii, sentencepiece_codec, topk_search
 from surveyspark.llm.common import table
 from surveyspark.llm.registry import query
 
@@ -84,3 +84,9 @@ def op4_sentencepiece(spark, sf_dir):
 def op8_jaccard_join(spark, sf_dir):
     """Every document with its class and its number of links at similarity 0.8 on five-word n-grams."""
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_pii")
+def op5_pii(spark, sf_dir):
+    """Personal data and disclosing terms of every whole text."""
+    return pii.report(table(spark, sf_dir, "documents"))
