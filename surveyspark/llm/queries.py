@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import ann_forest, chat_format, jaccard_join, language_id, pii, sentencepiece_codec, topk_search
+from surveyspark.llm import ann_forest, chat_format, jaccard_join, language_id, mixing, pii, sentencepiece_codec, topk_search
 from surveyspark.llm.common import table
 from surveyspark.llm.registry import query
 
@@ -90,3 +90,10 @@ def op8_jaccard_join(spark, sf_dir):
 def op5_pii(spark, sf_dir):
     """Personal data and disclosing terms of every whole text."""
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_mixing")
+def op7_mixing(spark, sf_dir):
+    """Domain posteriors and the rate of every document."""
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "copies", "n_tokens", *mixing.DOMAINS, "rate")
