@@ -6,7 +6,8 @@ units that a worker has not met are encoded in one multithreaded batch, each uni
 sentencepiece library, and the ids of a text are the ids of its units in order. A unit whose ids
 differ keeps the ids of the sentencepiece library and is counted in ``n_differ``, so the result
 always equals the reference library's. Models whose normaliser rewrites text are compared text by
-text instead. Decoding turns ids back with the rebuilt decoder.
+text instead. Decoding joins the pieces' bytes
+of the rebuilt vocabulary.
 
 The job is a map over the rows: no shuffle; memory follows a slice of about 2 MB of text or the
 longest single text.
@@ -20,16 +21,18 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyspark.llm.common import slices, texts_of
-from surveyspark.llm.sp_model import MARK, SpModel
+from surveyspark.llm.sp_model import BYTE, MARK, SpModel
 
 #: default path of the public model file; every function takes it as a parameter
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -56,6 +59,8 @@ class Codec:
         # the reference adds the dummy prefix itself, so a unit is handed over without its first marker
         self.direct = self.plain and self.model.dummy_prefix
         self._forget()
+        self.table = pa.array([bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode()
+                               for p, t in zip(self.model.pieces, self.model.types)], pa.binary())
 
     def units(self, text: str) -> list[str]:
         if not text:
@@ -68,15 +73,20 @@ class Codec:
 
     def _learn(self, units: list[str]) -> None:
         """Encode units that the table of known units lacks, compared with the reference one by one."""
-        ours = [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
-        theirs = self.reference.encode([u[1:] for u in units], num_threads=self.threads) if self.direct else ours
-        for unit, a, b in zip(units, ours, theirs):
-            differs = len(unit) > 1 and a != b
-            self.known[unit] = len(self.sizes)
-            self.starts.append(len(self.flat))
-            self.sizes.append(len(b if differs else a))
-            self.flat.extend(b if differs else a)
-            self.differs.append(differs)
+        for at in range(0, len(units), 8192):
+            some = units[at:at + 8192]
+            ours = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            theirs = self.reference.encode([u[1:] for u in some], num_threads=self.threads) if self.direct else ours
+            differs = [False] * len(some)
+            if ours != theirs:
+                differs = [len(u) > 1 and a != b for u, a, b in zip(some, ours, theirs)]
+                ours = [b if d else a for a, b, d in zip(ours, theirs, differs)]
+            sizes = list(map(len, ours))
+            self.known.update(zip(some, range(len(self.sizes), len(self.sizes) + len(some))))
+            self.starts.extend(accumulate(sizes[:-1], initial=len(self.flat)))
+            self.sizes.extend(sizes)
+            self.flat.extend(chain.from_iterable(ours))
+            self.differs.extend(differs)
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -87,7 +97,7 @@ class Codec:
         if len(self.known) > KNOWN_UNITS:
             self._forget()
         split = [self.units(t) for t in texts]
-        new = list(dict.fromkeys(u for units in split for u in units if u not in self.known))
+        new = list(set().union(*split).difference(self.known))
         if new:
             self._learn(new)
         flat, starts, sizes, differs = (np.array(x) for x in (self.flat, self.starts, self.sizes, self.differs))
@@ -104,8 +114,18 @@ class Codec:
                     out[k], bad[k] = np.array(b, np.int32), 1
         return out, bad
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids. Each piece's bytes come from the rebuilt vocabulary and are joined by
+        text; a join that isn't UTF-8 (byte pieces out of order) goes through the library's decoder."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.table.take(ids.values)), b"")
+        out = []
+        for i, raw in enumerate(joined.to_pylist()):
+            try:
+                text = raw.decode()
+                out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(ids[i].as_py(), skip_special_tokens=False))
+        return pa.array(out, pa.string())
 
 
 def codec(name: str) -> Codec:
@@ -158,10 +178,10 @@ def decode(df: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col: str
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [x or [] for x in part.column(part.schema.get_field_index(ids_col)).to_pylist()]
+                col = part.column(part.schema.get_field_index(ids_col)).fill_null([])
+                ids = pa.ListArray.from_arrays(pc.subtract(col.offsets, col.offsets[0]), col.flatten())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(own.decode(ids), pa.string())],
-                    names=[*keep, out_col])
+                    [part.column(part.schema.get_field_index(c)) for c in keep] + [own.decode(ids)], names=[*keep, out_col])
 
     return df.select(*keep).mapInArrow(run, schema)
 
