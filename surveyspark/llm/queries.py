@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import ann_forest, chat_format, jaccard_join, language_id, mixing, pii, sentencepiece_codec, topk_search
+from surveyspark.llm import ann_forest, chat_format, jaccard_join, katz, language_id, mixing, pii, sentencepiece_codec, topk_search
 from surveyspark.llm.common import table
 from surveyspark.llm.registry import query
 
@@ -97,3 +97,9 @@ def op7_mixing(spark, sf_dir):
     """Domain posteriors and the rate of every document."""
     found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "copies", "n_tokens", *mixing.DOMAINS, "rate")
+
+
+@query("op6_katz_scores")
+def op6_katz_scores(spark, sf_dir):
+    """The log probability of every whole text under the backoff model, and the contract's base score."""
+    return katz.score_corpus(table(spark, sf_dir, "documents"))
