@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import ann_forest, chat_format, jaccard_join, katz, language_id, mixing, pii, sentencepiece_codec, topk_search
+from surveyspark.llm import ann_forest, chat_format, jaccard_join, katz, language_id, mixing, pii, sentencepiece_codec, topk_search, training_order
 from surveyspark.llm.common import table
 from surveyspark.llm.registry import query
 
@@ -103,3 +103,9 @@ def op7_mixing(spark, sf_dir):
 def op6_katz_scores(spark, sf_dir):
     """The log probability of every whole text under the backoff model, and the contract's base score."""
     return katz.score_corpus(table(spark, sf_dir, "documents"))
+
+
+@query("op1_training_order")
+def op1_training_order(spark, sf_dir):
+    """Slot, shard, byte offset and digest of every sequence, read back from the written shards."""
+    return training_order.materialise(table(spark, sf_dir, "documents").select("text"))
