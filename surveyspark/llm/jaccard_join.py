@@ -42,6 +42,7 @@ BLOCK = 512
 #: n-grams in more nodes of a unit than this are counted by matrix product, the rest pair by pair
 DENSE = 32
 FILTER_BITS = 28
+HEAVY = 2_000
 
 
 def choose_bands(threshold: float, recall: float = TARGET_RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -233,10 +234,8 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter(F.col("lo") != F.col("hi"))
     ties = staged(keyed.join(shared.select("band", "lo"), "band").select("node", "lo").distinct(), "join-ties")
-    plain = sig.join(nodes.select("node", "first_id", "copies"), "node", "left")
     if ties.isEmpty():
-        return plain.select("doc_id", F.coalesce("first_id", "doc_id").alias("class_id"),
-                            F.coalesce(F.col("copies") - 1, F.lit(0)).alias("n_links"), "n_grams")
+        return _per_document(sig, nodes.select("node", "copies", F.col("first_id").alias("class_id"), (F.col("copies") - 1).alias("n_links")))
     comps = connected_components(ties, "node", "lo").withColumnRenamed("label", "comp")
     sized = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     tied = staged(comps.join(sized, "comp").join(nodes.select("node", "copies"), "node"), "join-tied")
@@ -262,11 +261,24 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     names = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
     facts = (nodes.select("node", "first_id", "copies").join(links, "node", "left")
              .join(classes.join(names, "label").select("node", "class_id"), "node", "left")
-             .select("node", F.coalesce("class_id", "first_id").alias("class_id"),
-                     (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    return sig.join(facts, "node", "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams")
+             .select("node", "copies", F.coalesce("class_id", "first_id").alias("class_id"),
+                     (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")))
+    return _per_document(sig, staged(facts, "join-facts"))
+
+
+def _per_document(sig: DataFrame, facts: DataFrame) -> DataFrame:
+    """Each document with its node's class and links.
+
+    Nodes that hold at least 1 / ``HEAVY`` of the documents - at most ``HEAVY`` of them - are
+    broadcast, so a text with very many copies isn't shuffled to one task.
+    """
+    columns = "doc_id", "class_id", "n_links", "n_grams"
+    heavy = facts.filter(F.col("copies") * HEAVY >= sig.count()).drop("copies")
+    alone = sig.filter(F.col("node").isNull()).select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_grams")
+    of_heavy = sig.join(F.broadcast(heavy), "node").select(*columns)
+    rest = sig.join(F.broadcast(heavy.select("node")), "node", "left_anti").join(facts.drop("copies"), "node").select(*columns)
+    return of_heavy.unionByName(rest).unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
