@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surveyspark.llm.common import mix64, slices, staged, texts_of
 from surveyspark.llm.components import connected_components
@@ -291,7 +292,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = jaccard_join(docs.select("doc_id", "text"))
     kept = found.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
     rest = docs.filter(F.col("doc_id").isNull())
-    one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in columns if c != "doc_id"])
+    one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in columns if isinstance(docs.schema[c].dataType, T.AtomicType)])
     first = (docs.join(kept, "doc_id", "left_semi").withColumn("llm_place", F.row_number().over(one))
              .filter(F.col("llm_place") == 1).select(*columns))
     return first.unionByName(rest)
