@@ -167,12 +167,13 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return Trees(langs, parts, order)
 
 
-def predict(df: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``; every other column passes through."""
+def predict(df: DataFrame, trees: Trees, text_col: str = "text", lang_out: str = "lang_pred",
+            score_out: str = "score") -> DataFrame:
+    """``df`` with the language and its score; every other column passes through."""
     model = df.sparkSession.sparkContext.broadcast(trees)
-    keep = [c for c in df.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in df.columns if c not in (lang_out, score_out)]
     schema = T.StructType([df.schema[c] for c in keep]
-                          + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+                          + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
 
     def run(batches):
         trees = model.value
@@ -193,7 +194,7 @@ def predict(df: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(part.schema.get_field_index(c)) for c in keep]
                     + [pa.array(np.where(has, lang, UNDETERMINED), pa.string()), pa.array(np.where(has, share, 0.0))],
-                    names=[*keep, "lang_pred", "score"])
+                    names=[*keep, lang_out, score_out])
 
     return df.select(*keep).mapInArrow(run, schema)
 
@@ -201,5 +202,5 @@ def predict(df: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
 def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """Pipeline stage: documents without a determined language (or below ``min_score``) go."""
     columns = docs.columns
-    found = predict(docs, learn(docs))
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*columns)
+    found = predict(docs, learn(docs), lang_out="llm_lang", score_out="llm_score")
+    return found.filter((F.col("llm_lang") != UNDETERMINED) & (F.col("llm_score") >= min_score)).select(*columns)

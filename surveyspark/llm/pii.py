@@ -104,7 +104,7 @@ def _side_words(offset: Column, side: Column, head_cut: Column, tail_cut: Column
 
 def context_terms(hits: DataFrame) -> DataFrame:
     """(key, entity, context, term, start, end, word): the words around each base span."""
-    spans = hits.select("key", "llm_text", "base", F.explode("base").alias("s"))
+    spans = hits.select("llm_key", "llm_text", "llm_base", F.explode("llm_base").alias("s"))
     begin = F.greatest(F.lit(0), F.col("s.start") - REACH)
     sides = [
         # the outermost word of a side may be cut, so it is left out
@@ -112,21 +112,21 @@ def context_terms(hits: DataFrame) -> DataFrame:
         (F.col("s.end"), F.substr("llm_text", F.col("s.end") + 1, F.lit(REACH)), F.lit(False),
          F.length("llm_text") > F.col("s.end") + REACH)]
     around = F.concat(*[_side_words(*side) for side in sides])
-    free = F.filter(around, lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"]))
+    free = F.filter(around, lambda w: ~F.exists("llm_base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"]))
                     & w["word"].rlike(r"\p{L}"))
-    rows = spans.select("key", _entity(F.col("s")).alias("entity"), free.alias("words"))
+    rows = spans.select("llm_key", _entity(F.col("s")).alias("entity"), free.alias("words"))
     context = F.xxhash64(F.array_join(F.transform("words", lambda w: F.lower(w["word"])), " "))
-    return (rows.select("key", "entity", context.alias("context"), F.explode("words").alias("w"))
-            .select("key", "entity", "context", F.lower("w.word").alias("term"), "w.start", "w.end", "w.word"))
+    return (rows.select("llm_key", "entity", context.alias("context"), F.explode("words").alias("w"))
+            .select("llm_key", "entity", "context", F.lower("w.word").alias("term"), "w.start", "w.end", "w.word"))
 
 
 def disclosing_terms(docs: DataFrame, terms: DataFrame, n_docs: int, support: int = SUPPORT) -> DataFrame:
     """(entity, term, share): how much of the entity's information the term gives away."""
-    df_e = terms.groupBy("entity").agg(F.countDistinct("key").alias("df_e"))
-    pairs = (terms.groupBy("entity", "term", "context").agg(F.min("key").alias("key"))
+    df_e = terms.groupBy("entity").agg(F.countDistinct("llm_key").alias("df_e"))
+    pairs = (terms.groupBy("entity", "term", "context").agg(F.min("llm_key").alias("llm_key"))
              .groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support))
     pairs = staged(pairs, "pii-pairs")
-    df_et = (terms.select("entity", "term", "key").join(pairs.select("entity", "term"), ["entity", "term"], "left_semi")
+    df_et = (terms.select("entity", "term", "llm_key").join(pairs.select("entity", "term"), ["entity", "term"], "left_semi")
              .distinct().groupBy("entity", "term").agg(F.count("*").alias("df_et")))
     wanted = staged(pairs.select("term").distinct(), "pii-terms")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("llm_text"), r"[^\p{L}\p{N}]+"))).alias("term"))
@@ -144,23 +144,23 @@ def disclosing_terms(docs: DataFrame, terms: DataFrame, n_docs: int, support: in
 
 
 def spans_of(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``base`` and ``extra`` arrays of spans and ``llm_text`` (the text, never null)."""
+    """``docs`` with ``llm_base`` and ``llm_extra`` arrays of spans and ``llm_text`` (the text, never null)."""
     docs = docs.withColumn("llm_text", F.coalesce(F.col(text_col), F.lit("")))
     text = F.col("llm_text")
     hit = text.rlike("|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "card", "phone"))) | text.rlike(PATTERNS["email"])
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text), 256)
-    hits = staged(docs.filter(hit).withColumn("base", base_spans(text)).withColumn("key", key), "pii-hits")
+    hits = staged(docs.filter(hit).withColumn("llm_base", base_spans(text)).withColumn("llm_key", key), "pii-hits")
     terms = staged(context_terms(hits), "pii-contexts")
     shares = disclosing_terms(docs, terms, docs.count())
     word_class = F.when(F.col("word").rlike(r"\p{N}"), "[CODE]").when(F.col("word").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
     extra = (terms.join(shares.filter(F.col("share") >= GENERALISE), ["entity", "term"])
-             .groupBy("key", "start", "end").agg(F.max("share").alias("share"), F.first("word").alias("word"))
-             .groupBy("key").agg(F.array_sort(F.collect_list(F.struct(
+             .groupBy("llm_key", "start", "end").agg(F.max("share").alias("share"), F.first("word").alias("word"))
+             .groupBy("llm_key").agg(F.array_sort(F.collect_list(F.struct(
                  "start", F.lit(4).alias("kind"), "end", F.col("word").alias("value"),
-                 F.when(F.col("share") >= REMOVE, F.lit("")).otherwise(word_class).alias("label")))).cast(SPAN).alias("extra")))
+                 F.when(F.col("share") >= REMOVE, F.lit("")).otherwise(word_class).alias("label")))).cast(SPAN).alias("llm_extra")))
     none = F.array().cast(SPAN)
-    with_hits = hits.join(extra, "key", "left").withColumn("extra", F.coalesce("extra", none)).drop("key")
-    without = docs.filter(~hit).withColumn("base", none).withColumn("extra", none)
+    with_hits = hits.join(extra, "llm_key", "left").withColumn("llm_extra", F.coalesce("llm_extra", none)).drop("llm_key")
+    without = docs.filter(~hit).withColumn("llm_base", none).withColumn("llm_extra", none)
     return with_hits.unionByName(without)
 
 
@@ -171,7 +171,7 @@ def _written(spans: Column) -> Column:
 
 
 def all_spans() -> Column:
-    return F.array_sort(F.concat("base", "extra"))
+    return F.array_sort(F.concat("llm_base", "llm_extra"))
 
 
 def sanitised() -> Column:
@@ -186,17 +186,17 @@ def sanitised() -> Column:
 
     done = F.aggregate(all_spans(), start, step)
     whole = F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(F.concat("base", "extra")) == 0, text).otherwise(whole)
+    return F.when(F.size(F.concat("llm_base", "llm_extra")) == 0, text).otherwise(whole)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts, the digest of the base spans and all spans of every document."""
     def n_of(i: int) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+        return F.size(F.filter("llm_base", lambda s: s["kind"] == i)).cast("long")
 
     return spans_of(docs.select("doc_id", "text")).select(
-        "doc_id", *[n_of(i).alias(f"n_{k}") for i, k in enumerate(PATTERNS)], F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
-        _written(all_spans()).alias("spans"), F.size("extra").cast("long").alias("n_term"))
+        "doc_id", *[n_of(i).alias(f"n_{k}") for i, k in enumerate(PATTERNS)], F.sha2(_written(F.col("llm_base")), 256).alias("base_sha256"),
+        _written(all_spans()).alias("spans"), F.size("llm_extra").cast("long").alias("n_term"))
 
 
 def sanitise_stage(docs: DataFrame) -> DataFrame:
@@ -207,6 +207,6 @@ def sanitise_stage(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     out = spans_of(docs).withColumn("llm_new", F.when(F.col("text").isNotNull(), sanitised()))
     if "n_chars" in columns:
-        same = F.size(F.concat("base", "extra")) == 0
+        same = F.size(F.concat("llm_base", "llm_extra")) == 0
         out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("llm_new")).cast(docs.schema["n_chars"].dataType))
     return out.withColumn("text", F.col("llm_new")).select(*columns)

@@ -195,9 +195,9 @@ def round_trip(df: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def encode_stage(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """Pipeline stage: the documents' columns with ids, token count, round trip and parity."""
-    columns = docs.columns
-    found = decode(encode(docs, model), model)
+    """Pipeline stage: the documents' columns with ids, n_tokens, round_trip and parity."""
+    columns = [c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip", "parity")]
+    found = decode(encode(docs.select(*columns), model), model, out_col="llm_decoded")
     return found.select(*columns, "ids", F.size("ids").cast("long").alias("n_tokens"),
-                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+                        (F.col("llm_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
                         (F.col("n_differ") == 0).alias("parity"))
