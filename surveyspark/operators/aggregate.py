@@ -111,37 +111,24 @@ def column_widths(df: DataFrame, cols: Sequence[str] | None = None, pad: int = 3
 
 
 def sequence(df: DataFrame, session: str, order: Sequence[str], out: str = "seq",
-             hot_rows: int = 100_000, max_hot: int = 100_000) -> DataFrame:
-    """WIN-1: 1..n inside each session, ordered by ``order`` (first column numeric or timestamp).
+             hot_rows: int = 100_000) -> DataFrame:
+    """WIN-1: 1..n inside each session, ordered by ``order`` (nulls first; a null session is a session).
 
     Equivalent to ``row_number() over (partition by session order by ...)``.
-    Ordinary sessions are numbered by a plain partitioned window. A hot session
-    (more than ``hot_rows`` rows; one may hold a third of all rows) is cut into
-    equal-width slices of its first order column, about ``hot_rows`` rows per
-    slice; slice counts are prefix-summed and each slice numbers its own rows,
-    so no task sorts a whole hot session. The hot-session table is checkpointed
-    and broadcast within a checked bound.
+    Rows are cut into ordered ranges of (session, order) of about ``hot_rows``
+    rows, each range numbers its own rows and the ranges' counts are
+    prefix-summed per session. The plan is the same at every size, and no task
+    sorts a whole hot session, whether its rows spread out or share a burst.
     """
-    from surveyspark.functions.exprs import materialize_small
-    first = order[0]
-    key = F.col(first).cast("timestamp").cast("double") if dict(df.dtypes)[first].startswith("timestamp") \
-        else F.col(first).cast("double")
-    b = df.withColumn("_ok", key)
-    hot = (b.groupBy(session).agg(F.count(F.lit(1)).alias("_n"), F.min("_ok").alias("_lo"), F.max("_ok").alias("_hi"))
-           .where(F.col("_n") > hot_rows)
-           .withColumn("_nb", F.least(F.ceil(F.col("_n") / hot_rows), F.lit(1_000_000)).cast("long")))
-    hot = materialize_small(hot, max_hot)
-    span = F.col("_hi") - F.col("_lo")
-    bk = F.when(F.col("_nb").isNull() | (span <= 0), F.lit(0).cast("long")).otherwise(
-        F.least(F.floor((F.col("_ok") - F.col("_lo")) / span * F.col("_nb")), F.col("_nb") - 1).cast("long"))
-    b = b.join(hot.select(session, "_lo", "_hi", "_nb"), session, "left").withColumn("_bk", bk) \
-        .drop("_lo", "_hi", "_nb")
+    from surveyspark.operators.joins import null_safe_join
+    from surveyspark.operators.stats_core import ordered_buckets
+    b = ordered_buckets(df, [session], order, rows_per_bucket=hot_rows)
     cnt = b.groupBy(session, "_bk").agg(F.count(F.lit(1)).alias("_bn"))
     wb = Window.partitionBy(session).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
     wi = Window.partitionBy(session, "_bk").orderBy(*order)
-    return (b.join(off, [session, "_bk"]).withColumn(out, (F.col("_off") + F.row_number().over(wi)).cast("int"))
-            .drop("_ok", "_bk", "_off"))
+    return (null_safe_join(b, off, [session, "_bk"])
+            .withColumn(out, (F.col("_off") + F.row_number().over(wi)).cast("int")).drop("_bk", "_off"))
 
 
 def share_of_total(df: DataFrame, n: str, by: Sequence[str], out: str = "pct") -> DataFrame:
@@ -156,7 +143,8 @@ def share_of_total(df: DataFrame, n: str, by: Sequence[str], out: str = "pct") -
         from surveyspark.operators.joins import with_scalars
         j = with_scalars(df, tot)
     else:
-        j = df.join(df.groupBy(*by).agg(F.sum(n).alias("__tot")), by)
+        from surveyspark.operators.joins import null_safe_join
+        j = null_safe_join(df, df.groupBy(*by).agg(F.sum(n).alias("__tot")), by)
     return j.withColumn(out, F.col(n) * 100.0 / F.col("__tot")).drop("__tot")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions import fixed_values as FV
 from surveyspark.operators import stats_core as S
-from surveyspark.operators.joins import with_scalars
+from surveyspark.operators.joins import null_safe_join, with_scalars
 
 
 def keep_valid(df: DataFrame, col: str, value=0) -> DataFrame:
@@ -87,7 +87,7 @@ def impute_median(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ())
     if not cols:
         return df
     med = S.medians(df, cols, keys).select(*keys, *[F.col(x).alias(f"__med_{x}") for x in cols])
-    joined = df.join(med, list(keys), "left") if keys else with_scalars(df, med)   # keyed: planner / AQE
+    joined = null_safe_join(df, med, keys, "left") if keys else with_scalars(df, med)   # keyed: planner / AQE
     out = joined.withColumns({x: F.coalesce(F.col(x).cast("double"), F.col(f"__med_{x}")) for x in cols})
     return out.drop(*[f"__med_{x}" for x in cols])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from surveyspark.functions import exprs as X
 from surveyspark.functions import fixed_values as FV
 from surveyspark.operators import stats_core as S
-from surveyspark.operators.joins import with_scalars
+from surveyspark.operators.joins import null_safe_join, with_scalars
 
 
 def flag_below(df: DataFrame, spec: Mapping[str, tuple]) -> DataFrame:
@@ -38,7 +38,7 @@ def split_at_median(df: DataFrame, col: str, out: str, strict: bool = False,
                     keys: Sequence[str] = ()) -> DataFrame:
     """DRV-10: dichotomise at the column's own exact median (``>=``; ``>`` if strict)."""
     med = S.medians(df, [col], keys).select(*keys, F.col(col).alias("__median"))
-    j = df.join(med, list(keys), "left") if keys else with_scalars(df, med)   # keyed: planner / AQE
+    j = null_safe_join(df, med, keys, "left") if keys else with_scalars(df, med)   # keyed: planner / AQE
     cond = (F.col(col) > F.col("__median")) if strict else (F.col(col) >= F.col("__median"))
     return j.withColumn(out, cond.cast("int")).drop("__median")
 

@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyspark.operators.joins import with_scalars
+from surveyspark.operators.joins import null_safe_join, with_scalars
 
 _ONE = "__grp"
 
@@ -41,7 +41,7 @@ def ordered_prefix(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[
     boff = btot.select(*gk, "_bk", *[F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0.0)).alias(f"_bo_{c}")
                                      for c in cols])
     wi = Window.partitionBy(*gk, "_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    j = b.join(boff, [*gk, "_bk"])
+    j = null_safe_join(b, boff, [*gk, "_bk"])
     return j.select(*[x for x in b.columns if x != "_bk"],
                     *[(F.col(f"_bo_{c}") + F.coalesce(F.sum(c).over(wi), F.lit(0.0))).alias(f"{prefix}{c}")
                       for c in cols])
@@ -76,7 +76,7 @@ def roc_points(df: DataFrame, y: str, p: str, w: str | None = None, by: Sequence
     d, gk = _keys(df, by)
     st = ordered_prefix(score_table(d, y, p, w, gk), gk, "_s", ["wp", "wn"])
     tot = st.groupBy(*gk).agg(F.sum("wp").alias("_TP"), F.sum("wn").alias("_TN"))
-    j = st.join(tot, gk)
+    j = null_safe_join(st, tot, gk)
     tp_at = F.col("_TP") - F.col("cum_wp")
     fp_at = F.col("_TN") - F.col("cum_wn")
     res = j.select(*gk, F.col("_s").alias("threshold"), F.try_divide(fp_at, F.col("_TN")).alias("fpr"),
@@ -176,7 +176,7 @@ def confusion(df: DataFrame, y: str, yhat: str, w: str | None = None, normalise:
     if not normalise:
         return c
     rows = c.groupBy(*by, y).agg(F.sum("weight").alias("_row"))
-    return c.join(rows, [*by, y]).withColumn("share", F.col("weight") / F.col("_row")).drop("_row")
+    return null_safe_join(c, rows, [*by, y]).withColumn("share", F.col("weight") / F.col("_row")).drop("_row")
 
 
 def metric_table(df: DataFrame, y: str, p: str, w: str | None, by: Sequence[str], cutoff: float = 0.5,
@@ -205,7 +205,7 @@ def metric_table(df: DataFrame, y: str, p: str, w: str | None, by: Sequence[str]
     rest = s.select(*by, (F.col("_ll") / F.col("_w")).alias("log_loss"),
                     ((f1_pos * present1 + f1_neg * present0) / (present1 + present0)).alias("f1_macro"))
     auc = weighted_auc(df, y, p, w, by)
-    return auc.join(rest, list(by)) if by else with_scalars(auc, rest)
+    return null_safe_join(auc, rest, by) if by else with_scalars(auc, rest)
 
 
 def gap_table(scored: DataFrame, y: str, p: str, w: str | None, model: str = "model", split: str = "split",

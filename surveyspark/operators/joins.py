@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 _K = "__one"
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other, as they do in a group-by; keys come from the left."""
+    keys = list(keys)
+    named = right.select(*[F.col(k).alias(f"__rk{i}") for i, k in enumerate(keys)],
+                         *[F.col(c) for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__rk{i}"))
+    return left.join(named, on, how).drop(*[f"__rk{i}" for i in range(len(keys))])
+
+
 def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str] | str, how: str = "left",
                 max_rows: int | None = 1_000_000) -> DataFrame:
     """JN-1: left equi-join to a lookup; broadcast after a bounded size check."""

@@ -12,8 +12,9 @@ from typing import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import (GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
+                                       LogisticRegressionModel,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,13 +28,35 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def ridge_logistic(C: float = 1.0, sum_w: float = 1.0, weight: str | None = "w", max_iter: int = 100):
-    """MDL-1: L2 logistic regression; regParam = 1 / (C * sum of weights), no internal standardisation."""
-    kw = dict(elasticNetParam=0.0, regParam=1.0 / (C * sum_w), standardization=False, maxIter=max_iter,
-              labelCol="label", featuresCol="features")
-    if weight:
-        kw["weightCol"] = weight
-    return LogisticRegression(**kw)
+def sum_of_weights(df: DataFrame, weight: str | None) -> float:
+    """The weight of the rows being fitted (their number without a weight)."""
+    total = df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
+    if not total or total <= 0:
+        raise ValueError("no weight to fit on")
+    return float(total)
+
+
+class RidgeLogistic:
+    """MDL-1: L2 logistic regression that minimises C * weighted loss + |coefficients|^2 / 2.
+
+    MLlib averages the loss over the weights, so regParam = 1 / (C * sum of the
+    weights of the rows being fitted), computed in ``fit``. No internal standardisation.
+    """
+
+    def __init__(self, C: float = 1.0, weight: str | None = "w", max_iter: int = 100):
+        self.C, self.weight, self.max_iter = C, weight, max_iter
+
+    def fit(self, df: DataFrame):
+        kw = dict(elasticNetParam=0.0, regParam=1.0 / (self.C * sum_of_weights(df, self.weight)), standardization=False,
+                  maxIter=self.max_iter, labelCol="label", featuresCol="features")
+        if self.weight:
+            kw["weightCol"] = self.weight
+        return LogisticRegression(**kw).fit(df)
+
+
+def ridge_logistic(C: float = 1.0, weight: str | None = "w", max_iter: int = 100) -> RidgeLogistic:
+    """MDL-1: the estimator; its penalty follows the rows that it is fitted on."""
+    return RidgeLogistic(C, weight, max_iter)
 
 
 def random_forest(trees: int = 300, depth: int = 10, min_leaf: int = 1, weight: str | None = "w", seed: int = 2018):
@@ -93,15 +116,16 @@ class RbfSvm:
 
     def fit(self, df: DataFrame) -> "RbfSvm":
         m = self._map(df)
-        kw = dict(regParam=1.0 / (self.C * max(1.0, float(m.count()))), maxIter=self.max_iter,
-                  labelCol="label", featuresCol="_rff", rawPredictionCol="_raw", predictionCol="_svm_pred")
+        kw = dict(regParam=1.0 / (self.C * sum_of_weights(df, self.weight)), maxIter=self.max_iter,
+                  standardization=False, labelCol="label", featuresCol="_rff", rawPredictionCol="_raw", predictionCol="_svm_pred")
         if self.weight:
             kw["weightCol"] = self.weight
         self.svm = LinearSVC(**kw).fit(m)
         marg = self.svm.transform(m).withColumn("_margin", vector_to_array("_raw")[1])
         cal = VectorAssembler(inputCols=["_margin"], outputCol="_mv").transform(marg)
-        self.platt = LogisticRegression(featuresCol="_mv", labelCol="label", regParam=0.0,
-                                        probabilityCol="_pp", rawPredictionCol="_pr", predictionCol="_pl").fit(cal)
+        kw = dict(weightCol=self.weight) if self.weight else {}
+        self.platt = LogisticRegression(featuresCol="_mv", labelCol="label", regParam=0.0, probabilityCol="_pp",
+                                        rawPredictionCol="_pr", predictionCol="_pl", **kw).fit(cal)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -112,6 +136,24 @@ class RbfSvm:
                                                                "_pp", "_margin")
 
 
+    def save(self, path: str, spark) -> None:
+        """The feature map as a table, the fitted margin and calibration as MLlib models."""
+        facts = spark.createDataFrame([(self.C, self.weight, self.max_iter, self.W.shape[0], self.W.ravel().tolist(),
+                                        self.b.tolist())],
+                                      "C double, weight string, max_iter int, n_in int, W array<double>, b array<double>")
+        facts.write.mode("overwrite").parquet(f"{path}/map")
+        self.svm.write().overwrite().save(f"{path}/svm")
+        self.platt.write().overwrite().save(f"{path}/platt")
+
+    @classmethod
+    def load(cls, path: str, spark) -> "RbfSvm":
+        r = spark.read.parquet(f"{path}/map").first()
+        out = cls(r["n_in"], r["C"], n_features=len(r["b"]), weight=r["weight"], max_iter=r["max_iter"])
+        out.W, out.b = np.array(r["W"]).reshape(r["n_in"], -1), np.array(r["b"])
+        out.svm, out.platt = LinearSVCModel.load(f"{path}/svm"), LogisticRegressionModel.load(f"{path}/platt")
+        return out
+
+
 def positive_probability(scored: DataFrame, out: str = "prob") -> DataFrame:
     """JN-3: predictions stay attached to their rows; take P(class 1) from the probability vector."""
     return scored.withColumn(out, vector_to_array(F.col("probability"))[1])
@@ -204,11 +246,19 @@ def learning_curve(make, df: DataFrame, sizes: Sequence[float], fold: str, seed:
 
 
 def save_if(model, metric: float, threshold: float, path: str, side_tables: Mapping[str, DataFrame] | None = None) -> bool:
-    """SNK-4: persist the model and its side tables only when the quality gate passes (rule Q11)."""
+    """SNK-4: persist the model and its side tables only when the quality gate passes (rule Q11).
+
+    A model that cannot be written raises; nothing is reported as saved that isn't.
+    """
     if metric is None or metric < threshold:
         return False
-    if isinstance(model, (PipelineModel,)) or hasattr(model, "write"):
+    if isinstance(model, RbfSvm):
+        from pyspark.sql import SparkSession
+        model.save(f"{path}/model", SparkSession.active())
+    elif hasattr(model, "write"):
         model.write().overwrite().save(f"{path}/model")
+    else:
+        raise TypeError(f"{type(model).__name__} cannot be saved")
     for name, t in (side_tables or {}).items():
         t.write.mode("overwrite").parquet(f"{path}/{name}")
     return True

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from surveyspark.functions import fixed_values as FV
 from surveyspark.operators import stats_core as S
 from surveyspark.operators.clean import text_na_mask
+from surveyspark.operators.joins import null_safe_join
 
 VAR, VAL = S.VAR, S.VAL
 
@@ -26,8 +27,8 @@ def _counts(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> Dat
 
 
 def bias_corrected(n: Column, g1: Column, g2: Column):
-    """STA-3: sample skewness G1 and excess kurtosis G2 from population g1, g2."""
-    n = n.cast("double")
+    """STA-3: sample skewness G1 and excess kurtosis G2 from population g1, g2; null for fewer than 4 values."""
+    n = F.when(n > 3, n.cast("double"))
     G1 = g1 * F.sqrt(n * (n - 1.0)) / (n - 2.0)
     G2 = ((n + 1.0) * g2 + 6.0) * (n - 1.0) / ((n - 2.0) * (n - 3.0))
     return G1, G2
@@ -39,8 +40,8 @@ def dagostino_p(n: Column, g1: Column, g2: Column) -> Column:
 
 
 def dagostino_k2(n: Column, g1: Column, g2: Column) -> Column:
-    """STA-1: omnibus statistic K2 = Z1^2 + Z2^2 from n and population g1, g2."""
-    n = n.cast("double")
+    """STA-1: omnibus statistic K2 = Z1^2 + Z2^2 from n and population g1, g2; null for fewer than 4 values."""
+    n = F.when(n > 3, n.cast("double"))
     y = g1 * F.sqrt((n + 1.0) * (n + 3.0) / (6.0 * (n - 2.0)))
     beta2 = 3.0 * (n * n + 27.0 * n - 70.0) * (n + 1.0) * (n + 3.0) / (
         (n - 2.0) * (n + 5.0) * (n + 7.0) * (n + 9.0))
@@ -67,7 +68,7 @@ def describe(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
     mom = S.moments_from_counts(cnt, keys)
     qs = S.exact_quantiles(cnt, probs, keys, names=[f"q{int(p * 100)}" for p in probs], materialize=False)
     mode = S.mode_from_counts(cnt, keys)
-    return mom.join(qs, gk).join(mode, gk)
+    return null_safe_join(null_safe_join(mom, qs, gk), mode, gk)
 
 
 def profile_continuous(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -79,29 +80,31 @@ def profile_continuous(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                     F.col("q75").alias("Q3"), F.col("max").alias("Max"))
 
 
-def profile_discrete(df: DataFrame, cols: Sequence[str], shapiro_cap: int = 5000,
+def profile_discrete(df: DataFrame, cols: Sequence[str], test: str = "dagostino",
                      shapiro: DataFrame | None = None, digits: int | None = 3) -> DataFrame:
     """AGG-3: full profile with normality test.
 
-    Shapiro-Wilk applies when n <= ``shapiro_cap`` (its statistic comes from
-    ``inference.shapiro`` in ``shapiro``: variable, W, p); otherwise the
-    D'Agostino-Pearson omnibus test is computed from the moments.
+    ``test`` names the test of the report, whatever the number of rows:
+    ``"dagostino"`` (D'Agostino-Pearson omnibus, from the moments) or
+    ``"shapiro"``, whose statistic comes from ``inference.shapiro`` in
+    ``shapiro`` (variable, W, p). A test without a p-value has no verdict.
     """
+    if test not in ("dagostino", "shapiro") or (test == "shapiro" and shapiro is None):
+        raise ValueError("test is 'dagostino', or 'shapiro' with its statistics")
     d = describe(df, cols)
     G1, G2 = bias_corrected(F.col("n_obs"), F.col("g1"), F.col("g2"))
     n = F.col("n_obs")
-    dag_p = dagostino_p(n, F.col("g1"), F.col("g2"))
     # column names are case-insensitive: the corrected moments get distinct names
-    out = d.withColumns({"skew_c": G1, "kurt_c": G2, "dag_p": dag_p})
-    if shapiro is not None:
-        out = out.join(shapiro.select(VAR, F.col("W").alias("sw_w"), F.col("p").alias("sw_p")), VAR, "left")
+    out = d.withColumns({"skew_c": G1, "kurt_c": G2})
+    if test == "shapiro":
+        out = out.join(shapiro.select(VAR, F.col("W").alias("_stat"), F.col("p").alias("_p")), VAR, "left")
+        test_name = "Shapiro-Wilk"
     else:
-        out = out.withColumns({"sw_w": F.lit(None).cast("double"), "sw_p": F.lit(None).cast("double")})
-    use_sw = n <= shapiro_cap
-    dag_stat = _dag_k2(n, F.col("g1"), F.col("g2"))
-    test = F.when(use_sw, "Shapiro-Wilk").otherwise("D'Agostino-Pearson")
-    stat = F.when(use_sw, F.col("sw_w")).otherwise(dag_stat)
-    pval = F.when(use_sw, F.col("sw_p")).otherwise(F.col("dag_p"))
+        out = out.withColumns({"_stat": dagostino_k2(n, F.col("g1"), F.col("g2")),
+                               "_p": dagostino_p(n, F.col("g1"), F.col("g2"))})
+        test_name = "D'Agostino-Pearson"
+    stat, pval = F.col("_stat"), F.col("_p")
+
     def rd(c, d):
         c = F.col(c) if isinstance(c, str) else c
         return c if digits is None else F.round(c, d)
@@ -114,13 +117,9 @@ def profile_discrete(df: DataFrame, cols: Sequence[str], shapiro_cap: int = 5000
         rd("q25", digits).alias("Q25"), rd("q75", digits).alias("Q75"),
         rd(F.col("q75") - F.col("q25"), digits).alias("IQR"),
         rd("skew_c", digits).alias("Skewness"), rd("kurt_c", digits).alias("Kurtosis"),
-        test.alias("Nom_Test_Normalite"), rd(stat, 4).alias("Stat_Test_Normalite"),
+        F.lit(test_name).alias("Nom_Test_Normalite"), rd(stat, 4).alias("Stat_Test_Normalite"),
         pval.alias("p_value_Normalite"),
-        F.when(pval < 0.05, "Non normale").otherwise("Normale").alias("Distribution"))
-
-
-def _dag_k2(n, g1, g2) -> Column:
-    return dagostino_k2(n, g1, g2)
+        F.when(pval < 0.05, "Non normale").when(pval >= 0.05, "Normale").alias("Distribution"))
 
 
 def dagostino(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -174,12 +173,12 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30, density: bool
     return out if density else out.drop("density")
 
 
-def kde(df: DataFrame, cols: Sequence[str], grid: int = 100, cutoff_sd: float = 8.0) -> DataFrame:
+def kde(df: DataFrame, cols: Sequence[str], grid: int = 100) -> DataFrame:
     """AGG-15: Gaussian kernel density on an even grid from min to max.
 
-    Bandwidth = sample sd * n^(-1/5) (Scott). Each distinct value contributes
-    only to grid points within ``cutoff_sd`` bandwidths (exp(-32) ~ 1e-14 is
-    dropped), exploded in place - no join of grid and data.
+    Bandwidth = sample sd * n^(-1/5) (Scott). Every distinct value contributes
+    to every grid point, exploded in place (``grid`` rows per distinct value,
+    summed before the shuffle) - no join of grid and data.
     """
     cnt = _counts(df, cols)
     mom = S.moments_from_counts(cnt).select(
@@ -187,10 +186,8 @@ def kde(df: DataFrame, cols: Sequence[str], grid: int = 100, cutoff_sd: float =
         (F.col("sd") * F.pow(F.col("n_obs").cast("double"), -0.2)).alias("_h"))
     step = (F.col("_mx") - F.col("_mn")) / float(grid - 1)
     j = cnt.join(F.broadcast(mom), VAR).withColumn("_st", step)
-    lo = F.greatest(F.lit(0), F.ceil((F.col(VAL) - cutoff_sd * F.col("_h") - F.col("_mn")) / F.col("_st")))
-    hi = F.least(F.lit(grid - 1), F.floor((F.col(VAL) + cutoff_sd * F.col("_h") - F.col("_mn")) / F.col("_st")))
     ex = j.where((F.col("_h") > 0) & (F.col("_st") > 0)).withColumn(
-        "g", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
+        "g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     x = F.col("_mn") + F.col("g") * F.col("_st")
     u = (x - F.col(VAL)) / F.col("_h")
     contrib = F.col("n") * F.exp(-0.5 * u * u)
@@ -215,21 +212,25 @@ def box_stats(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     return agg.join(mom, VAR)
 
 
+def _plain(col: str) -> Column:
+    """A number as the report prints it: whole numbers without decimals."""
+    whole = F.col(col) == F.floor(col)
+    return F.when(whole, F.col(col).cast("long").cast("string")).otherwise(F.col(col).cast("string"))
+
+
 def render_report(profile: DataFrame) -> DataFrame:
     """SNK-3: one 7-line text block per variable from a ``profile_discrete(digits=None)`` frame."""
     p = profile
-    txt = F.concat_ws(
-        "\n",
+    lines = (
         F.concat(F.lit("ANALYSE DE LA VARIABLE : "), F.upper("Variable")),
         F.lit("-" * 40),
-        F.format_string("Tendance centrale : Moyenne = %.2f | Mediane = %.2f | Mode = %s",
-                        F.col("Moyenne"), F.col("Mediane"), F.col("Mode").cast("string")),
-        F.format_string("Dispersion : Ecart-type = %.2f | Variance = %.2f | IQR = %.2f [Min: %s, Max: %s]",
-                        F.col("Ecart_Type"), F.col("Variance"), F.col("IQR"),
-                        F.col("Min").cast("string"), F.col("Max").cast("string")),
+        F.format_string("Tendance centrale : Moyenne = %.2f | Médiane = %.2f | Mode = %s",
+                        F.col("Moyenne"), F.col("Mediane"), _plain("Mode")),
+        F.format_string("Dispersion : Écart-type = %.2f | Variance = %.2f | IQR = %.2f [Min: %s, Max: %s]",
+                        F.col("Ecart_Type"), F.col("Variance"), F.col("IQR"), _plain("Min"), _plain("Max")),
         F.format_string("Forme de la distribution : Skewness = %.2f | Kurtosis = %.2f",
                         F.col("Skewness"), F.col("Kurtosis")),
-        F.format_string("Test de normalite (%s) : Statistique = %.4f, p-value = %.4e",
+        F.format_string("Test de normalité (%s) : Statistique = %.4f, p-value = %.4e",
                         F.col("Nom_Test_Normalite"), F.col("Stat_Test_Normalite"), F.col("p_value_Normalite")),
-        F.concat(F.lit("Conclusion : La distribution est "), F.col("Distribution"), F.lit(".")))
-    return p.select("Variable", txt.alias("report"))
+        F.concat(F.lit("Conclusion : La distribution est "), F.coalesce("Distribution", F.lit("indéterminée")), F.lit(".")))
+    return p.select("Variable", F.concat_ws("\n", *lines).alias("report"))

@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyspark.operators.joins import with_scalars
+from surveyspark.operators.joins import null_safe_join, with_scalars
 
 
 def seeded_hash(seed, key) -> Column:
@@ -43,7 +43,7 @@ def hash_rank(df: DataFrame, h: str, partition: Sequence[str] = (), digits: int
     wb = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
     wi = Window.partitionBy(*part, "_bk").orderBy(h)
-    return (b.join(off, [*part, "_bk"])
+    return (null_safe_join(b, off, [*part, "_bk"])
             .withColumn(out, F.col("_off") + F.row_number().over(wi))
             .drop("_bk", "_off"))
 
@@ -115,7 +115,7 @@ def sample_n(df: DataFrame, n: int, seed, key: Sequence[str] | str, by: Sequence
     wb = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     need = (cnt.withColumn("_before", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
             .where(F.col("_before") < n).select(*by, "_bk"))
-    kept = b.join(need, [*by, "_bk"], "left_semi").drop("_bk")
+    kept = null_safe_join(b, need, [*by, "_bk"], "left_semi").drop("_bk")
     r = hash_rank(kept, "_h", by, digits=digits, out="_r")
     return r.where(F.col("_r") <= n).drop("_h", "_r")
 

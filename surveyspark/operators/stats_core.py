@@ -19,6 +19,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyspark.operators.joins import null_safe_join
+
 VAR = "variable"
 VAL = "value"
 
@@ -60,12 +62,12 @@ def moments_from_counts(counts: DataFrame, keys: Sequence[str] = (), var: str =
         (F.sum(F.col("n") * F.col(val)) / F.sum("n")).alias("mean"),
         F.min(val).alias("min"), F.max(val).alias("max"))
     dev = F.col(val) - F.col("mean")
-    cm = (counts.join(per_group(tot.select(*gk, "mean", "n_obs"), keys), gk)
+    cm = (null_safe_join(counts, per_group(tot.select(*gk, "mean", "n_obs"), keys), gk)
           .groupBy(*gk).agg(
               F.sum(F.col("n") * dev * dev).alias("m2s"),
               F.sum(F.col("n") * dev * dev * dev).alias("m3s"),
               F.sum(F.col("n") * dev * dev * dev * dev).alias("m4s")))
-    out = tot.join(cm, gk)
+    out = null_safe_join(tot, cm, gk)
     n = F.col("n_obs").cast("double")
     m2 = F.col("m2s") / n
     var_s = F.try_divide(F.col("m2s"), n - 1.0)
@@ -112,13 +114,13 @@ def exact_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[st
     n_big = stats["n"]
     big = big_d.select(*gk)
     parr = F.array(*[F.lit(float(p)) for p in probs])
-    small = counts if n_big == 0 else counts.join(per_group(big, keys), gk, "left_anti")
+    small = counts if n_big == 0 else null_safe_join(counts, per_group(big, keys), gk, "left_anti")
     res_small = small.groupBy(*gk).agg(F.percentile(F.col(val), parr, F.col("n")).alias("_qs")).select(
         *gk, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
     if n_big == 0:
         return res_small
     # ordered buckets of about ``bucket_rows`` distinct values each
-    res_big = _bucketed_quantiles(counts.join(per_group(big, keys), gk, "left_semi"), probs, gk, val,
+    res_big = _bucketed_quantiles(null_safe_join(counts, per_group(big, keys), gk, "left_semi"), probs, gk, val,
                                   bucket_rows, names, n_rows=int(stats["drows"]))
     return res_small.unionByName(res_big)
 
@@ -150,15 +152,15 @@ def _bucketed_quantiles(counts: DataFrame, probs, gk, val, buckets, names, n_row
     keyed = gk[:-1]
     # 1. ordered buckets of distinct values (balanced range partitions)
     cuts = counts.groupBy(*gk).agg(F.sum("n").alias("_N"))
-    b = ordered_buckets(counts, gk, [val], rows_per_bucket=max(1, buckets), n_rows=n_rows).join(
-        per_group(cuts, keyed), gk)
+    b = null_safe_join(ordered_buckets(counts, gk, [val], rows_per_bucket=max(1, buckets), n_rows=n_rows),
+                       per_group(cuts, keyed), gk)
     # 2. bucket totals, prefix-summed in bucket order (<= buckets rows per variable)
     btot = b.groupBy(*gk, "_bk").agg(F.sum("n").alias("_bn"))
     wb = Window.partitionBy(*gk).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     boff = btot.withColumn("_boff", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
     # 3. rank inside each bucket (a bucket is a slice of distinct values)
     wi = Window.partitionBy(*gk, "_bk").orderBy(val).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (b.join(per_group(boff.select(*gk, "_bk", "_boff"), keyed), [*gk, "_bk"])
+    ranked = (null_safe_join(b, per_group(boff.select(*gk, "_bk", "_boff"), keyed), [*gk, "_bk"])
               .withColumn("_start", F.col("_boff") + F.coalesce(F.sum("n").over(wi), F.lit(0)))
               .select(*gk, val, "_start", (F.col("_start") + F.col("n")).alias("_end"), "_N"))
     # 4. target 0-based positions floor(h), floor(h)+1 of h = (N-1) p
@@ -174,13 +176,13 @@ def _bucketed_quantiles(counts: DataFrame, probs, gk, val, buckets, names, n_row
         F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_pos")),
         F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_pos")))).alias("_t")).select(
         *gk, "_pi", "_t._side", "_t._pos")
-    hit = (ranked.join(per_group(pos, keyed), gk)
+    hit = (null_safe_join(ranked, per_group(pos, keyed), gk)
            .where((F.col("_start") <= F.col("_pos")) & (F.col("_pos") < F.col("_end")))
            .select(*gk, "_pi", "_side", val))
     pairs = hit.groupBy(*gk, "_pi").agg(
         F.max(F.when(F.col("_side") == 0, F.col(val))).alias("_vlo"),
         F.max(F.when(F.col("_side") == 1, F.col(val))).alias("_vhi"))
-    q = (pairs.join(targets.select(*gk, "_pi", "_frac"), [*gk, "_pi"])
+    q = (null_safe_join(pairs, targets.select(*gk, "_pi", "_frac"), [*gk, "_pi"])
          .withColumn("_q", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))))
     return q.groupBy(*gk).agg(*[
         F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])

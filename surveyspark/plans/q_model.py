@@ -67,7 +67,7 @@ def _fit_and_table(spark, sf, est):
 
 @query("mdl01_ridge_logistic")
 def mdl01(spark, sf):
-    return _fit_and_table(spark, sf, M.ridge_logistic(C=1.0, sum_w=1.0, weight="w_bal"))
+    return _fit_and_table(spark, sf, M.ridge_logistic(C=1.0, weight="w_bal"))
 
 
 @query("mdl02_random_forest")
@@ -94,7 +94,7 @@ def mdl05(spark, sf):
 @query("mdl08_compete")
 def mdl08(spark, sf):
     df, _ = encoded(spark, sf)
-    models = {"logistic": M.ridge_logistic(C=0.1, sum_w=1.0, weight="w_bal"),
+    models = {"logistic": M.ridge_logistic(C=0.1, weight="w_bal"),
               "forest": M.random_forest(trees=30, depth=4, min_leaf=30, weight="w_bal")}
     _, table = M.compete(df.where(F.col("split") == "train"), df, models, "label", "w", "split")
     return table.select("model", "split", *[_r(F.col(c), 4).alias(c) for c in ("auc", "log_loss", "f1_macro")])
@@ -105,7 +105,7 @@ def tun01(spark, sf):
     df, _ = encoded(spark, sf)
     tr = df.where(F.col("split") == "train")
     space = {"C": ("log", 0.01, 10.0), "iters": [25, 50]}
-    _, res = M.random_search(lambda p: M.ridge_logistic(C=p["C"], sum_w=1.0, weight="w_bal", max_iter=p["iters"]),
+    _, res = M.random_search(lambda p: M.ridge_logistic(C=p["C"], weight="w_bal", max_iter=p["iters"]),
                              space, tr, "gfold", n_draws=6, seed=2018, y="label")
     return res.select("draw", "params", _r(F.col("mean_auc"), 4).alias("mean_auc"))
 
@@ -114,7 +114,7 @@ def tun01(spark, sf):
 def tun02(spark, sf):
     df, _ = encoded(spark, sf)
     tr = df.where(F.col("split") == "train")
-    lc = M.learning_curve(lambda: M.ridge_logistic(C=1.0, sum_w=1.0, weight="w_bal", max_iter=25), tr,
+    lc = M.learning_curve(lambda: M.ridge_logistic(C=1.0, weight="w_bal", max_iter=25), tr,
                           [0.2, 0.4, 0.6, 0.8, 1.0], "gfold", 11, ROW_KEY, y="label")
     return lc.select("size", _r(F.col("train"), 4).alias("train_auc"), _r(F.col("validation"), 4).alias("validation_auc"))
 

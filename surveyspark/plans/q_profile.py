@@ -51,7 +51,7 @@ SELECT gg.variable AS Variable, n AS Effectif_Valide, ROUND(mean, 3) AS Moyenne,
   ROUND(mode, 3) AS Mode, ROUND(sd, 3) AS Ecart_Type, ROUND(var_s, 3) AS Variance, mn AS Min, mx AS Max,
   ROUND(q25, 3) AS Q25, ROUND(q75, 3) AS Q75, ROUND(q75 - q25, 3) AS IQR,
   ROUND({_G1}, 3) AS Skewness, ROUND({_G2}, 3) AS Kurtosis,
-  CASE WHEN n <= 5000 THEN 'Shapiro-Wilk' ELSE 'D''Agostino-Pearson' END AS Nom_Test_Normalite,
+  'D''Agostino-Pearson' AS Nom_Test_Normalite,
   ROUND({_K2}, 4) AS Stat_Test_Normalite, ROUND({_DAG}, 6) AS p_value_Normalite,
   CASE WHEN {_DAG} < 0.05 THEN 'Non normale' ELSE 'Normale' END AS Distribution
 FROM gg JOIN md USING (variable) JOIN qq USING (variable)""")
@@ -155,9 +155,7 @@ c AS (SELECT variable, value, COUNT(*) AS n FROM l GROUP BY 1, 2),
 m AS (SELECT variable, COUNT(*) AS nn, MIN(value) AS mn, MAX(value) AS mx,
         STDDEV_SAMP(value) * pow(CAST(COUNT(*) AS DOUBLE), -0.2) AS h FROM l GROUP BY 1),
 j AS (SELECT c.variable, c.value, c.n, m.nn, m.mn, m.h, (m.mx - m.mn) / 99.0 AS st FROM c JOIN m USING (variable)),
-e AS (SELECT j.*, g.g FROM j JOIN range(0, 100) g(g)
-        ON g.g >= GREATEST(0, ceil((j.value - 8.0 * j.h - j.mn) / j.st))
-       AND g.g <= LEAST(99, floor((j.value + 8.0 * j.h - j.mn) / j.st)))
+e AS (SELECT j.*, g.g FROM j CROSS JOIN range(0, 100) g(g))
 SELECT variable, CAST(g AS INTEGER) AS grid_index, ROUND(mn + g * st, 6) AS x,
   ROUND(SUM(n * exp(-0.5 * ((mn + g * st - value) / h) * ((mn + g * st - value) / h))) / (nn * h * sqrt(2 * pi()))
         * (99.0 * st), 8) AS density_scaled

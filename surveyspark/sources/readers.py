@@ -30,11 +30,21 @@ def load_raw(spark: SparkSession, path: str, codes: Sequence[str] | None = None,
 
 def read_batch(spark: SparkSession, path: str, schema: T.StructType | str,
                corrupt: str = "_corrupt_record") -> DataFrame:
-    """SRC-3: CSV batch of records to score; PERMISSIVE mode keeps malformed lines in ``corrupt``."""
+    """SRC-3: CSV batch of records to score; PERMISSIVE mode keeps malformed lines in ``corrupt``.
+
+    Columns bind by their header name, in any order; columns outside ``schema``
+    are left out and columns that the files lack are null. Files of one batch
+    share a header: a file with another one raises.
+    """
     st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    st = T.StructType(list(st.fields) + [T.StructField(corrupt, T.StringType(), True)])
-    return (spark.read.option("header", True).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", corrupt).schema(st).csv(path))
+    header = spark.read.option("header", True).csv(path).columns
+    known = {f.name: f.dataType for f in st.fields}
+    in_file = T.StructType([T.StructField(c, known.get(c, T.StringType()), True) for c in header]
+                           + [T.StructField(corrupt, T.StringType(), True)])
+    df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+          .option("columnNameOfCorruptRecord", corrupt).schema(in_file).csv(path))
+    return df.select(*[F.col(f"`{f.name}`") if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in st.fields], corrupt)
 
 
 def read_json_records(df_or_spark, source, schema: T.StructType | str, col: str | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 import math
 
 import numpy as np
@@ -60,3 +61,29 @@ def test_box_stats_whiskers(spark):
     inside = a[(a >= lo) & (a <= hi)]
     assert r.whisker_lo == inside.min() and r.whisker_hi == inside.max()
     assert r.n_outliers == int(((a < lo) | (a > hi)).sum())
+
+
+def test_normality_test_is_named_not_chosen_by_size(spark):
+    """A skewed sample of the survey's own size is not normal, and no verdict stands without a p-value."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(float(v),) for v in rng.exponential(size=4423).round(3)], "a double")
+    r = P.profile_discrete(df, ["a"]).first()
+    assert r.Distribution == "Non normale" and r.Nom_Test_Normalite == "D'Agostino-Pearson"
+    sw = spark.createDataFrame([("a", 0.9, 1e-9)], "variable string, W double, p double")
+    r = P.profile_discrete(df, ["a"], test="shapiro", shapiro=sw).first()
+    assert (r.Nom_Test_Normalite, r.Stat_Test_Normalite, r.Distribution) == ("Shapiro-Wilk", 0.9, "Non normale")
+    none = P.profile_discrete(spark.createDataFrame([(1.0,), (1.0,)], "a double"), ["a"]).first()
+    assert none.p_value_Normalite is None and none.Distribution is None
+    with pytest.raises(ValueError):
+        P.profile_discrete(df, ["a"], test="shapiro")
+
+
+def test_report_lines(spark):
+    rows = [(1.0,)] * 5 + [(2.0,)] * 3 + [(4.0,)] * 2 + [(9.0,)]
+    text = P.render_report(P.profile_discrete(spark.createDataFrame(rows, "rang double"), ["rang"], digits=None)).first().report
+    lines = text.split("\n")
+    assert len(lines) == 7 and lines[0] == "ANALYSE DE LA VARIABLE : RANG"
+    assert lines[2] == "Tendance centrale : Moyenne = 2.55 | Médiane = 2.00 | Mode = 1"
+    assert lines[3] == "Dispersion : Écart-type = 2.42 | Variance = 5.87 | IQR = 2.00 [Min: 1, Max: 9]"
+    assert lines[5].startswith("Test de normalité (D'Agostino-Pearson) : Statistique = ")

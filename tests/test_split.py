@@ -75,3 +75,32 @@ def test_sequence_equals_row_number(spark):
     a = sequence(df, "s", ["t", "id"], hot_rows=50)      # session 0 is hot: sliced
     b = a.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("t", "id")))
     assert b.where(F.col("seq") != F.col("rn")).count() == 0
+
+
+def test_null_keys_are_groups(spark):
+    """Null strata, groups and sessions keep their rows; null order values come first at every slice size."""
+    from pyspark.sql import Window
+    from surveyspark.operators import aggregate as A
+    from surveyspark.operators import evaluate as EV
+    rows = [(None if i % 5 == 0 else i % 3, i, None if i % 7 == 0 else float(i % 11)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, i int, t double")
+    assert SP.stratified_kfold(df, "k", "i", 3).count() == 200
+    assert SP.sample_n(df, 1000, 1, "i", ["k"]).count() == 200
+    assert SP.sample_n(df, 2, 1, "i", ["k"]).count() == 8
+    share = A.share_of_total(df.groupBy("k", "t").count(), "count", ["k"])
+    assert abs(share.agg(F.sum("pct")).first()[0] - 400.0) < 1e-9
+    want = {(r.k, r.i): r.rn for r in df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t", "i"))).collect()}
+    for hot in (20, 100_000):
+        got = A.sequence(df, "k", ["t", "i"], hot_rows=hot).collect()
+        assert {(r.k, r.i): r.seq for r in got} == want and len(got) == 200
+    scored = df.selectExpr("k", "cast(i % 2 as int) as y", "i / 200.0 as p", "cast(i % 3 = 0 as int) as yhat")
+    assert EV.weighted_auc(scored, "y", "p", by=["k"]).count() == 4
+    assert EV.roc_points(scored, "y", "p", by=["k"]).count() == 200
+    assert abs(EV.confusion(scored, "y", "yhat", by=["k"]).agg(F.sum("share")).first()[0] - 8.0) < 1e-9
+
+
+def test_null_strata_get_their_median(spark):
+    from surveyspark.operators import clean as C
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (None, None), (1, 10.0), (1, None)], "k int, x double")
+    got = sorted((r.k is None, r.x) for r in C.impute_median(df, ["x"], ["k"]).collect())
+    assert got == [(False, 10.0), (False, 10.0), (True, 1.0), (True, 2.0), (True, 3.0)]
