@@ -56,18 +56,23 @@ def _tenths(part: Column, whole: Column, name: str) -> Column:
     return F.concat(F.lit(name), F.floor(10 * part / F.greatest(F.lit(1), whole)).cast("string"))
 
 
+def _share_of(pattern: str, name: str) -> Column:
+    """In tenths, how many characters of the text match ``pattern``."""
+    return _tenths(F.regexp_count("t", F.lit(pattern)), F.length("t"), name)
+
+
+# explode_outer below: a plain explode infers a filter that would split every text twice
 def featured(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_tokens, terms): distinct words and marks of form of every whole text."""
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("t"),
-                       F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "").alias("w"))
-    base = base.withColumn("d", F.array_distinct("w"))
-    size = F.length("t")
-    marks = F.array(F.lit(ROW), _tenths(F.size("d"), F.size("w"), "#distinct"),
-                    _tenths(size - F.length(F.translate("t", "!#$%&*@^~|<>{}", "")), size, "#symbols"),
-                    _tenths(size - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")), size, "#capitals"),
-                    _tenths(size - F.length(F.translate("t", "0123456789", "")), size, "#digits"))
-    return base.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_tokens"), F.concat("d", marks).alias("terms"))
+    base = docs.select("doc_id", text.alias("t"), F.split(F.lower(text), SEPARATORS).alias("w"))
+    # a text that starts or ends with separators gives an empty word there
+    edges = (F.element_at("w", 1) == "").cast("int") + ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
+    base = base.select("doc_id", "t", (F.size("w") - edges).alias("n"), F.array_distinct("w").alias("d"))
+    marks = F.array(F.lit(ROW), _tenths(F.size("d"), F.col("n"), "#distinct"), _share_of(r"[!#$%&*@^~|<>{}]", "#symbols"),
+                    _share_of("[A-Z]", "#capitals"), _share_of("[0-9]", "#digits"))
+    return base.select("doc_id", F.xxhash64("t").alias("text_hash"), F.col("n").cast("long").alias("n_tokens"),
+                       F.concat("d", marks).alias("terms"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_terms: int = TERMS) -> DataFrame:
@@ -78,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_term
     sample = named.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(10**6)) < share)
     seen = (featured(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"))
             .join(F.broadcast(sample), "doc_id"))
-    counts = (seen.select("domain", F.explode("terms").alias("term")).groupBy("term")
+    counts = (seen.select("domain", F.explode_outer("terms").alias("term")).groupBy("term")
               .agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]))
     counts = staged(counts.filter(sum(F.col(d) for d in DOMAINS) >= MIN_DOCS), "mix-counts")
     rows = counts.filter(F.col("term") == ROW).first() or {d: 0 for d in DOMAINS}
@@ -88,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_term
     p = {d: (F.col(d) + SMOOTH) / (n[d] + 2 * SMOOTH) for d in DOMAINS}
     mean = sum(F.col(d) for d in DOMAINS) / max(1, all_rows)
     spread = sum(max(1, n[d]) * (p[d] - mean) * (p[d] - mean) for d in DOMAINS) / (mean * (1 - mean) + 1e-6)
-    chosen = staged(counts.filter(F.col("term") != ROW).withColumn("spread", spread)
+    chosen = staged(counts.filter(~F.col("term").isin("", ROW)).withColumn("spread", spread)
                     .filter((F.col("spread") >= MIN_SPREAD) & (F.greatest(*p.values()) >= MIN_LIFT * mean)).orderBy(F.col("spread").desc(), "term").limit(n_terms)
                     .select("term", *[F.log(p[d] / (1 - p[d])).alias(d) for d in DOMAINS],
                             *[F.log(1 - p[d]).alias(f"no_{d}") for d in DOMAINS]), "mix-terms")
@@ -102,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_term
 def posteriors(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, text_hash, copies, n_tokens, one posterior per domain); ``n_tokens`` is per copy."""
     # the model has at most TERMS + 1 rows
-    hits = (featured(docs).select("doc_id", "text_hash", "n_tokens", F.explode("terms").alias("term"))
+    hits = (featured(docs).select("doc_id", "text_hash", "n_tokens", F.explode_outer("terms").alias("term"))
             .join(F.broadcast(model), "term"))
     word = F.col("term") != ROW
     sums = hits.groupBy("doc_id", "text_hash", "n_tokens").agg(

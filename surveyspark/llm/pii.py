@@ -129,7 +129,7 @@ def disclosing_terms(docs: DataFrame, terms: DataFrame, n_docs: int, support: in
     df_et = (terms.select("entity", "term", "llm_key").join(pairs.select("entity", "term"), ["entity", "term"], "left_semi")
              .distinct().groupBy("entity", "term").agg(F.count("*").alias("df_et")))
     wanted = staged(pairs.select("term").distinct(), "pii-terms")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("llm_text"), r"[^\p{L}\p{N}]+"))).alias("term"))
+    words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower("llm_text"), r"[^\p{L}\p{N}]+"))).alias("term"))
     n_wanted = wanted.count()
     if not n_wanted:
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
