@@ -203,17 +203,20 @@ def _evaluate(table: pa.Table, uni: Unigram, n_buckets: int, n_doc_buckets: int)
     score = np.where(cp > K, times * np.log10(np.maximum(cp, 1) * (1 - EPSILON)), 0.0)
     score += np.where(~seen, times * np.log10(np.where(known, uni.kept(cw) / max(1, uni.total), uni.unknown)), 0.0)
     score -= np.where(known & (second != END), times * log_w, 0.0)
-    by_doc = np.argsort(uid, kind="stable")
-    doc_starts, _ = _groups(uid[by_doc])
-    total = [np.add.reduceat(x[by_doc], doc_starts) for x in (base, score, times * known, *(
-        times * (cp == r) for r in range(1, K + 1)))] if len(uid) else []
     if len(uid):
+        by_doc = np.argsort(uid, kind="stable")
+        doc_starts, _ = _groups(uid[by_doc])
         docs = uid[by_doc][doc_starts]
-        small = [t.astype(np.uint32) for t in total[3:]]
+        # one column at a time: each is as long as the bucket
+        add_up = lambda x: np.add.reduceat(x[by_doc], doc_starts)
+        base, score, known = add_up(base), add_up(score), add_up(times * known).astype(np.uint32)
+        small = [add_up(times * (cp == r)).astype(np.uint32) for r in range(1, K + 1)]
         out += [("d", b, data) for b, data in rows_by_bucket(
-            _doc_bucket(docs, n_doc_buckets), docs, total[0], total[1], total[2].astype(np.uint32), *small)]
+            _doc_bucket(docs, n_doc_buckets), docs, base, score, known, *small)]
+        del by_doc, doc_starts, docs, base, score, known, small
 
     # contexts: one row per first word of the learned pairs
+    ask = np.flatnonzero(~seen)
     own = np.flatnonzero(c_pair > 0)
     context, cp, cw = first[starts][own], c_pair[own], c_word[own]
     order = np.argsort(context, kind="stable")
@@ -225,7 +228,6 @@ def _evaluate(table: pa.Table, uni: Unigram, n_buckets: int, n_doc_buckets: int)
             *((cw == r).astype(np.int64) for r in range(1, K + 1)))]
         out += [("v", b, data) for b, data in rows_by_bucket(
             _bucket(context[run], n_buckets), context[run], sums[0], sums[1], *(x.astype(np.uint32) for x in sums[2:]))]
-    ask = np.flatnonzero(~seen)
     if len(ask):
         out += [("q", b, data) for b, data in rows_by_bucket(
             _bucket(first[ask], n_buckets), first[ask], uid[ask], times[ask].astype(np.uint32))]
