@@ -48,7 +48,7 @@ def encoded(spark, sf):
                                     "y3", "w", *CONT, *CATS)
     df = SP.stratified_kfold(base, "y", ROW_KEY, 5, seed=5)
     gf = SP.group_kfold(df, "cluster", 3, seed=1).withColumnRenamed("fold", "gfold")
-    df = df.join(F.broadcast(gf), "cluster").checkpoint(eager=True)
+    df = df.join(gf, "cluster").checkpoint(eager=True)
     enc, names = FE.column_transformer(df, CONT, CATS, "y")
     enc = FE.balance_weights(enc, "y", "w", "w_bal", split="split")
     out = M.assemble(enc.withColumn("label", F.col("y").cast("double")), names).checkpoint(eager=True)
