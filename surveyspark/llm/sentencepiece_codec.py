@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding on the tokenizers library, with parity checked.
 
-Whole texts are normalised and cut before each run of word markers - exact while no piece holds a
-marker behind another character, which is verified on the vocabulary, else texts stay whole. The
+Whole texts are normalised and, for BPE models, cut before each run of word markers - exact while no
+piece holds a marker behind another character, which is verified on the vocabulary; else texts stay
+whole, as they do for unigram models. The
 units that a worker has not met are encoded in one multithreaded batch, each unit is compared with the
 sentencepiece library, and the ids of a text are the ids of its units in order. A unit whose ids
 differ keeps the ids of the sentencepiece library and is counted in ``n_differ``, so the result

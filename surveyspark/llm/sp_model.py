@@ -82,14 +82,15 @@ class SpModel:
             raise ValueError("only unigram and BPE models with a leading word marker are rebuilt")
         if USER in self.types:
             raise ValueError("models with user-defined symbols are not rebuilt")
-        #: no piece has the marker behind another character, so words can be encoded apart
-        self.splits_at_marks = not any(re.search(f"[^{MARK}]{MARK}", p) for p, t in zip(self.pieces, self.types) if t == NORMAL)
+        #: no piece has the marker behind another character, so words can be encoded apart (a unigram
+        #: model breaks ties by sums over the whole text, so its texts stay whole)
+        self.splits_at_marks = self.kind == BPE and not any(re.search(f"[^{MARK}]{MARK}", p) for p, t in zip(self.pieces, self.types) if t == NORMAL)
 
     def normaliser(self):
         from tokenizers import Regex, normalizers as N
         steps = [N.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
-            steps += [N.Replace(Regex(" {2,}"), " "), N.Strip(left=True, right=True)]
+            steps += [N.Replace(Regex(" {2,}"), " "), N.Replace(Regex(r"\A +| +\z"), "")]
         if self.dummy_prefix:
             steps.append(N.Prepend(MARK))
         return N.Sequence([*steps, N.Replace(" ", MARK)])

@@ -263,3 +263,35 @@ def test_katz_of_odd_rows(odd_docs, no_docs, ready):
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0]
     only = katz.score_corpus(typed(ready, [(i, "a b") for i in held])).collect()
     assert len(only) == len(held) and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in only)
+
+
+def _field(number, value):
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + np.float32(value).tobytes()
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_unigram_model_equals_the_reference(squeeze):
+    """A hand-made unigram model: scores, byte fallback and white-space rules are rebuilt."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
+    pieces += [(p, -s, 1) for p, s in (("▁", 2.0), ("a", 4.0), ("b", 4.5), ("c", 5.0), ("▁a", 3.1), ("ab", 6.2), ("▁ab", 5.3),
+                                       ("bc", 7.1), ("abc", 8.9), ("▁abc", 9.7), ("▁▁", 3.3), ("ca", 6.6))]
+    data = b"".join(_field(1, _field(1, p) + _field(2, s) + _field(3, t)) for p, s, t in pieces)
+    data += _field(2, _field(3, 1) + _field(35, 1)) + _field(3, _field(1, "identity") + _field(3, 1) + _field(4, squeeze) + _field(5, 1))
+    own = sentencepiece_codec.Codec(data)
+    assert own.model.kind == 1 and own.model.byte_fallback and not own.model.splits_at_marks
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(["a", "b", "c", " ", "  ", "é", "\n"], int(rng.integers(0, 25)))) for _ in range(400)]
+    ids, bad = own.encode(texts)
+    assert [x.tolist() for x in ids] == own.reference.encode(texts)
+    assert bad.sum() <= 0.1 * len(texts)  # ties of equal score only
