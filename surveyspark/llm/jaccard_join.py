@@ -42,7 +42,6 @@ MAX_HASHES = 288
 BLOCK = 512
 #: n-grams in more nodes of a unit than this are counted by matrix product, the rest pair by pair
 DENSE = 32
-FILTER_BITS = 28
 HEAVY = 2_000
 
 
@@ -132,33 +131,17 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n_grams int, bands array<long>")
 
 
-def _filter_of(nodes: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A bit set of the nodes' hashes: at most 2**FILTER_BITS bits, so of bounded size at any scale."""
-    bits = min(FILTER_BITS, max(10, int(n * 16).bit_length()))
-    slot = F.pmod("node", F.lit(1 << bits))
-    words = (nodes.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(node, 64) as int))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint64)
-    return out, bits
-
-
-def _sets_of(docs: DataFrame, n: int, wanted: np.ndarray, bits: int) -> DataFrame:
-    """(node, grams binary) of the texts whose node the bit set may hold; a second pass over the texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _sets_of(docs: DataFrame, n: int) -> DataFrame:
+    """(node, grams binary) of each text that has words."""
 
     def run(batches):
-        words = shared.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 21):
                 values, sizes = ngram_sets(texts_of(part), n)
-                node = _node_of(values, sizes)
-                slot = node & np.uint64((1 << bits) - 1)
-                hit = (words[slot >> np.uint64(6)] >> (node & np.uint64(63))) & np.uint64(1)
                 ends = np.cumsum(sizes)
-                pick = np.flatnonzero((hit == 1) & (sizes > 0))
+                pick = np.flatnonzero(sizes > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[pick].astype(np.int64)),
+                    [pa.array(_node_of(values, sizes)[pick].astype(np.int64)),
                      pa.array([values[ends[i] - sizes[i]:ends[i]].tobytes() for i in pick], pa.binary())],
                     names=["node", "grams"])
 
@@ -239,15 +222,16 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
         return _per_document(sig, nodes.select("node", "copies", F.col("first_id").alias("class_id"), (F.col("copies") - 1).alias("n_links")))
     comps = connected_components(ties, "node", "lo").withColumnRenamed("label", "comp")
     sized = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    tied = staged(comps.join(sized, "comp").join(nodes.select("node", "copies"), "node"), "join-tied")
+    tied = staged(comps.join(sized, "comp").join(nodes.select("node", "copies", "first_id"), "node"), "join-tied")
     total = tied.count()
-    wanted, bits = _filter_of(tied, total)
-    # copies of a text give equal rows; one per node is kept before the sets travel on
-    sets = _sets_of(docs, n, wanted, bits).groupBy("node").agg(F.first("grams").alias("grams"))
+    # one document of each tied node; ids that repeat bring further texts, which the join by node leaves out
+    wanted = tied.select("first_id").distinct()
+    chosen = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    sets = _sets_of(chosen, n).groupBy("node").agg(F.first("grams").alias("grams"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     small = F.pmod(F.xxhash64("comp"), F.lit(max(1, -(-total // BLOCK))))
-    dealt = (tied.join(sets, "node").withColumn("block", own).withColumn("other", other)
+    dealt = (tied.drop("first_id").join(sets, "node").withColumn("block", own).withColumn("other", other)
              .select(F.when(F.col("blocks") == 1, small).otherwise(F.col("comp")).alias("unit"),
                      (F.col("blocks") > 1).alias("large"),
                      F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
