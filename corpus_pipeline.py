@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from surveyspark.llm import jaccard_join, language_id, mixing, pii, sentencepiece_codec
-from surveyspark.llm.common import staged, table
+from surveyspark.llm.common import small_batches, staged, table
 from surveyspark.session import ensure_checkpoint_dir, ship_package
 
 
 def _ready(spark: SparkSession) -> None:
     ship_package(spark)
     ensure_checkpoint_dir(spark)
+    small_batches(spark)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

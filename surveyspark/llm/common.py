@@ -24,6 +24,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python workers at most ``rows`` at a time, so a batch stays a few MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 @contextlib.contextmanager
 def shuffle_cleanup(spark: SparkSession):
     """Let Spark drop the shuffle files of each finished write inside the block.

@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 1 << 21):
+            for part in slices(batch, "text", 1 << 20):
                 values, sizes = ngram_sets(texts_of(part), n)
                 empty = pa.array(sizes == 0)
                 codes = band_hashes(values, sizes, bands, rows).astype(np.int64)
@@ -136,7 +136,7 @@ def _sets_of(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 1 << 21):
+            for part in slices(batch, "text", 1 << 20):
                 values, sizes = ngram_sets(texts_of(part), n)
                 ends = np.cumsum(sizes)
                 pick = np.flatnonzero(sizes > 0)

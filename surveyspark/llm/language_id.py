@@ -33,6 +33,8 @@ from surveyspark.llm.common import slices, texts_of
 ORDER = 3
 TRAIN_DOCS = 4000
 UNDETERMINED = "und"
+#: bytes of text that a worker codes at a time (a longer text alone)
+SLICE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -144,7 +146,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 names = np.array(part.column(part.schema.get_field_index("lang")).to_pylist(), object)
                 texts = texts_of(part)
                 for lang in np.unique(names):
@@ -178,7 +180,7 @@ def predict(df: DataFrame, trees: Trees, text_col: str = "text", lang_out: str =
     def run(batches):
         trees = model.value
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 texts = texts_of(part, text_col)
                 bits = trees.code_lengths(texts)
                 has = np.array([LETTER.search(x) is not None for x in texts.to_pylist()], bool)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from typing import Callable
 
+from surveyspark.llm.common import small_batches
 from surveyspark.session import ensure_checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable] = {}
@@ -21,6 +22,7 @@ def query(name: str, sql: str | None = None):
         def run(spark, sf_dir):
             ship_package(spark)
             ensure_checkpoint_dir(spark)
+            small_batches(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
