@@ -5,14 +5,19 @@ their check. The patterns below match the same spans as the plain forms: possess
 the start of a run, so that no text makes the matcher go back and forth.
 
 Information-theoretic step: a protected entity is a personal value (its kind and normalised text).
-Its context is the words within ``REACH`` characters on either side. With df over all documents,
-``PMI(e; t) = log2(df(e, t) * N / (df(e) * df(t)))`` and ``IC(e) = log2(N / df(e))``, a term t
-discloses the share ``PMI / IC`` of e. Terms seen in at least ``SUPPORT`` different contexts of e
-(copies count once) are removed from ``REMOVE`` on and generalised to their word class from
-``GENERALISE`` on, in the contexts of e only: documents without personal data stay as they are.
-
-Scale: entities, contexts and terms are counted with partial aggregation; candidate terms are few
-and are broadcast behind a check of their number, beyond it joined after a per-task count.
+With df over all documents, ``PMI(e; t) = log2(df(e, t) * N / (df(e) * df(t)))`` and
+``IC(e) = log2(N / df(e))``, a term t discloses the share ``PMI / IC`` of e. A share counts only if it
+is no chance: when the words of every document frequency fell on documents by their numbers of
+distinct words, ``T(df(t)) * L ** a / a!`` of the ``T(df(t))`` words with that frequency would meet e
+in ``a`` different texts, ``L = df(t) *`` (share of all distinct words that lie in e's documents);
+that number must be at most ``CHANCE``. So a plain rare word in a document of a rare entity doesn't
+pass, and a word that does pass may have met an entity seen once. Every occurrence of such a term in
+the documents that hold e is removed from ``REMOVE`` on and generalised to its word class from
+``GENERALISE`` on: documents without personal data stay as they are.
+
+Scale: words are counted once per document with partial aggregation; only words rare enough for a
+share of ``GENERALISE`` meet entities; they are broadcast behind a check of their number, beyond it
+joined.
 
 Defined results: null text is empty; rows that repeat id and text get equal spans; a null id is a
 document like any other; an empty table gives an empty result. Positions are code points, end
@@ -21,6 +26,8 @@ exclusive.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +41,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 KINDS = [*PATTERNS, "term"]
-WORD = r"[\p{L}\p{N}]+"
-REACH = 120
-SUPPORT = 3
+NO_WORD = r"[^\p{L}\p{N}]+"
+CHANCE = 0.05
 GENERALISE, REMOVE = 0.7, 0.9
 BROADCAST_ROWS = 200_000
 SPAN = "array<struct<start:int,kind:int,end:int,value:string,label:string>>"
@@ -61,9 +67,9 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, pattern: str) -> Column:
+def _located(text: Column, pattern: str | Column) -> Column:
     """array<struct<start,end,value>> of all matches: lengths of the pieces between them, summed up."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, s: F.struct(m.alias("m"), s.alias("s")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
@@ -96,51 +102,66 @@ def _entity(span: Column) -> Column:
     return F.concat(kind, F.lit(":"), value)
 
 
-def _side_words(offset: Column, side: Column, head_cut: Column, tail_cut: Column) -> Column:
-    whole = F.filter(_located(side, WORD), lambda w: ~(head_cut & (w["start"] == 0)) & ~(tail_cut & (w["end"] == F.length(side))))
-    return F.transform(whole, lambda w: F.struct((w["start"] + offset).alias("start"), (w["end"] + offset).alias("end"),
-                                                 w["value"].alias("word")))
-
-
-def context_terms(hits: DataFrame) -> DataFrame:
-    """(key, entity, context, term, start, end, word): the words around each base span."""
-    spans = hits.select("llm_key", "llm_text", "llm_base", F.explode("llm_base").alias("s"))
-    begin = F.greatest(F.lit(0), F.col("s.start") - REACH)
-    sides = [
-        # the outermost word of a side may be cut, so it is left out
-        (begin, F.substr("llm_text", begin + 1, F.col("s.start") - begin), F.col("s.start") - REACH > 0, F.lit(False)),
-        (F.col("s.end"), F.substr("llm_text", F.col("s.end") + 1, F.lit(REACH)), F.lit(False),
-         F.length("llm_text") > F.col("s.end") + REACH)]
-    around = F.concat(*[_side_words(*side) for side in sides])
-    free = F.filter(around, lambda w: ~F.exists("llm_base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"]))
-                    & w["word"].rlike(r"\p{L}"))
-    rows = spans.select("llm_key", _entity(F.col("s")).alias("entity"), free.alias("words"))
-    context = F.xxhash64(F.array_join(F.transform("words", lambda w: F.lower(w["word"])), " "))
-    return (rows.select("llm_key", "entity", context.alias("context"), F.explode("words").alias("w"))
-            .select("llm_key", "entity", "context", F.lower("w.word").alias("term"), "w.start", "w.end", "w.word"))
-
-
-def disclosing_terms(docs: DataFrame, terms: DataFrame, n_docs: int, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, share): how much of the entity's information the term gives away."""
-    df_e = terms.groupBy("entity").agg(F.countDistinct("llm_key").alias("df_e"))
-    pairs = (terms.groupBy("entity", "term", "context").agg(F.min("llm_key").alias("llm_key"))
-             .groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support))
-    pairs = staged(pairs, "pii-pairs")
-    df_et = (terms.select("entity", "term", "llm_key").join(pairs.select("entity", "term"), ["entity", "term"], "left_semi")
-             .distinct().groupBy("entity", "term").agg(F.count("*").alias("df_et")))
-    wanted = staged(pairs.select("term").distinct(), "pii-terms")
-    words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower("llm_text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    n_wanted = wanted.count()
-    if not n_wanted:
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    if n_wanted <= BROADCAST_ROWS:
-        df_t = words.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("df_t"))
-    else:
-        df_t = words.groupBy("term").agg(F.count("*").alias("df_t")).join(wanted, "term")
-    joined = df_et.join(df_e, "entity").join(df_t, "term")
+def _replaced(text: Column, spans: Column, label) -> Column:
+    """The text with every span replaced by its label; spans that overlap become one gap."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        fresh = s["start"] >= acc["at"]
+        piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), label(s))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate(spans, start, step)
+    return F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))
+
+
+def _words(text: Column) -> Column:
+    """The distinct words of a text that have a letter."""
+    return F.filter(F.array_distinct(F.split(text, NO_WORD)), lambda w: w.rlike(r"\p{L}"))
+
+
+def disclosing_words(docs: DataFrame, hits: DataFrame, n_docs: int) -> DataFrame:
+    """(llm_key, word, share): words of a document that disclose one of its entities, as they are written there."""
+    own = hits.select("llm_key", F.xxhash64("llm_text").alias("text_hash"), F.size(_words(F.lower("llm_text"))).alias("size"),
+                      F.explode(F.array_distinct(F.transform("llm_base", _entity))).alias("entity"))
+    own = staged(own, "pii-entities")
+    seen = own.groupBy("entity").agg(F.count("*").alias("df_e"), F.sum("size").alias("mass")).filter(F.col("df_e") < n_docs)
+    seen = staged(seen, "pii-seen")
+    most = seen.agg(F.max("df_e")).first()[0]
+    none = hits.select("llm_key", F.lit("").alias("word"), F.lit(0.0).alias("share")).limit(0)
+    if most is None:
+        return none
+    df_t = staged(docs.select(F.explode_outer(_words(F.lower("llm_text"))).alias("term")).filter(F.col("term").isNotNull())
+                  .groupBy("term").agg(F.count("*").alias("df_t")), "pii-terms")
+    total = df_t.agg(F.sum("df_t")).first()[0]
+    if not total:
+        return none
+    # PMI is at most log2(N / df(t)), so more frequent words can't reach the share
+    most_t = lambda df_e: F.pow(F.lit(float(n_docs)), F.lit(1 - GENERALISE)) * F.pow(df_e, F.lit(GENERALISE)) * (1 + 1e-9)
+    alike = df_t.groupBy("df_t").agg(F.count("*").alias("alike"))
+    rare = staged(df_t.filter(F.col("df_t") <= most_t(F.lit(float(most)))).join(alike, "df_t"), "pii-rare")
+    if rare.count() <= BROADCAST_ROWS:
+        rare = F.broadcast(rare)
+    outside = _replaced(F.col("llm_text"), F.col("llm_base"), lambda s: F.lit(" "))
+    words = (hits.select("llm_key", "llm_text", F.explode_outer(_words(outside)).alias("word"))
+             .select("llm_key", "word", F.lower("word").alias("term")).join(rare, "term"))
+    words = staged(words.distinct(), "pii-words")
+    entities = own.join(seen, "entity")
+    met = (words.select("llm_key", "term", "df_t", "alike").distinct().join(entities, "llm_key")
+           .filter(F.col("df_t") <= most_t(F.col("df_e"))))
+    pairs = met.groupBy("entity", "term").agg(
+        F.count("*").alias("df_et"), F.countDistinct("text_hash").alias("texts"),
+        *[F.first(c).alias(c) for c in ("df_e", "mass", "df_t", "alike")])
     ic = F.log2(F.lit(float(n_docs)) / F.col("df_e"))
     pmi = F.log2(F.col("df_et") * F.lit(float(n_docs)) / (F.col("df_e") * F.col("df_t")))
-    return joined.filter(F.col("df_e") < n_docs).select("entity", "term", (pmi / ic).alias("share"))
+    expected = F.log(F.col("alike")) + F.col("texts") * F.log(F.col("df_t") * F.col("mass") / F.lit(float(total)))
+    # log of a! by Stirling's lower bound, so chance is never counted too low
+    a = F.col("texts").cast("double")
+    chance = expected - (a * F.log(a) - a + 0.5 * F.log(2 * math.pi * a))
+    shares = pairs.filter(chance <= math.log(CHANCE)).select("entity", "term", (pmi / ic).alias("share"))
+    shares = staged(shares.filter(F.col("share") >= GENERALISE), "pii-shares")
+    return (own.select("llm_key", "entity").distinct().join(shares, "entity").groupBy("llm_key", "term").agg(F.max("share").alias("share"))
+            .join(words, ["llm_key", "term"]).select("llm_key", "word", "share"))
 
 
 def spans_of(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -150,16 +171,18 @@ def spans_of(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     hit = text.rlike("|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "card", "phone"))) | text.rlike(PATTERNS["email"])
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text), 256)
     hits = staged(docs.filter(hit).withColumn("llm_base", base_spans(text)).withColumn("llm_key", key), "pii-hits")
-    terms = staged(context_terms(hits), "pii-contexts")
-    shares = disclosing_terms(docs, terms, docs.count())
     word_class = F.when(F.col("word").rlike(r"\p{N}"), "[CODE]").when(F.col("word").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
-    extra = (terms.join(shares.filter(F.col("share") >= GENERALISE), ["entity", "term"])
-             .groupBy("llm_key", "start", "end").agg(F.max("share").alias("share"), F.first("word").alias("word"))
-             .groupBy("llm_key").agg(F.array_sort(F.collect_list(F.struct(
-                 "start", F.lit(4).alias("kind"), "end", F.col("word").alias("value"),
-                 F.when(F.col("share") >= REMOVE, F.lit("")).otherwise(word_class).alias("label")))).cast(SPAN).alias("llm_extra")))
+    label = F.when(F.col("share") >= REMOVE, F.lit("")).otherwise(word_class)
+    found = (disclosing_words(docs, hits, docs.count()).groupBy("llm_key")
+             .agg(F.map_from_entries(F.collect_list(F.struct("word", label.alias("label")))).alias("llm_labels")))
+    # words are letters and digits only, so they stand for themselves in a pattern
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("llm_labels"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    free = F.filter(_located(text, pattern), lambda w: ~F.exists("llm_base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
+    extra = F.transform(free, lambda w: F.struct(w["start"].alias("start"), F.lit(4).alias("kind"), w["end"].alias("end"),
+                                                 w["value"].alias("value"), F.element_at("llm_labels", w["value"]).alias("label"))).cast(SPAN)
     none = F.array().cast(SPAN)
-    with_hits = hits.join(extra, "llm_key", "left").withColumn("llm_extra", F.coalesce("llm_extra", none)).drop("llm_key")
+    with_hits = (hits.join(found, "llm_key", "left")
+                 .withColumn("llm_extra", F.when(F.col("llm_labels").isNotNull(), extra).otherwise(none)).drop("llm_key", "llm_labels"))
     without = docs.filter(~hit).withColumn("llm_base", none).withColumn("llm_extra", none)
     return with_hits.unionByName(without)
 
@@ -175,18 +198,9 @@ def all_spans() -> Column:
 
 
 def sanitised() -> Column:
-    """The text with every span replaced by its label; spans that overlap become one gap."""
+    """The text with every span replaced by its label."""
     text = F.col("llm_text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), s["label"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(all_spans(), start, step)
-    whole = F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(F.concat("llm_base", "llm_extra")) == 0, text).otherwise(whole)
+    return F.when(F.size(F.concat("llm_base", "llm_extra")) == 0, text).otherwise(_replaced(text, all_spans(), lambda s: s["label"]))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -151,6 +151,32 @@ def test_disclosing_terms_go_and_others_stay(ready):
     assert all(out[d]["text"] == t for d, t in rows if d >= 100)
 
 
+def test_terms_of_a_value_seen_twice_go_in_the_whole_document(ready):
+    """Too few contexts for a count per value; plain rare words stay, and a term goes far from the value too."""
+    common = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe") for b in ("ra", "se", "ti", "vo", "zu")]
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join(rng.choice(common, n))
+    # every document has a rare word of its own
+    rows = [(i, f"{say(40)} rare{chr(97 + i % 26)}{chr(97 + i // 26)} {say(3)}") for i in range(400)]
+    rows[7] = (7, f"{rows[7][1]} ann@mail.example {say(90)} Quibble {say(9)}")
+    rows[9] = (9, f"{say(5)} Quibble {say(90)} {rows[9][1]} ann@mail.example")
+    spans = {r["doc_id"]: r for r in pii.report(typed(ready, rows)).collect()}
+    for i in (7, 9):
+        found = {rows[i][1][int(a):int(b)] for k, a, b in (s.split(":") for s in spans[i]["spans"].split(",")) if k == "term"}
+        assert found == {"Quibble"}
+    assert sum(r["n_term"] for r in spans.values()) == 2
+
+
+def test_a_value_seen_once_can_be_disclosed(ready):
+    """A word seen once discloses a value seen once where such words are no everyday thing."""
+    rng = np.random.default_rng(7)
+    say = lambda n: " ".join(rng.choice(["kara", "lose", "miti", "nuvo"], n))
+    rows = [(i, say(30)) for i in range(400)]
+    rows[3] = (3, f"Zorblax {say(60)} bob@mail.example {say(60)} Zorblax, zorblax")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise_stage(typed(ready, rows)).collect()}
+    assert "zorblax" not in out[3].lower() and "[EMAIL]" in out[3] and all(out[i] == t for i, t in rows if i != 3)
+
+
 def test_pii_of_odd_rows(odd_docs, no_docs):
     assert pii.report(odd_docs).count() == odd_docs.count() and pii.report(no_docs).count() == 0
     out = pii.sanitise_stage(odd_docs)
