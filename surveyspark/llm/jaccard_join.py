@@ -16,8 +16,10 @@
 
 Defined results: texts of fewer than ``N`` words have one n-gram of all their words; null, empty or
 blank texts have none, link to nothing and are classes of their own; a class takes its smallest
-``doc_id`` (null only if all its ids are null); repeated rows are documents of their own; other
-columns are ignored; an empty table gives an empty result.
+``doc_id`` (null only if all its ids are null); where unrelated texts share a ``doc_id`` that names
+several classes, one class keeps it and the others take a negative number made from their texts;
+repeated rows are documents of their own; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,7 +116,7 @@ def _node_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node, n_grams, bands): null node for texts without words."""
+    """(doc_id, text_hash, node, n_grams, bands): null node for texts without words."""
 
     def run(batches):
         for batch in batches:
@@ -125,10 +127,10 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, bands, dtype=np.int32)), pa.array(codes.ravel()))
                 node = pa.array(_node_of(values, sizes).astype(np.int64), mask=np.asarray(sizes == 0))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), node, pa.array(sizes.astype(np.int32)), pc.if_else(empty, pa.scalar(None, lists.type), lists)],
-                    names=["doc_id", "node", "n_grams", "bands"])
+                    [part.column(0), part.column(1), node, pa.array(sizes.astype(np.int32)), pc.if_else(empty, pa.scalar(None, lists.type), lists)],
+                    names=["doc_id", "text_hash", "node", "n_grams", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n_grams int, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, node long, n_grams int, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -211,6 +213,11 @@ def _verify(table: pa.Table, threshold: float) -> pa.Table:
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
     """(doc_id, class_id, n_links, n_grams) for each row of ``docs`` (doc_id, text)."""
+    return _classes(docs, n, threshold, recall).select("doc_id", "class_id", "n_links", "n_grams")
+
+
+def _classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
+    """The result of :func:`jaccard_join` with ``text_hash`` and ``label``, the node that stands for the class."""
     bands, rows = choose_bands(threshold, recall)
     sig = staged(signatures(docs, n, bands, rows), "join-signatures")
     nodes = staged(sig.filter(F.col("node").isNotNull()).groupBy("node")
@@ -219,7 +226,8 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     shared = keyed.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter(F.col("lo") != F.col("hi"))
     ties = staged(keyed.join(shared.select("band", "lo"), "band").select("node", "lo").distinct(), "join-ties")
     if ties.isEmpty():
-        return _per_document(sig, nodes.select("node", "copies", F.col("first_id").alias("class_id"), (F.col("copies") - 1).alias("n_links")))
+        return _per_document(sig, _named(nodes.select("node", F.col("node").alias("label"), "copies", F.col("first_id").alias("class_id"),
+                                                      (F.col("copies") - 1).alias("n_links"))))
     comps = connected_components(ties, "node", "lo").withColumnRenamed("label", "comp")
     sized = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     tied = staged(comps.join(sized, "comp").join(nodes.select("node", "copies", "first_id"), "node"), "join-tied")
@@ -245,10 +253,23 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     named = classes.join(nodes.select("node", "first_id"), "node")
     names = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
     facts = (nodes.select("node", "first_id", "copies").join(links, "node", "left")
-             .join(classes.join(names, "label").select("node", "class_id"), "node", "left")
-             .select("node", "copies", F.coalesce("class_id", "first_id").alias("class_id"),
+             .join(classes.join(names, "label").select("node", "label", "class_id"), "node", "left")
+             .select("node", F.coalesce("label", "node").alias("label"), "copies", F.coalesce("class_id", "first_id").alias("class_id"),
                      (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")))
-    return _per_document(sig, staged(facts, "join-facts"))
+    return _per_document(sig, _named(staged(facts, "join-facts")))
+
+
+def _own_number(label) -> Column:
+    return label.bitwiseOR(F.lit(-1 << 63))
+
+
+def _named(facts: DataFrame) -> DataFrame:
+    """``facts`` with class ids that no two classes share."""
+    shared = (facts.filter(F.col("class_id").isNotNull()).groupBy("class_id")
+              .agg(F.min("label").alias("owner"), F.max("label").alias("last")).filter(F.col("owner") != F.col("last")).drop("last"))
+    taken = F.col("owner").isNotNull() & (F.col("label") != F.col("owner"))
+    return staged(facts.join(shared, "class_id", "left").withColumn("class_id", F.when(taken, _own_number(F.col("label"))).otherwise(F.col("class_id")))
+                  .drop("owner"), "join-named")
 
 
 def _per_document(sig: DataFrame, facts: DataFrame) -> DataFrame:
@@ -257,10 +278,13 @@ def _per_document(sig: DataFrame, facts: DataFrame) -> DataFrame:
     Nodes that hold at least 1 / ``HEAVY`` of the documents - at most ``HEAVY`` of them - are
     broadcast, so a text with very many copies isn't shuffled to one task.
     """
-    columns = "doc_id", "class_id", "n_links", "n_grams"
+    columns = "doc_id", "text_hash", "label", "class_id", "n_links", "n_grams"
     heavy = facts.filter(F.col("copies") * HEAVY >= sig.count()).drop("copies")
-    alone = sig.filter(F.col("node").isNull()).select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_grams")
+    taken = facts.filter(F.col("class_id").isNotNull()).select(F.col("class_id").alias("doc_id"), F.lit(True).alias("taken")).distinct()
+    alone = sig.filter(F.col("node").isNull()).join(taken, "doc_id", "left").select(
+        "doc_id", "text_hash", F.col("node").alias("label"),
+        F.when(F.col("taken"), _own_number(F.xxhash64("doc_id", "text_hash"))).otherwise(F.col("doc_id")).alias("class_id"),
+        F.lit(0).cast("long").alias("n_links"), "n_grams")
     of_heavy = sig.join(F.broadcast(heavy), "node").select(*columns)
     rest = sig.join(F.broadcast(heavy.select("node")), "node", "left_anti").join(facts.drop("copies"), "node").select(*columns)
     return of_heavy.unionByName(rest).unionByName(alone)
@@ -269,14 +293,19 @@ def _per_document(sig: DataFrame, facts: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each class the document with the smallest id stays, with all its columns.
 
-    Rows that repeat an id and belong to one class are one document, of which one row stays;
-    documents without words or without an id all stay.
+    Of rows that repeat this id, one with the smallest hash of its text stays, so a class keeps
+    exactly one row; documents without words (once per id and text) or without an id all stay.
     """
     columns = docs.columns
-    found = jaccard_join(docs.select("doc_id", "text"))
-    kept = found.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    found = _classes(docs.select("doc_id", "text")).filter(F.col("doc_id").isNotNull())
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    of_class = found.filter(F.col("label").isNotNull()).groupBy("label").agg(first).select("first.doc_id", "first.text_hash")
+    kept = of_class.unionByName(found.filter(F.col("label").isNull()).select("doc_id", "text_hash")).distinct()
+    kept = kept.select(F.col("doc_id").alias("llm_id"), F.col("text_hash").alias("llm_hash"))
+    text_hash = F.xxhash64("text")
     rest = docs.filter(F.col("doc_id").isNull())
-    one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in columns if isinstance(docs.schema[c].dataType, T.AtomicType)])
-    first = (docs.join(kept, "doc_id", "left_semi").withColumn("llm_place", F.row_number().over(one))
-             .filter(F.col("llm_place") == 1).select(*columns))
-    return first.unionByName(rest)
+    one = Window.partitionBy("doc_id", "llm_text_hash").orderBy(*[F.col(c) for c in columns if isinstance(docs.schema[c].dataType, T.AtomicType)])
+    rows = docs.withColumn("llm_text_hash", text_hash)
+    first_rows = (rows.join(kept, (F.col("doc_id") == F.col("llm_id")) & (F.col("llm_text_hash") == F.col("llm_hash")), "left_semi")
+                  .withColumn("llm_place", F.row_number().over(one)).filter(F.col("llm_place") == 1).select(*columns))
+    return first_rows.unionByName(rest)

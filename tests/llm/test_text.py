@@ -117,6 +117,18 @@ def test_join_of_odd_rows(odd_docs, no_docs):
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == [-1, 1, 3, 4, 5, 6, 7, 8, 9]
 
 
+def test_unrelated_texts_under_one_id_stay(ready):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, c), (8, ""), (8, a + " more")]
+    found = [(r["doc_id"], r["class_id"]) for r in jaccard_join.jaccard_join(typed(ready, rows)).collect()]
+    assert len(found) == 7 and len({c for _, c in found}) == 4
+    kept = jaccard_join.keep_one(typed(ready, rows))
+    assert sorted(pairs(kept)) == [(3, b), (5, a), (7, c), (8, "")]
+    both = jaccard_join.jaccard_join(typed(ready, [(5, a), (5, b)])).collect()
+    assert len({r["class_id"] for r in both}) == 2
+    assert sorted(pairs(jaccard_join.keep_one(typed(ready, [(5, a), (5, b)])))) == [(5, a), (5, b)]
+
+
 # ---- personal data
 
 def test_base_spans_equal_brute_force(ready, given):
