@@ -9,7 +9,10 @@ aggregate, so one row per document is shuffled.
 
 Rates: projected gradient descent on ``0.5 * |sum_i n_i p_i r_i - target|^2`` over document rates
 ``r_i >= 0`` from ``r = 1``. A step needs only a few numbers per domain, so a document's rate is a
-fold over the list of moves so far and one pass aggregates a row of fixed size.
+fold over the list of moves so far and one pass aggregates a row of fixed size; after ``FOLD`` moves
+the documents' state is written and the list starts anew. Steps go on until the targets are met or
+the projected gradient vanishes (its mean over the tokens is at most ``GAP``), which only the best
+reachable mixture has. The shares reached are logged, with a warning if they miss.
 
 Nothing is grouped by source or domain alone, so no hot source meets in one task.
 
@@ -21,6 +24,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -38,8 +42,12 @@ TERMS = 500
 MIN_SPREAD, MIN_LIFT = 30.0, 3.0
 MIN_DOCS = 5
 SMOOTH = 0.5
-STEPS = 60
 TOLERANCE = 2e-3
+GAP = 1e-6
+FOLD = 30
+#: beyond this many steps the search stops with a warning
+STEPS = 5_000
+log = logging.getLogger(__name__)
 SEPARATORS = r"[\x00-/:-`{-\x7f]+"
 ROW = "#row"
 
@@ -122,18 +130,18 @@ def posteriors(docs: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _rate(moves: list[tuple[np.ndarray, float]]) -> Column:
-    """struct<r, y> of a document after the steps so far: its rate and the point ahead of it.
+    """struct<r, y, g> of a document after the steps so far: its rate, the point ahead of it and the last projected step.
 
     A fold over the steps, each a move per domain and the momentum that follows it.
     """
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    start = F.struct(F.col("r0").alias("r"), F.col("y0").alias("y"), F.lit(1.0).alias("g"))
     if not moves:
         return start
     steps = F.array(*[F.struct(*[F.lit(float(x)).alias(d) for d, x in zip(DOMAINS, m)], F.lit(float(b)).alias("b")) for m, b in moves])
 
     def step(at, m):
         r = F.greatest(F.lit(0.0), at["y"] - sum(F.col(d) * m[d] for d in DOMAINS))
-        return F.struct(r.alias("r"), (r + m["b"] * (r - at["r"])).alias("y"))
+        return F.struct(r.alias("r"), (r + m["b"] * (r - at["r"])).alias("y"), F.abs(r - at["y"]).alias("g"))
 
     return F.aggregate(steps, start, step)
 
@@ -143,8 +151,8 @@ def rates(found: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
 
     Errors are measured against each domain's natural mass. In that metric the gradient of a rate is
     ``p . (error / mass)`` and its Lipschitz constant is at most 1, since posteriors sum to 1; so
-    projected steps of length 1 converge, here with Nesterov's momentum, restarted when the error
-    grows.
+    projected steps of length 1 converge, here with Nesterov's momentum, restarted when the
+    objective grows.
     """
     weight = F.col("n_tokens") * F.col("copies")
     first = found.agg(F.sum(weight).alias("n"), *[F.sum(weight * F.col(d)).alias(d) for d in DOMAINS]).first()
@@ -155,17 +163,27 @@ def rates(found: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     mass = np.maximum(np.array([first[d] / total for d in DOMAINS]), 1e-9)
     moves: list[tuple[np.ndarray, float]] = []
     least, run = np.inf, 0
-    for _ in range(STEPS):
-        got = (found.select((weight / total).alias("w"), _rate(moves).alias("at"), *DOMAINS)
-               .agg(*[F.sum(F.col("w") * F.col(f"at.{x}") * F.col(d)).alias(f"{x}_{d}") for x in "ry" for d in DOMAINS]).first())
+    state = found.withColumn("r0", F.lit(1.0)).withColumn("y0", F.lit(1.0))
+    for taken in range(STEPS + 1):
+        if len(moves) == FOLD:
+            state = staged(state.withColumn("at", _rate(moves)).withColumn("r0", F.col("at.r")).withColumn("y0", F.col("at.y")).drop("at"), "mix-state")
+            moves = []
+        got = (state.select((weight / total).alias("w"), _rate(moves).alias("at"), *DOMAINS)
+               .agg(F.sum(F.col("w") * F.col("at.g")).alias("gap"),
+                    *[F.sum(F.col("w") * F.col(f"at.{x}") * F.col(d)).alias(f"{x}_{d}") for x in "ry" for d in DOMAINS]).first())
         error, ahead = (np.array([got[f"{x}_{d}"] for d in DOMAINS]) - wanted for x in "ry")
         size = float(np.abs(error / wanted).max())
-        if size <= TOLERANCE or abs(size - least) <= 1e-4 * size:  # met, or as near as the posteriors allow
+        # without moves the gap is not known yet
+        if size <= TOLERANCE or (moves and got["gap"] <= GAP) or taken == STEPS:
             break
-        run = 0 if size > least else run + 1
-        least = size
+        missed = float((error * error / mass).sum())
+        run = 0 if missed > least else run + 1
+        least = missed
         moves.append((ahead / mass, run / (run + 3)))
-    return found.withColumn("rate", _rate(moves)["r"])
+    log.log(logging.INFO if size <= TOLERANCE else logging.WARNING, "mixing: %s shares %s of %s after %d steps, projected step %.1e",
+            "met" if size <= TOLERANCE else "best reachable" if got["gap"] <= GAP else "NOT CONVERGED",
+            {d: round(got[f"r_{d}"], 5) for d in DOMAINS}, targets, taken, got["gap"])
+    return state.withColumn("rate", _rate(moves)["r"]).drop("r0", "y0")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
