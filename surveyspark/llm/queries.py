@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from surveyspark.llm import ann_forest, chat_format, jaccard_join, katz, language_id, mixing, pii, sentencepiece_codec, topk_search, training_order
+from surveyspark.llm import (ann_forest, chat_format, html_extract, jaccard_join, katz, language_id, mixing, pii, resampling,
+                             sentencepiece_codec, topk_search, training_order, whitening)
 from surveyspark.llm.common import table
 from surveyspark.llm.registry import query
 
@@ -109,3 +110,21 @@ def op6_katz_scores(spark, sf_dir):
 def op1_training_order(spark, sf_dir):
     """Slot, shard, byte offset and digest of every sequence, read back from the written shards."""
     return training_order.materialise(table(spark, sf_dir, "documents").select("text"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    """Every embedding whitened on the 32 leading eigenvectors of the covariance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query("op12_html_extract")
+def op12_html_extract(spark, sf_dir):
+    """The main text of every page, by the style trees of its host and of all pages."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op13_resampling")
+def op13_resampling(spark, sf_dir):
+    """Every document weighted towards the benchmark texts, with the rank of those drawn."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
