@@ -10,7 +10,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 def test_one_query_for_each_operator_and_the_pipeline():
     names = list(E.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and [s[0] for s in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "pii", "mixing", "sentencepiece"]
 
