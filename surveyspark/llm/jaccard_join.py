@@ -30,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from surveyspark.llm.common import mix64, slices, staged, texts_of
 from surveyspark.llm.components import connected_components
@@ -45,6 +45,8 @@ BLOCK = 512
 #: n-grams in more nodes of a unit than this are counted by matrix product, the rest pair by pair
 DENSE = 32
 HEAVY = 2_000
+#: places of rows that are broadcast at most
+SMALL = 500_000
 
 
 def choose_bands(threshold: float, recall: float = TARGET_RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -115,8 +117,30 @@ def _node_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(data[8 * (e - s):8 * e]) for e, s in zip(ends, sizes)], np.uint64)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with the place of each row: a hash of its file's name and its number there.
+
+    A frame that isn't read from files is written first.
+    """
+    if {"llm_file", "llm_row"} <= set(docs.columns):
+        return docs
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias("llm_file"), F.col("_metadata.row_index").alias("llm_row"))
+    except AnalysisException:
+        return located(staged(docs, "join-docs"))
+
+
+def at_places(rows: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join of located rows with places.
+
+    Up to ``SMALL`` places are broadcast, so that the rows and their texts don't move; beyond that bound both sides are shuffled.
+    """
+    few = F.broadcast(places) if places.limit(SMALL + 1).count() <= SMALL else places
+    return rows.join(few, ["llm_file", "llm_row"], how)
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text_hash, node, n_grams, bands): null node for texts without words."""
+    """(doc_id, text_hash, llm_file, llm_row, node, n_grams, bands) of located rows: null node for texts without words."""
 
     def run(batches):
         for batch in batches:
@@ -127,10 +151,12 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, bands, dtype=np.int32)), pa.array(codes.ravel()))
                 node = pa.array(_node_of(values, sizes).astype(np.int64), mask=np.asarray(sizes == 0))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), node, pa.array(sizes.astype(np.int32)), pc.if_else(empty, pa.scalar(None, lists.type), lists)],
-                    names=["doc_id", "text_hash", "node", "n_grams", "bands"])
+                    [*(part.column(c) for c in kept), node, pa.array(sizes.astype(np.int32)), pc.if_else(empty, pa.scalar(None, lists.type), lists)],
+                    names=[*kept, "node", "n_grams", "bands"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, node long, n_grams int, bands array<long>")
+    kept = ["doc_id", "text_hash", "llm_file", "llm_row"]
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "llm_file", "llm_row", "text").mapInArrow(
+        run, "doc_id long, text_hash long, llm_file long, llm_row long, node long, n_grams int, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -217,11 +243,13 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
 
 
 def _classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
-    """The result of :func:`jaccard_join` with ``text_hash`` and ``label``, the node that stands for the class."""
+    """The result of :func:`jaccard_join` with ``text_hash``, the row's place, and ``label``, the node that stands for the class."""
     bands, rows = choose_bands(threshold, recall)
+    docs = located(docs)
     sig = staged(signatures(docs, n, bands, rows), "join-signatures")
     nodes = staged(sig.filter(F.col("node").isNotNull()).groupBy("node")
-                   .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "join-nodes")
+                   .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"),
+                        F.min(F.struct("llm_file", "llm_row")).alias("place")), "join-nodes")
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter(F.col("lo") != F.col("hi"))
     ties = staged(keyed.join(shared.select("band", "lo"), "band").select("node", "lo").distinct(), "join-ties")
@@ -230,16 +258,14 @@ def _classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
                                                       (F.col("copies") - 1).alias("n_links"))))
     comps = connected_components(ties, "node", "lo").withColumnRenamed("label", "comp")
     sized = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    tied = staged(comps.join(sized, "comp").join(nodes.select("node", "copies", "first_id"), "node"), "join-tied")
+    tied = staged(comps.join(sized, "comp").join(nodes.select("node", "copies", "place"), "node"), "join-tied")
     total = tied.count()
-    # one document of each tied node; ids that repeat bring further texts, which the join by node leaves out
-    wanted = tied.select("first_id").distinct()
-    chosen = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = _sets_of(chosen, n).groupBy("node").agg(F.first("grams").alias("grams"))
+    # one document of each tied node
+    sets = _sets_of(at_places(docs.select("llm_file", "llm_row", "text"), tied.select("place.*"), "left_semi"), n)
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     small = F.pmod(F.xxhash64("comp"), F.lit(max(1, -(-total // BLOCK))))
-    dealt = (tied.drop("first_id").join(sets, "node").withColumn("block", own).withColumn("other", other)
+    dealt = (tied.drop("place").join(sets, "node").withColumn("block", own).withColumn("other", other)
              .select(F.when(F.col("blocks") == 1, small).otherwise(F.col("comp")).alias("unit"),
                      (F.col("blocks") > 1).alias("large"),
                      F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
@@ -278,11 +304,11 @@ def _per_document(sig: DataFrame, facts: DataFrame) -> DataFrame:
     Nodes that hold at least 1 / ``HEAVY`` of the documents - at most ``HEAVY`` of them - are
     broadcast, so a text with very many copies isn't shuffled to one task.
     """
-    columns = "doc_id", "text_hash", "label", "class_id", "n_links", "n_grams"
+    columns = "doc_id", "text_hash", "llm_file", "llm_row", "label", "class_id", "n_links", "n_grams"
     heavy = facts.filter(F.col("copies") * HEAVY >= sig.count()).drop("copies")
     taken = facts.filter(F.col("class_id").isNotNull()).select(F.col("class_id").alias("doc_id"), F.lit(True).alias("taken")).distinct()
     alone = sig.filter(F.col("node").isNull()).join(taken, "doc_id", "left").select(
-        "doc_id", "text_hash", F.col("node").alias("label"),
+        "doc_id", "text_hash", "llm_file", "llm_row", F.col("node").alias("label"),
         F.when(F.col("taken"), _own_number(F.xxhash64("doc_id", "text_hash"))).otherwise(F.col("doc_id")).alias("class_id"),
         F.lit(0).cast("long").alias("n_links"), "n_grams")
     of_heavy = sig.join(F.broadcast(heavy), "node").select(*columns)
@@ -293,19 +319,16 @@ def _per_document(sig: DataFrame, facts: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each class the document with the smallest id stays, with all its columns.
 
-    Of rows that repeat this id, one with the smallest hash of its text stays, so a class keeps
-    exactly one row; documents without words (once per id and text) or without an id all stay.
+    Of rows that repeat this id, one with the smallest hash of its text stays, the first place on a
+    tie, so a class keeps exactly one row; documents without words (once per id and text) or
+    without an id all stay. The rows that go are told by their places: the texts of the others aren't grouped or sorted.
     """
-    columns = docs.columns
-    found = _classes(docs.select("doc_id", "text")).filter(F.col("doc_id").isNotNull())
-    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    of_class = found.filter(F.col("label").isNotNull()).groupBy("label").agg(first).select("first.doc_id", "first.text_hash")
-    kept = of_class.unionByName(found.filter(F.col("label").isNull()).select("doc_id", "text_hash")).distinct()
-    kept = kept.select(F.col("doc_id").alias("llm_id"), F.col("text_hash").alias("llm_hash"))
-    text_hash = F.xxhash64("text")
-    rest = docs.filter(F.col("doc_id").isNull())
-    one = Window.partitionBy("doc_id", "llm_text_hash").orderBy(*[F.col(c) for c in columns if isinstance(docs.schema[c].dataType, T.AtomicType)])
-    rows = docs.withColumn("llm_text_hash", text_hash)
-    first_rows = (rows.join(kept, (F.col("doc_id") == F.col("llm_id")) & (F.col("llm_text_hash") == F.col("llm_hash")), "left_semi")
-                  .withColumn("llm_place", F.row_number().over(one)).filter(F.col("llm_place") == 1).select(*columns))
-    return first_rows.unionByName(rest)
+    rows = located(docs)
+    found = _classes(rows).filter(F.col("doc_id").isNotNull())
+    wordless = F.col("label").isNull()
+    found = staged(found.select("label", F.when(wordless, F.col("doc_id")).alias("own_id"), F.when(wordless, F.col("text_hash")).alias("own_hash"),
+                                "doc_id", "text_hash", "llm_file", "llm_row"), "join-found")
+    first = F.min(F.struct("doc_id", "text_hash", "llm_file", "llm_row")).alias("first")
+    stay = found.groupBy("label", "own_id", "own_hash").agg(first).select("first.llm_file", "first.llm_row")
+    gone = staged(found.select("llm_file", "llm_row").join(stay, ["llm_file", "llm_row"], "left_anti"), "join-gone")
+    return at_places(rows, gone, "left_anti").select(*docs.columns)

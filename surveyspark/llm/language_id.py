@@ -19,14 +19,14 @@ language name; input columns named like an output are replaced.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from surveyspark.llm.common import slices, texts_of
 
@@ -35,7 +35,10 @@ TRAIN_DOCS = 4000
 UNDETERMINED = "und"
 #: bytes of text that a worker codes at a time (a longer text alone)
 SLICE = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+#: the pipeline drops a text that needs more than this many times the bits per byte which all but a hundredth of
+#: its language's held-out documents need, and SLACK bits more
+EXCESS, ALL_BUT, SLACK = 1.5, 0.99, 400.0
 
 
 def held_out(id_col: str = "doc_id"):
@@ -170,39 +173,66 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def predict(df: DataFrame, trees: Trees, text_col: str = "text", lang_out: str = "lang_pred",
-            score_out: str = "score") -> DataFrame:
-    """``df`` with the language and its score; every other column passes through."""
+            score_out: str = "score", bits_out: str | None = None) -> DataFrame:
+    """``df`` with the language and its score (and the bits of its code); every other column passes through.
+
+    Only the text goes to Python and only the result comes back; the row itself stays in the JVM.
+    """
     model = df.sparkSession.sparkContext.broadcast(trees)
-    keep = [c for c in df.columns if c not in (lang_out, score_out)]
-    schema = T.StructType([df.schema[c] for c in keep]
-                          + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
 
-    def run(batches):
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trees = model.value
-        for batch in batches:
-            for part in slices(batch, text_col, SLICE):
-                texts = texts_of(part, text_col)
-                bits = trees.code_lengths(texts)
-                has = np.array([LETTER.search(x) is not None for x in texts.to_pylist()], bool)
-                has &= bool(trees.langs)
-                sizes = np.maximum(1, pc.binary_length(texts).to_numpy(zero_copy_only=False))
-                if trees.langs:
-                    best = bits.argmin(axis=1)
-                    rate = bits / sizes[:, None]
-                    share = 1.0 / np.exp2(rate.min(axis=1, keepdims=True) - rate).sum(axis=1)
-                    lang = np.array(trees.langs, object)[best]
-                else:
-                    share, lang = np.zeros(len(sizes)), np.full(len(sizes), UNDETERMINED, object)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(c)) for c in keep]
-                    + [pa.array(np.where(has, lang, UNDETERMINED), pa.string()), pa.array(np.where(has, share, 0.0))],
-                    names=[*keep, lang_out, score_out])
-
-    return df.select(*keep).mapInArrow(run, schema)
-
-
-def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """Pipeline stage: documents without a determined language (or below ``min_score``) go."""
-    columns = docs.columns
-    found = predict(docs, learn(docs), lang_out="llm_lang", score_out="llm_score")
-    return found.filter((F.col("llm_lang") != UNDETERMINED) & (F.col("llm_score") >= min_score)).select(*columns)
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            parts = [_judged(texts_of(part), trees) for part in slices(batch, "text", SLICE)]
+            yield pa.concat_arrays(parts) if parts else _judged(pa.array([], pa.string()), trees)
+
+    found = F.arrow_udf(judge, "struct<lang:string,score:double,bits:double>").asNondeterministic()
+    out = df.drop(lang_out, score_out).withColumn("llm_judged", found(F.col(text_col)))
+    out = out.withColumns({lang_out: F.col("llm_judged.lang"), score_out: F.col("llm_judged.score")})
+    return (out.withColumn(bits_out, F.col("llm_judged.bits")) if bits_out else out).drop("llm_judged")
+
+
+def _judged(texts: pa.Array, trees: Trees) -> pa.StructArray:
+    """Language, score and bits of each text."""
+    has = np.array([LETTER.search(x) is not None for x in texts.to_pylist()], bool) & bool(trees.langs)
+    n = len(texts)
+    share, lang, bits = np.zeros(n), np.full(n, UNDETERMINED, object), np.zeros(n)
+    if trees.langs and n:
+        lengths = trees.code_lengths(texts)
+        sizes = np.maximum(1, pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        rate = lengths / sizes[:, None]
+        bits = np.where(has, lengths.min(axis=1), 0.0)
+        share = np.where(has, 1.0 / np.exp2(rate.min(axis=1, keepdims=True) - rate).sum(axis=1), 0.0)
+        lang = np.where(has, np.array(trees.langs, object)[lengths.argmin(axis=1)], UNDETERMINED)
+    return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(share, pa.float64()), pa.array(bits, pa.float64())],
+                                      ["lang", "score", "bits"])
+
+
+def usual_rates(docs: DataFrame, trees: Trees) -> dict[str, float]:
+    """Per language the bits a byte that all but a hundredth of its labelled held-out documents need (one row a language)."""
+    rows = docs.filter(held_out() & F.col("lang").isin(trees.langs) & (F.length("text") > 0)).select("lang", "text")
+    rate = F.col("llm_bits") / F.octet_length("text")
+    found = (predict(rows, trees, bits_out="llm_bits").filter(F.col("lang_pred") == F.col("lang"))
+             .groupBy("lang").agg(F.percentile_approx(rate, ALL_BUT, 10_000).alias("rate")).collect())
+    return {r["lang"]: r["rate"] for r in found}
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """Pipeline stage: documents without a determined language go, and those that no learned language explains.
+
+    A text goes if its code is longer than ``EXCESS`` times what its language's own
+    held-out documents need for as many bytes, and ``SLACK`` bits more, so that
+    short texts stay. A language without held-out documents rejects nothing, and
+    a table without a learnable row keeps all its rows.
+    """
+    trees = learn(docs)
+    if not trees.langs:
+        return docs
+    usual = usual_rates(docs, trees)
+    found = predict(docs, trees, lang_out="llm_lang", score_out="llm_score", bits_out="llm_bits")
+    limit = F.lit(None).cast("double")
+    for lang, rate in usual.items():
+        limit = F.when(F.col("llm_lang") == lang, EXCESS * rate * F.octet_length("text") + SLACK).otherwise(limit)
+    known = (F.col("llm_lang") != UNDETERMINED) & (limit.isNull() | (F.col("llm_bits") <= limit))
+    return found.filter(known).select(*docs.columns)
