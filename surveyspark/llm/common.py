@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import uuid
 
 import numpy as np
@@ -15,6 +17,33 @@ from surveyspark.session import ensure_checkpoint_dir
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system; an idle Python worker otherwise keeps the most that it ever held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(batches_to_batches):
+    """The same function of Arrow batches, which releases the worker's memory when its input ends."""
+    @functools.wraps(batches_to_batches)
+    def run(batches):
+        try:
+            yield from batches_to_batches(batches)
+        finally:
+            release_memory()
+    return run
+
+
+def light_files(spark: SparkSession) -> None:
+    """Read whole texts a few hundred at a time and write them in row groups of 16 MB.
+
+    Buffers then stay small beside the heap of an executor, whose size otherwise follows its largest arrays.
+    """
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
+    spark.conf.set("parquet.block.size", str(16 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

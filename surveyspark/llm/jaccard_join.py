@@ -34,7 +34,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.llm.common import mix64, slices, staged, texts_of
+from surveyspark.llm.common import lean, mix64, slices, staged, texts_of
 from surveyspark.llm.components import connected_components
 
 N = 5
@@ -156,7 +156,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     kept = ["doc_id", "text_hash", "llm_file", "llm_row"]
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "llm_file", "llm_row", "text").mapInArrow(
-        run, "doc_id long, text_hash long, llm_file long, llm_row long, node long, n_grams int, bands array<long>")
+        lean(run), "doc_id long, text_hash long, llm_file long, llm_row long, node long, n_grams int, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -173,7 +173,7 @@ def _sets_of(docs: DataFrame, n: int) -> DataFrame:
                      pa.array([values[ends[i] - sizes[i]:ends[i]].tobytes() for i in pick], pa.binary())],
                     names=["node", "grams"])
 
-    return docs.select("text").mapInArrow(run, "node long, grams binary")
+    return docs.select("text").mapInArrow(lean(run), "node long, grams binary")
 
 
 def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.llm.common import slices, texts_of
+from surveyspark.llm.common import lean, release_memory, slices, texts_of
 
 ORDER = 3
 TRAIN_DOCS = 4000
@@ -160,7 +160,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                          counted.field(1)], names=["lang", "code", "n"])
 
     counted = (sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-               .mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+               .mapInArrow(lean(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
                .toArrow())
     names = np.array(counted["lang"].to_pylist(), object)
     codes, n = counted["code"].to_numpy().astype(np.uint32), counted["n"].to_numpy()
@@ -182,10 +182,13 @@ def predict(df: DataFrame, trees: Trees, text_col: str = "text", lang_out: str =
 
     def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trees = model.value
-        for column in columns:
-            batch = pa.RecordBatch.from_arrays([column], ["text"])
-            parts = [_judged(texts_of(part), trees) for part in slices(batch, "text", SLICE)]
-            yield pa.concat_arrays(parts) if parts else _judged(pa.array([], pa.string()), trees)
+        try:
+            for column in columns:
+                batch = pa.RecordBatch.from_arrays([column], ["text"])
+                parts = [_judged(texts_of(part), trees) for part in slices(batch, "text", SLICE)]
+                yield pa.concat_arrays(parts) if parts else _judged(pa.array([], pa.string()), trees)
+        finally:
+            release_memory()
 
     found = F.arrow_udf(judge, "struct<lang:string,score:double,bits:double>").asNondeterministic()
     out = df.drop(lang_out, score_out).withColumn("llm_judged", found(F.col(text_col)))
