@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from surveyspark.llm import jaccard_join, language_id, mixing, pii, sentencepiece_codec
-from surveyspark.llm.common import light_files, small_batches, staged, table
+from surveyspark.llm.common import light_files, rest_executors, small_batches, staged, table
 from surveyspark.session import ensure_checkpoint_dir, ship_package
 
 
@@ -19,6 +19,7 @@ def _ready(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     small_batches(spark)
     light_files(spark)
+    rest_executors(spark)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
