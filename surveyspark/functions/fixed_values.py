@@ -51,6 +51,9 @@ MISSING_RULES = {
     "h8": ([8, 9], 9), "h9": ([8, 9], 9), "v743a": ([8, 9], 9),
     "v501": ([8, 9], 9), "v113": ([97, 98, 99], 99), "v116": ([97, 98, 99], 99),
     "v161": ([97, 98, 99], 99),
+    # the fields without a published rule: only their non-response codes, never a valid code
+    "b4": ([9], 9), "v025": ([9], 9), "v106": ([8, 9], 9), "v190": ([9], 9),
+    "v024": ([98, 99], 99), "m18": ([8, 9], 9), "v102": ([9], 9), "v101": ([98, 99], 99),
 }
 DEFAULT_MISSING_RULE = ([8, 9, 98, 99], 9)
 
@@ -102,6 +105,43 @@ LABELS = {
     "vaccine_status": {0: "Non", 1: "Oui", 8: "Je ne sais pas"},
 }
 
+# --- fixed values: code -> label of the frequency tables ----------------------
+VACCINATION = {0: "Non", 1: "Date de vaccination sur la carte", 2: "Signalé par la mère", 3: "Vaccination indiquée sur la carte"}
+FREQUENCY_LABELS = {
+    "sexeenfant": {1: "Masculin", 2: "Féminin"},
+    "milieuderesidence": {1: "Urbain", 2: "Rural"},
+    "niveauinstructionmere": {0: "Aucun", 1: "Primaire", 2: "Secondaire", 3: "Supérieur"},
+    "indicederichesse": {1: "Plus pauvre", 2: "Pauvre", 3: "Moyen", 4: "Riche", 5: "Plus riche"},
+    "region": {1: "Adamaoua", 2: "Centre (sans Yaoundé)", 3: "Douala", 4: "Est", 5: "Extrême-Nord", 6: "Littoral (sans Douala)",
+               7: "Nord", 8: "Nord-Ouest", 9: "Ouest", 10: "Sud", 11: "Sud-Ouest", 12: "Yaoundé"},
+    "tailleanaissance": {1: "Très gros", 2: "Plus gros que la moyenne", 3: "Moyen", 4: "Plus petit que la moyenne", 5: "Très petit"},
+    "vaccinbcg": VACCINATION,
+    "diarrhee": {0: "Pas de diarrhée", 1: "Oui (dernières 24h)", 2: "Oui (2 dernières semaines)"},
+    "prisededecisionmere": {1: "Répondante seule", 2: "Répondante et conjoint", 3: "Conjoint seul", 4: "Quelqu'un d'autre",
+                            5: "Répondante et autre personne"},
+    "statutmatrimonialmere": {0: "Jamais mariée", 1: "Mariée", 2: "Union libre / Cohabitation", 3: "Veuve", 4: "Divorcée", 5: "Séparée"},
+    "sourceeaupotable": {11: "Eau courante: dans le logement", 12: "Eau courante: dans la cour/parcelle", 13: "Eau courante: robinet public",
+                         21: "Puits tubé / forage", 31: "Puits creusé protégé", 32: "Puits creusé non protégé", 41: "Source protégée",
+                         42: "Source non protégée", 51: "Eau de pluie", 61: "Camion-citerne", 62: "Boutique / Charette avec petite citerne",
+                         71: "Eau de surface (rivière/barrage/lac)", 91: "Eau en bouteille", 92: "Eau en sachet (Pure Wata)"},
+    "typeinstallationssanitaires": {11: "Chasse d'eau: branchée à un égout", 12: "Chasse d'eau: fosse septique",
+                                    13: "Chasse d'eau: latrines à fosse", 14: "Chasse d'eau: vers un endroit inconnu",
+                                    21: "Latrines à fosse améliorées ventilées (VIP)", 22: "Latrines à fosse avec dalle",
+                                    23: "Latrines à fosse sans dalle / fosse ouverte", 31: "Toilettes à compostage",
+                                    41: "Toilettes suspendues / sur pilotis", 51: "Pas de toilettes / nature / brousse"},
+    "typecombustiblecuisine": {1: "Électricité", 2: "Gaz de pétrole liquéfié (GPL) / Gaz butane", 3: "Kérosène / Pétrole lampant",
+                               4: "Charbon de bois", 5: "Bois de chauffe", 6: "Paille / Arbustes / Herbe", 7: "Cultures / Déchets agricoles",
+                               8: "Bouse d'animaux", 95: "Ne cuisine pas à la maison"},
+    "lieuderesidence": {1: "Urbain", 2: "Rural"},
+    "regionecologique": {1: "Adamaoua", 2: "Centre", 3: "Est", 4: "Extrême-Nord", 5: "Littoral", 6: "Nord", 7: "Nord-Ouest", 8: "Ouest",
+                         9: "Sud", 10: "Sud-Ouest"},
+    "vaccinpolio0": VACCINATION,
+    "cartesante": {0: "Aucune carte", 1: "Oui vu", 2: "Oui pas vu", 3: "Je n'ai plus de carte"},
+    "vaccindtp1": VACCINATION, "vaccinpolio1": VACCINATION, "vaccindtp2": VACCINATION, "vaccinpolio2": VACCINATION,
+    "vaccindtp3": VACCINATION, "vaccinpolio3": VACCINATION, "vaccinrougeole1": VACCINATION,
+    "vaccine_status": {0: "Non", 1: "Oui"},
+}
+
 # --- fixed values: model term -> display label (exact term match) ------------
 TERM_LABELS = {
     "C(sexeenfant)[T.2]": "Sexe de l'enfant : Feminin (Ref: Masculin)",

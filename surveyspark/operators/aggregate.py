@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,24 @@ def shape_log(df: DataFrame, stage: str) -> DataFrame:
         F.lit(stage).alias("stage"), "n_rows", F.lit(len(df.columns)).alias("n_cols"))
 
 
+class StageCounts:
+    """AGG-1 while a plan runs: ``watch(stage, frame)`` observes the frame; no job of its own counts anything.
+
+    After the plan's action ``table`` gives (stage, n_rows, n_cols) in the order of the stages.
+    """
+
+    def __init__(self):
+        self.seen: list = []
+
+    def __call__(self, stage: str, df: DataFrame) -> DataFrame:
+        observed = Observation()
+        self.seen.append((stage, observed, len(df.columns)))
+        return df.observe(observed, F.count(F.lit(1)).alias("n_rows"))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(s, o.get["n_rows"], n) for s, o, n in self.seen], "stage string, n_rows long, n_cols int")
+
+
 def cardinality(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """AGG-5: distinct count per column, long form (variable, n_distinct)."""
     fn = F.approx_count_distinct if approx else F.count_distinct
@@ -115,20 +133,21 @@ def sequence(df: DataFrame, session: str, order: Sequence[str], out: str = "seq"
     """WIN-1: 1..n inside each session, ordered by ``order`` (nulls first; a null session is a session).
 
     Equivalent to ``row_number() over (partition by session order by ...)``.
-    Rows are cut into ordered ranges of (session, order) of about ``hot_rows``
-    rows, each range numbers its own rows and the ranges' counts are
-    prefix-summed per session. The plan is the same at every size, and no task
-    sorts a whole hot session, whether its rows spread out or share a burst.
+    Rows are cut into ordered ranges of (session, order, position) of about
+    ``hot_rows`` rows, each range numbers its own rows and the ranges' counts
+    are prefix-summed per session. The plan is the same at every size, and no
+    task sorts a whole hot session: rows that share session and order are cut
+    by their position in the materialised input, which also orders them.
     """
     from surveyspark.operators.joins import null_safe_join
     from surveyspark.operators.stats_core import ordered_buckets
-    b = ordered_buckets(df, [session], order, rows_per_bucket=hot_rows)
+    b = ordered_buckets(df, [session], order, rows_per_bucket=hot_rows, tail="_pos")
     cnt = b.groupBy(session, "_bk").agg(F.count(F.lit(1)).alias("_bn"))
     wb = Window.partitionBy(session).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
-    wi = Window.partitionBy(session, "_bk").orderBy(*order)
+    wi = Window.partitionBy(session, "_bk").orderBy(*order, "_pos")
     return (null_safe_join(b, off, [session, "_bk"])
-            .withColumn(out, (F.col("_off") + F.row_number().over(wi)).cast("int")).drop("_bk", "_off"))
+            .withColumn(out, (F.col("_off") + F.row_number().over(wi)).cast("long")).drop("_bk", "_off", "_pos"))
 
 
 def share_of_total(df: DataFrame, n: str, by: Sequence[str], out: str = "pct") -> DataFrame:

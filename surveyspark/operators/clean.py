@@ -128,27 +128,30 @@ def recode(df: DataFrame, col: str, mapping: Mapping, out: str | None = None) ->
     return df.withColumn(out or col, e.otherwise(F.col(col)) if e is not None else F.col(col))
 
 
-def clean_survey(df: DataFrame) -> DataFrame:
+def clean_survey(df: DataFrame, watch=None) -> DataFrame:
     """The cleaning plan of the raw coded survey (3.1), with rules Q1-Q4 applied.
 
     validity flag -> z-score sentinels and range -> sentinels nulled before
     rescaling -> implied decimals -> generic sentinels -> median imputation ->
     categorical collapse -> indicators, composite and analytic weight.
+
+    ``watch(stage, frame)`` returns the frame to go on with; ``aggregate.StageCounts``
+    counts the rows of each stage while the plan itself runs (AGG-1).
     """
     from surveyspark.functions import exprs as X
 
-    df = keep_valid(df, "hw13", 0)
+    watch = watch or (lambda stage, frame: frame)
+    df = watch("valid", keep_valid(watch("raw", df), "hw13", 0))
     for z in ("hw5", "hw8", "hw11"):
         df = drop_codes(df, z, FV.Z_SCORE_SENTINELS, drop_null=True)
-    df = keep_range(df, ["hw5", "hw8", "hw11"], *FV.Z_SCORE_RANGE)
+    df = watch("anthropometry", keep_range(df, ["hw5", "hw8", "hw11"], *FV.Z_SCORE_RANGE))
     df = drop_codes(df, "v445", FV.BMI_SENTINELS, drop_null=False)
     df = drop_codes(df, "v438", FV.HAEMOGLOBIN_SENTINELS + [9996, 9997, 9998, 9999], drop_null=False)
-    df = rescale(df, {"v445": 100.0, "v438": 10.0})
+    df = watch("continuous", rescale(df, {"v445": 100.0, "v438": 10.0}))
     cont = [x for x in FV.CONTINUOUS_FIELDS if x in df.columns]
     df = codes_to_null(df, [x for x in cont if x not in ("v445", "v438")], FV.GENERIC_SENTINELS)
     df = impute_median(df, cont)
-    df = collapse_missing(df, FV.CATEGORICAL_FIELDS + list(FV.MISSING_RULES), FV.MISSING_RULES,
-                          default=None)
+    df = collapse_missing(df, [x for x in merged(FV.CATEGORICAL_FIELDS, FV.MISSING_RULES) if x not in cont], FV.MISSING_RULES)
     df = df.withColumns({
         "Y1_stunting": X.flag_below("hw5", FV.STUNTING_CUTOFF),
         "Y2_wasting": X.flag_below("hw8", FV.STUNTING_CUTOFF),
@@ -157,4 +160,8 @@ def clean_survey(df: DataFrame) -> DataFrame:
     df = df.withColumn("Y_ICEA", X.any_of(["Y1_stunting", "Y2_wasting", "Y3_underweight"]))
     if "v005" in df.columns:
         df = df.withColumn("poids_analytique", F.col("v005") / F.lit(1e6))
-    return df
+    return watch("clean", df)
+
+
+def merged(*lists) -> list[str]:
+    return list(dict.fromkeys(x for names in lists for x in names))

@@ -239,45 +239,57 @@ def subclass_accuracy(df: DataFrame, pairs: dict, w: str | None = None) -> DataF
                              (F.col(w).cast("double") if w else F.lit(1.0)).alias("wt"))
                     for k, (pc, yc) in pairs.items()])
     long = df.select(F.explode(arr).alias("s")).select("s.*")
-    cnt = S.value_counts(long.select("subclass", F.lit("prob").alias("variable"), F.col("prob").alias("value")),
-                         ["subclass"])
-    med = S.exact_quantiles(cnt, [0.5], ["subclass"], names=["median"]).drop("variable")
+    # one row per sub-class: the sub-class is the variable
+    med = S.quantiles(long.select(F.col("subclass").alias("variable"), F.col("prob").alias("value")), [0.5],
+                      names=["median"]).withColumnRenamed("variable", "subclass")
     j = long.join(F.broadcast(med), "subclass").withColumn("pred", (F.col("prob") >= F.col("median")).cast("int"))
     return accuracy_precision_recall(j, "truth", "pred", "wt", ["subclass"])
 
 
-def permutation_importance(df: DataFrame, features: Sequence[str], score_fn, y: str, row_key: Sequence[str],
-                           repeats: int = 10, seed: int = 0, w: str | None = None) -> DataFrame:
-    """EVL-11: mean and sd of the AUC drop when one feature is permuted.
-
-    All (feature, repeat) copies are built in one pass: rows are exploded once
-    per copy, each copy ranks its rows in two seeded hash orders (exact global
-    ranks per copy without a single-task window, ``split.hash_rank``), and the
-    permuted feature value of the row with rank r is taken from the row with
-    donor rank r. The copies are scored together and AUC is grouped per copy.
+def permuted_pairs(df: DataFrame, features: Sequence[str], keep: Sequence[str], row_key: Sequence[str], repeats: int,
+                   seed: int) -> DataFrame:
+    """(repeat, keep..., features..., _donor): every row with the features of the row whose values it takes in that repeat.
+
+    A repeat ranks the rows by one seeded hash of their key and the donors by another; equal ranks are
+    paired. The pairing is the same for all features, so rows are ranked once per repeat, not per feature.
     """
     from surveyspark.operators.split import hash_rank, seeded_hash
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in row_key])
-    base = df.withColumn("_rk", key)
-    base_auc = weighted_auc(base.withColumn("_p", score_fn(base)), y, "_p", w).select(F.col("auc").alias("_base"))
-    copies = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"))
-                       for f in features for r in range(repeats)])
-    ex = base.withColumn("_c", F.explode(copies)).select("*", "_c.feature", "_c.repeat").drop("_c")
-    tag = F.concat_ws(":", F.lit(str(seed)), F.col("feature"), F.col("repeat").cast("string"))
-    own = ex.withColumn("_h", seeded_hash("a", F.concat_ws(":", tag, F.col("_rk"))))
-    own = hash_rank(own, "_h", ["feature", "repeat"], out="_ra").drop("_h")
-    fval = None
-    for f in features:
-        fval = F.when(F.col("feature") == f, F.col(f).cast("double")) if fval is None \
-            else fval.when(F.col("feature") == f, F.col(f).cast("double"))
-    don = ex.select("feature", "repeat", "_rk", fval.alias("_donor")) \
-        .withColumn("_h", seeded_hash("b", F.concat_ws(":", tag, F.col("_rk"))))
-    don = hash_rank(don, "_h", ["feature", "repeat"], out="_ra").select("feature", "repeat", "_ra", "_donor")
-    perm = own.join(don, ["feature", "repeat", "_ra"])
-    perm = perm.withColumns({f: F.when(F.col("feature") == f, F.col("_donor")).otherwise(F.col(f).cast("double"))
-                             for f in features})
-    scored = perm.select("feature", "repeat", y, *([w] if w else []), score_fn(perm).alias("_p"))
-    aucs = weighted_auc(scored, y, "_p", w, ["feature", "repeat"])
+    ex = df.select(*dict.fromkeys([*keep, *features]), key.alias("_rk"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+
+    def order(name):
+        return seeded_hash(f"{seed}:{name}", F.concat_ws(":", F.col("repeat").cast("string"), F.col("_rk")))
+
+    own = hash_rank(ex.withColumn("_h", order("own")), "_h", ["repeat"], out="_r").drop("_h", "_rk")
+    donor = hash_rank(ex.select("repeat", F.struct(*features).alias("_donor"), order("donor").alias("_h")), "_h", ["repeat"], out="_r").drop("_h")
+    return own.join(donor, ["repeat", "_r"]).drop("_r")
+
+
+def permutation_importance(df: DataFrame, features: Sequence[str], score_fn, y: str, row_key: Sequence[str],
+                           repeats: int = 10, seed: int = 0, w: str | None = None, at_once: int = 4) -> DataFrame:
+    """EVL-11: mean and sd of the AUC drop when one feature is permuted; all features share one pairing of rows.
+
+    ``score_fn(frame)`` returns a probability column of the frame, or the frame
+    with a ``prob`` column (a fitted model). The pairing is checkpointed once;
+    ``at_once`` features are scored in one pass over it, the others after them.
+    """
+    from surveyspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    keep = [y, *([w] if w else [])]
+
+    def scored(frame):
+        out = score_fn(frame)
+        return out.withColumn("_p", F.col("prob")) if isinstance(out, DataFrame) else frame.withColumn("_p", out)
+
+    base_auc = weighted_auc(scored(df.select(*dict.fromkeys([*keep, *features]))), y, "_p", w).select(F.col("auc").alias("_base"))
+    pairs = permuted_pairs(df, features, keep, row_key, repeats, seed).checkpoint(eager=True)
+    aucs = None
+    for i in range(0, len(features), at_once):
+        some = features[i:i + at_once]
+        ex = pairs.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in some])))
+        ex = ex.withColumns({f: F.when(F.col("feature") == f, F.col("_donor")[f]).otherwise(F.col(f)) for f in some}).drop("_donor")
+        part = weighted_auc(scored(ex).select("feature", "repeat", *keep, "_p"), y, "_p", w, ["feature", "repeat"])
+        aucs = part if aucs is None else aucs.unionByName(part)
     drops = with_scalars(aucs, base_auc).withColumn("drop", F.col("_base") - F.col("auc"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"),
                                         F.stddev_pop("drop").alias("importance_sd"))

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.ml.feature import RFormula
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surveyspark.operators.joins import with_scalars
 
@@ -36,65 +39,20 @@ def apply_standardiser(df: DataFrame, params: DataFrame, cols: Sequence[str], su
 
 # ---------------------------------------------------------------- FEA-2
 
-def _encoding(n, s, s2, ymean, yvar):
-    """Empirical-Bayes blend: lambda = n / (n + var_c / var_y), enc = lambda mean_c + (1 - lambda) mean_y."""
-    mean_c = s / n
-    var_c = s2 / n - mean_c * mean_c
-    lam = F.when(yvar > 0, n * yvar / (n * yvar + var_c)).otherwise(F.lit(1.0))
-    return lam * mean_c + (1.0 - lam) * ymean
-
-
 def target_encode(df: DataFrame, cols: Sequence[str], y: str, split: str = "split", train: str = "train",
                   fold: str = "fold", suffix: str = "_te") -> DataFrame:
     """FEA-2: smoothed target encoding with cross-fitting on the training rows.
 
     Training rows get the encoding fitted on the other folds (total minus own
     fold); other partitions get the encoding fitted on all training rows; an
-    unseen category gets the fitting rows' mean. Sums are grouped per
-    (fold, category) and per fold, so the fitted tables scale with the number
-    of categories, not rows.
+    unseen category gets the training mean. A null is a category. The fitted
+    object is ``encoder.SurveyEncoderModel``; this is its fit and use in one call.
     """
-    from surveyspark.functions.exprs import materialize_small
-    from surveyspark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    tr = df.where(F.col(split) == train)
-    yd = F.col(y).cast("double")
-    # per-(fold, category) sums of every encoded column, checkpointed once: the
-    # fitted tables below read this small table instead of re-running the input
-    cfs = {c: tr.groupBy(fold, c).agg(F.count(F.lit(1)).alias("_cn"), F.sum(yd).alias("_cs"),
-                                      F.sum(yd * yd).alias("_cs2")).checkpoint(eager=True) for c in cols}
-    first = cfs[cols[0]]
-    gl_f = first.groupBy(fold).agg(F.sum("_cn").alias("_gn"), F.sum("_cs").alias("_gs"), F.sum("_cs2").alias("_gs2"))
-    gl_t = gl_f.agg(F.sum("_gn").alias("_Tn"), F.sum("_gs").alias("_Ts"), F.sum("_gs2").alias("_Ts2"))
-    gl = with_scalars(gl_f, gl_t)
-    # out-of-fold global mean / variance, per fold; and the full-train ones
-    on = F.col("_Tn") - F.col("_gn")
-    os_ = F.col("_Ts") - F.col("_gs")
-    os2 = F.col("_Ts2") - F.col("_gs2")
-    gl = gl.select(fold, (os_ / on).alias("_oym"), (os2 / on - (os_ / on) * (os_ / on)).alias("_oyv"))
-    full = gl_t.select((F.col("_Ts") / F.col("_Tn")).alias("_fym"),
-                       (F.col("_Ts2") / F.col("_Tn") - (F.col("_Ts") / F.col("_Tn")) ** 2).alias("_fyv"))
-    out = with_scalars(df, full).join(F.broadcast(gl), fold, "left")
-    is_tr = F.col(split) == train
-    for c in cols:
-        cf = cfs[c]
-        ct = cf.groupBy(c).agg(F.sum("_cn").alias("_tn"), F.sum("_cs").alias("_ts"), F.sum("_cs2").alias("_ts2"))
-        # training rows: out-of-fold statistics of their category
-        oof = (ct.join(cf, c, "left")
-               .select(c, fold, (F.col("_tn") - F.coalesce("_cn", F.lit(0))).alias("_on"),
-                       (F.col("_ts") - F.coalesce("_cs", F.lit(0.0))).alias("_os"),
-                       (F.col("_ts2") - F.coalesce("_cs2", F.lit(0.0))).alias("_os2")))
-        # one row per category (and fold): broadcast within a checked bound, so a hot
-        # category never lands in one shuffle task; beyond it AQE handles the skew
-        out = (out.join(materialize_small(oof, 2_000_000), [c, fold], "left")
-               .join(materialize_small(ct, 2_000_000), c, "left"))
-        enc_oof = F.when(F.col("_on") > 0, _encoding(F.col("_on"), F.col("_os"), F.col("_os2"),
-                                                     F.col("_oym"), F.col("_oyv"))).otherwise(F.col("_oym"))
-        enc_full = F.when(F.col("_tn") > 0, _encoding(F.col("_tn"), F.col("_ts"), F.col("_ts2"),
-                                                      F.col("_fym"), F.col("_fyv"))).otherwise(F.col("_fym"))
-        out = out.withColumn(f"{c}{suffix}", F.when(is_tr, enc_oof).otherwise(enc_full)) \
-            .drop("_on", "_os", "_os2", "_tn", "_ts", "_ts2")
-    return out.drop("_fym", "_fyv", "_oym", "_oyv")
+    from surveyspark.operators.encoder import SurveyEncoder
+    is_train = F.col(split) == train
+    model = SurveyEncoder(categoricalCols=list(cols), labelCol=y, foldCol=fold, outputCol="").fit(df.where(is_train))
+    out = model.encode(df, F.coalesce(is_train, F.lit(False)))
+    return out if suffix == "_te" else out.withColumnsRenamed({f"{c}_te": f"{c}{suffix}" for c in cols})
 
 
 # ---------------------------------------------------------------- FEA-4
@@ -150,17 +108,71 @@ def design_matrix(df: DataFrame, numeric: Sequence[str], factors: Sequence[str],
     return df.withColumns(exprs), terms
 
 
+class FormulaDesign:
+    """FEA-6: a design fitted from a formula; levels are those of the training rows, the lowest is the reference.
+
+    ``transform`` gives the vector of the fitted ``RFormulaModel``; a level that training hasn't seen raises.
+    ``columns`` gives one named column per term, from a checkpoint of the design. Rows that lack any column of the formula are left out.
+    """
+
+    def __init__(self, label: str, used: Sequence[str], factors: dict[str, bool], model, terms: Sequence[str]):
+        self.label, self.used, self.factors, self.model, self.terms = label, list(used), factors, model, ["Intercept", *terms]
+
+    @staticmethod
+    def prepared(df: DataFrame, used: Sequence[str], factors: dict[str, bool]) -> DataFrame:
+        """Complete rows with each factor as text that sorts as its codes do."""
+        out = df.dropna(subset=[c for c in used if c in df.columns])
+        return out.withColumns({f"{c}__f": F.format_string("%019d", F.col(c).cast("long")) if whole else F.col(c).cast("string")
+                                for c, whole in factors.items()})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.prepared(df, self.used, self.factors)).drop(*[f"{c}__f" for c in self.factors])
+
+    def columns(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        from surveyspark.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        x = vector_to_array(F.col("design"))
+        # made once: otherwise every term would repeat the whole design in its expression
+        out = self.transform(df).select(self.label, *[c for c in keep if c != self.label], x.alias("design")).checkpoint(eager=True)
+        return out.select(self.label, *[c for c in keep if c != self.label], F.lit(1.0).alias("Intercept"),
+                          *[F.col("design")[i].alias(t) for i, t in enumerate(self.terms[1:])])
+
+
+def fit_design(train: DataFrame, formula: str) -> FormulaDesign:
+    """FEA-6: ``y ~ a + C(b)`` - ``a`` as a number, ``b`` as a factor with treatment coding - fitted on ``train``."""
+    label, right = (part.strip() for part in formula.split("~"))
+    parts = [p.strip() for p in right.split("+")]
+    factors = {p[2:-1].strip(): isinstance(train.schema[p[2:-1].strip()].dataType, T.IntegralType) for p in parts if p.startswith("C(")}
+    used = [label, *[p[2:-1].strip() if p.startswith("C(") else p for p in parts]]
+    inner = " + ".join(f"{p[2:-1].strip()}__f" if p.startswith("C(") else p for p in parts)
+    rows = FormulaDesign.prepared(train, used, factors)
+    # the last level is dropped: descending order makes the lowest the reference
+    model = RFormula(formula=f"{label} ~ {inner}", featuresCol="design", labelCol="design_label", stringIndexerOrderType="alphabetDesc",
+                     handleInvalid="error").fit(rows)
+    attrs = model.transform(rows.limit(0)).schema["design"].metadata["ml_attr"]["attrs"]
+    named = sorted((a["idx"], a["name"]) for group in attrs.values() for a in group)
+
+    def term(name: str) -> str:
+        for c, whole in factors.items():
+            if name.startswith(f"{c}__f_"):
+                level = name[len(c) + 4:]
+                return f"C({c})[T.{int(level) if whole else level}]"
+        return name
+
+    return FormulaDesign(label, used, factors, model, [term(name) for _, name in named])
+
+
 # ---------------------------------------------------------------- FEA-3
 
 def column_transformer(df: DataFrame, continuous: Sequence[str], categorical: Sequence[str], y: str,
                        split: str = "split", train: str = "train", fold: str = "fold") -> tuple[DataFrame, list[str]]:
-    """FEA-3: route continuous columns to FEA-1 and categorical ones to FEA-2.
+    """FEA-3: route continuous columns to FEA-1 and categorical ones to FEA-2, fitted on the training partition.
 
     Output names keep the encoder order (continuous then categorical), and the
     list of names is returned with the frame so importances pair by name (Q8).
     """
-    params = fit_standardiser(df.where(F.col(split) == train), continuous)
-    out = apply_standardiser(df, params, continuous, suffix="_std")
-    out = target_encode(out, categorical, y, split, train, fold, suffix="_te")
-    names = [f"{c}_std" for c in continuous] + [f"{c}_te" for c in categorical]
-    return out, names
+    from surveyspark.operators.encoder import SurveyEncoder
+    is_train = F.col(split) == train
+    model = SurveyEncoder(continuousCols=list(continuous), categoricalCols=list(categorical), labelCol=y, foldCol=fold,
+                          outputCol="").fit(df.where(is_train))
+    return model.encode(df, F.coalesce(is_train, F.lit(False))), model.feature_names()

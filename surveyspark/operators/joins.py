@@ -31,22 +31,22 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str] | str, how:
 
 
 def attach_split(df: DataFrame, split_table: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """JN-2: attach the ``key -> split`` assignment (one row per cluster).
+    """JN-2: attach the ``key -> split`` assignment (one row per cluster; rows without a cluster are one cluster).
 
     The split table has one row per distinct cluster, so its size grows with
     the number of clusters, not rows; the planner decides broadcast vs shuffle.
     """
-    return df.join(split_table, key, how)
+    return null_safe_join(df, split_table, [key], how)
 
 
 def keep_split(df: DataFrame, split_table: DataFrame, key: str, split: str, col: str = "split") -> DataFrame:
     """JN-2: semi join - rows whose cluster belongs to ``split``."""
-    return df.join(split_table.where(F.col(col) == split).select(key), key, "left_semi")
+    return null_safe_join(df, split_table.where(F.col(col) == split).select(key), [key], "left_semi")
 
 
 def drop_split(df: DataFrame, split_table: DataFrame, key: str, split: str, col: str = "split") -> DataFrame:
     """JN-2: anti join - rows whose cluster is not in ``split``."""
-    return df.join(split_table.where(F.col(col) == split).select(key), key, "left_anti")
+    return null_safe_join(df, split_table.where(F.col(col) == split).select(key), [key], "left_anti")
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Estimators and tuning (MDL-1..5, MDL-8, TUN-1, TUN-2) on MLlib.
+"""Estimators and tuning (MDL-1..4, MDL-8, TUN-1, TUN-2) on MLlib; MDL-5 is in ``svm``.
 
-Models train on one cached encoded frame with a ``features`` vector column;
+Models train on one checkpointed encoded frame with a ``features`` vector column;
 every metric afterwards is a grouped DataFrame pass (``evaluate``).
 """
 
@@ -10,18 +10,21 @@ import math
 import random
 from typing import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
-                                       LogisticRegressionModel,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasWeightCol
+from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.operators import evaluate as EV
+from surveyspark.operators.svm import RbfSvm
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -36,27 +39,33 @@ def sum_of_weights(df: DataFrame, weight: str | None) -> float:
     return float(total)
 
 
-class RidgeLogistic:
+class RidgeLogistic(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, DefaultParamsReadable, DefaultParamsWritable):
     """MDL-1: L2 logistic regression that minimises C * weighted loss + |coefficients|^2 / 2.
 
     MLlib averages the loss over the weights, so regParam = 1 / (C * sum of the
     weights of the rows being fitted), computed in ``fit``. No internal standardisation.
     """
 
-    def __init__(self, C: float = 1.0, weight: str | None = "w", max_iter: int = 100):
-        self.C, self.weight, self.max_iter = C, weight, max_iter
+    C = Param(Params._dummy(), "C", "inverse penalty", TypeConverters.toFloat)
+    maxIter = Param(Params._dummy(), "maxIter", "steps", TypeConverters.toInt)
 
-    def fit(self, df: DataFrame):
-        kw = dict(elasticNetParam=0.0, regParam=1.0 / (self.C * sum_of_weights(df, self.weight)), standardization=False,
-                  maxIter=self.max_iter, labelCol="label", featuresCol="features")
-        if self.weight:
-            kw["weightCol"] = self.weight
-        return LogisticRegression(**kw).fit(df)
+    @keyword_only
+    def __init__(self, *, featuresCol="features", labelCol="label", weightCol="", C=1.0, maxIter=100):
+        super().__init__()
+        self._setDefault(featuresCol="features", labelCol="label", weightCol="", C=1.0, maxIter=100)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, df: DataFrame):
+        weight = self.getWeightCol()
+        kw = {"weightCol": weight} if weight else {}
+        reg = 1.0 / (self.getOrDefault("C") * sum_of_weights(df, weight or None))
+        return LogisticRegression(elasticNetParam=0.0, regParam=reg, standardization=False, maxIter=self.getOrDefault("maxIter"),
+                                  labelCol=self.getLabelCol(), featuresCol=self.getFeaturesCol(), **kw).fit(df)
 
 
 def ridge_logistic(C: float = 1.0, weight: str | None = "w", max_iter: int = 100) -> RidgeLogistic:
     """MDL-1: the estimator; its penalty follows the rows that it is fitted on."""
-    return RidgeLogistic(C, weight, max_iter)
+    return RidgeLogistic(C=C, weightCol=weight or "", maxIter=max_iter)
 
 
 def random_forest(trees: int = 300, depth: int = 10, min_leaf: int = 1, weight: str | None = "w", seed: int = 2018):
@@ -84,98 +93,56 @@ def perceptron(n_in: int, hidden: Sequence[int] = (64, 32), max_iter: int = 200,
                                           labelCol="label", featuresCol="features")
 
 
-class RbfSvm:
-    """MDL-5: RBF support-vector classifier with probabilities.
-
-    Seeded random Fourier features (Rahimi and Recht 2007) approximate the RBF
-    kernel exp(-gamma |x - x'|^2); a weighted ``LinearSVC`` is fitted on them
-    and its margin is calibrated to a probability with a one-variable logistic
-    fit (Platt scaling). The feature map runs in an Arrow-batched pandas UDF.
-    """
-
-    def __init__(self, n_in: int, C: float = 1.0, gamma: float = 0.1, n_features: int = 200, seed: int = 2018,
-                 weight: str | None = "w", max_iter: int = 100):
-        rng = np.random.default_rng(seed)
-        self.W = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_in, n_features))
-        self.b = rng.uniform(0.0, 2.0 * math.pi, size=n_features)
-        self.C, self.weight, self.max_iter = C, weight, max_iter
-        self.svm = None
-        self.platt = None
-
-    def _map(self, df: DataFrame, col: str = "features") -> DataFrame:
-        W, b, d = self.W, self.b, self.W.shape[1]
-        from pyspark.sql.functions import pandas_udf
-
-        @pandas_udf("array<double>")
-        def rff(s: pd.Series) -> pd.Series:
-            x = np.vstack(s.to_numpy())
-            z = math.sqrt(2.0 / d) * np.cos(x @ W + b)
-            return pd.Series(list(z))
-
-        return df.withColumn("_rff", array_to_vector(rff(vector_to_array(F.col(col)))))
-
-    def fit(self, df: DataFrame) -> "RbfSvm":
-        m = self._map(df)
-        kw = dict(regParam=1.0 / (self.C * sum_of_weights(df, self.weight)), maxIter=self.max_iter,
-                  standardization=False, labelCol="label", featuresCol="_rff", rawPredictionCol="_raw", predictionCol="_svm_pred")
-        if self.weight:
-            kw["weightCol"] = self.weight
-        self.svm = LinearSVC(**kw).fit(m)
-        marg = self.svm.transform(m).withColumn("_margin", vector_to_array("_raw")[1])
-        cal = VectorAssembler(inputCols=["_margin"], outputCol="_mv").transform(marg)
-        kw = dict(weightCol=self.weight) if self.weight else {}
-        self.platt = LogisticRegression(featuresCol="_mv", labelCol="label", regParam=0.0, probabilityCol="_pp",
-                                        rawPredictionCol="_pr", predictionCol="_pl", **kw).fit(cal)
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        m = self.svm.transform(self._map(df)).withColumn("_margin", vector_to_array("_raw")[1])
-        cal = VectorAssembler(inputCols=["_margin"], outputCol="_mv").transform(m)
-        out = self.platt.transform(cal)
-        return out.withColumn("probability", F.col("_pp")).drop("_rff", "_raw", "_svm_pred", "_mv", "_pr", "_pl",
-                                                               "_pp", "_margin")
-
-
-    def save(self, path: str, spark) -> None:
-        """The feature map as a table, the fitted margin and calibration as MLlib models."""
-        facts = spark.createDataFrame([(self.C, self.weight, self.max_iter, self.W.shape[0], self.W.ravel().tolist(),
-                                        self.b.tolist())],
-                                      "C double, weight string, max_iter int, n_in int, W array<double>, b array<double>")
-        facts.write.mode("overwrite").parquet(f"{path}/map")
-        self.svm.write().overwrite().save(f"{path}/svm")
-        self.platt.write().overwrite().save(f"{path}/platt")
-
-    @classmethod
-    def load(cls, path: str, spark) -> "RbfSvm":
-        r = spark.read.parquet(f"{path}/map").first()
-        out = cls(r["n_in"], r["C"], n_features=len(r["b"]), weight=r["weight"], max_iter=r["max_iter"])
-        out.W, out.b = np.array(r["W"]).reshape(r["n_in"], -1), np.array(r["b"])
-        out.svm, out.platt = LinearSVCModel.load(f"{path}/svm"), LogisticRegressionModel.load(f"{path}/platt")
-        return out
-
-
 def positive_probability(scored: DataFrame, out: str = "prob") -> DataFrame:
     """JN-3: predictions stay attached to their rows; take P(class 1) from the probability vector."""
     return scored.withColumn(out, vector_to_array(F.col("probability"))[1])
 
 
+def six_models(weight: str | None = "w", budget: float = 1.0, n_in: int = 39, seed: int = 2018) -> dict:
+    """MDL-8: the six competitors with their full settings; ``budget`` scales trees and iterations.
+
+    One MLlib implementation stands in for three boosting libraries. They differ in
+    what the libraries differ in by default: steps and the smallest leaf.
+    """
+    def n(full: int) -> int:
+        return max(2, round(full * budget))
+
+    return {"logistic": ridge_logistic(C=1.0, weight=weight, max_iter=100),
+            "random_forest": random_forest(trees=n(300), depth=10, weight=weight, seed=seed),
+            "boosted_a": boosted_trees(iters=n(250), depth=5, rate=0.04, min_leaf=1, weight=weight, seed=seed),
+            "boosted_b": boosted_trees(iters=n(250), depth=5, rate=0.04, min_leaf=20, weight=weight, seed=seed),
+            "boosted_c": boosted_trees(iters=n(300), depth=5, rate=0.04, min_leaf=1, weight=weight, seed=seed),
+            "perceptron": perceptron(n_in, (64, 32), max_iter=n(1000), seed=seed)}
+
+
+def fit_all(train: DataFrame, models: Mapping[str, object], parallelism: int = 3) -> dict:
+    """Fit several estimators, ``parallelism`` at a time, on one frame (checkpointed by the caller)."""
+    from multiprocessing.pool import ThreadPool
+    from pyspark import inheritable_thread_target
+    pool = ThreadPool(max(1, min(parallelism, len(models))))
+    try:
+        fitted = pool.map(inheritable_thread_target(train.sparkSession)(lambda est: est.fit(train)), list(models.values()))
+    finally:
+        pool.close()
+    return dict(zip(models, fitted))
+
+
+def scored_by_all(fitted: Mapping[str, object], df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """model, keep..., prob of every row under every fitted model."""
+    out = None
+    for name, m in fitted.items():
+        s = positive_probability(m.transform(df)).select(F.lit(name).alias("model"), *keep, "prob")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
 def compete(train: DataFrame, evaluate_on: DataFrame, models: Mapping[str, object], y: str = "label",
             w: str | None = "w", split: str = "split") -> tuple[dict, DataFrame]:
-    """MDL-8: fit several models on one cached encoded frame; score every model on every
+    """MDL-8: fit several models on one encoded frame (checkpointed by the caller); score every model on every
     partition and compute AUC / log loss / macro F1 in one grouped pass."""
-    fitted, scored = {}, []
-    train = train.cache()
-    for name, est in models.items():
-        m = est.fit(train)
-        fitted[name] = m
-        s = positive_probability(m.transform(evaluate_on)).select(
-            F.lit(name).alias("model"), split, y, *([w] if w else []), "prob")
-        scored.append(s)
-    allp = scored[0]
-    for s in scored[1:]:
-        allp = allp.unionByName(s)
-    table = EV.metric_table(allp, y, "prob", w, ["model", split])
-    return fitted, table
+    fitted = fit_all(train, models)
+    scored = scored_by_all(fitted, evaluate_on, list(dict.fromkeys([split, y, *([w] if w else [])])))
+    return fitted, EV.metric_table(scored, y, "prob", w, ["model", split])
 
 
 def sample_params(space: Mapping[str, object], n: int, seed: int) -> list[dict]:
@@ -193,33 +160,47 @@ def sample_params(space: Mapping[str, object], n: int, seed: int) -> list[dict]:
     return out
 
 
-def random_search(make, space: Mapping[str, object], df: DataFrame, fold: str, n_draws: int = 6, seed: int = 2018,
-                  y: str = "label", w: str | None = None, k: int | None = None) -> tuple[dict, DataFrame]:
-    """TUN-1: randomised search with group folds; scores = mean validation AUC; best refit on all rows.
+class WeightedAuc(Evaluator, HasLabelCol, HasWeightCol):
+    """Tie-aware weighted ROC AUC of the positive-class probability (``evaluate.weighted_auc``)."""
+
+    @keyword_only
+    def __init__(self, *, labelCol="label", weightCol=""):
+        super().__init__()
+        self._setDefault(labelCol="label", weightCol="")
+        self._set(**self._input_kwargs)
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        found = EV.weighted_auc(positive_probability(dataset), self.getLabelCol(), "prob", self.getWeightCol() or None).first()
+        return float("nan") if found is None or found["auc"] is None else float(found["auc"])
+
+    def isLargerBetter(self) -> bool:
+        return True
+
 
-    ``make(params)`` returns an estimator. Validation AUC is the tie-aware
-    weighted AUC (``evaluate.weighted_auc``) computed for all folds of a draw in
-    one grouped pass.
+#: TUN-1: the search spaces of the boosted trees and of the kernel classifier (fixed values). MLlib's trees
+#: have no L2 leaf penalty, so the smallest leaf takes the place of ``l2_leaf_reg``.
+BOOSTED_SPACE = {"maxIter": [80, 100, 120], "maxDepth": [2, 3], "stepSize": [0.01, 0.02, 0.03], "minInstancesPerNode": [150, 180, 220]}
+SVM_SPACE = {"C": ("log", 1e-2, 1e2), "gamma": ("log", 1e-3, 1e1)}
+
+
+def random_search(estimator, space: Mapping[str, object], df: DataFrame, fold: str, n_draws: int = 6, seed: int = 2018,
+                  w: str | None = None, parallelism: int = 4) -> tuple[dict, DataFrame]:
+    """TUN-1: randomised search with group folds; the draw with the best mean validation AUC is refitted on all rows.
+
+    ``estimator`` is any ``pyspark.ml`` estimator and ``space`` names its params.
+    ``fold`` holds whole numbers from 0, one cluster in one fold. Spark's
+    ``CrossValidator`` runs ``parallelism`` fits at a time; the first of equal draws wins.
     """
     draws = sample_params(space, n_draws, seed)
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect()) if k is None else list(range(k))
-    df = df.cache()
-    rows = []
-    for i, params in enumerate(draws):
-        preds = []
-        for f in folds:
-            m = make(params).fit(df.where(F.col(fold) != f))
-            preds.append(positive_probability(m.transform(df.where(F.col(fold) == f))).select(
-                F.lit(f).alias("_fold"), y, *([w] if w else []), "prob"))
-        allp = preds[0]
-        for p in preds[1:]:
-            allp = allp.unionByName(p)
-        auc = EV.weighted_auc(allp, y, "prob", w, ["_fold"]).agg(F.avg("auc").alias("auc")).collect()[0]["auc"]
-        rows.append((i, str(params), float(auc) if auc is not None else None))
-    res = df.sparkSession.createDataFrame(rows, "draw INT, params STRING, mean_auc DOUBLE")
-    best_i = max(range(len(rows)), key=lambda j: (rows[j][2] if rows[j][2] is not None else -1, -j))
-    best = make(draws[best_i]).fit(df)
-    return {"params": draws[best_i], "model": best}, res
+    maps = [{estimator.getParam(k): v for k, v in d.items()} for d in draws]
+    k = df.agg(F.max(fold)).first()[0] + 1
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=WeightedAuc(weightCol=w or ""), numFolds=k,
+                        foldCol=fold, parallelism=parallelism, seed=seed)
+    fitted = cv.fit(df)
+    rows = [(i, ", ".join(f"{a}={d[a]}" for a in sorted(d)), m) for i, (d, m) in enumerate(zip(draws, fitted.avgMetrics))]
+    best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
+    return ({"params": draws[best], "model": fitted.bestModel},
+            df.sparkSession.createDataFrame(rows, "draw INT, params STRING, mean_auc DOUBLE"))
 
 
 def learning_curve(make, df: DataFrame, sizes: Sequence[float], fold: str, seed: int, key: Sequence[str],
@@ -227,7 +208,7 @@ def learning_curve(make, df: DataFrame, sizes: Sequence[float], fold: str, seed:
     """TUN-2: for each training fraction (nested, SPL-6) and fold: train / validation AUC; mean per size."""
     from surveyspark.operators.split import unit_hash
     u = unit_hash(seed, F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
-    base = df.withColumn("_u", u).cache()
+    base = df.withColumn("_u", u)
     folds = sorted(r[0] for r in base.select(fold).distinct().collect())
     parts = []
     for s in sizes:
@@ -252,10 +233,7 @@ def save_if(model, metric: float, threshold: float, path: str, side_tables: Mapp
     """
     if metric is None or metric < threshold:
         return False
-    if isinstance(model, RbfSvm):
-        from pyspark.sql import SparkSession
-        model.save(f"{path}/model", SparkSession.active())
-    elif hasattr(model, "write"):
+    if hasattr(model, "write"):
         model.write().overwrite().save(f"{path}/model")
     else:
         raise TypeError(f"{type(model).__name__} cannot be saved")
@@ -264,5 +242,5 @@ def save_if(model, metric: float, threshold: float, path: str, side_tables: Mapp
     return True
 
 
-__all__ = ["assemble", "ridge_logistic", "random_forest", "boosted_trees", "perceptron", "RbfSvm", "compete",
-           "random_search", "learning_curve", "save_if", "positive_probability", "Pipeline"]
+__all__ = ["assemble", "ridge_logistic", "random_forest", "boosted_trees", "perceptron", "RbfSvm", "six_models", "fit_all", "scored_by_all", "compete",
+           "WeightedAuc", "BOOSTED_SPACE", "SVM_SPACE", "random_search", "learning_curve", "save_if", "positive_probability", "Pipeline"]

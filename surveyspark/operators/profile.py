@@ -1,9 +1,9 @@
 """Univariate profiling (AGG-2/3/4/14/15/16, STA-1, STA-3, SNK-3).
 
-One long-form pass: the chosen columns are stacked to (variable, value),
-collapsed to value counts with a map-side partial aggregate, and every
-statistic is derived from that table. No Python loop per variable and no
-per-variable scan.
+The chosen columns are stacked to (variable, value) and every statistic is an
+aggregate over that form: moments in one pass, quantiles by refining bin
+counts, histograms and densities as per-task sums. Only the mode counts
+distinct values. No per-variable scan.
 """
 
 from __future__ import annotations
@@ -22,10 +22,6 @@ from surveyspark.operators.joins import null_safe_join
 VAR, VAL = S.VAR, S.VAL
 
 
-def _counts(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    return S.value_counts(S.long_form(df, cols, keys), keys)
-
-
 def bias_corrected(n: Column, g1: Column, g2: Column):
     """STA-3: sample skewness G1 and excess kurtosis G2 from population g1, g2; null for fewer than 4 values."""
     n = F.when(n > 3, n.cast("double"))
@@ -61,14 +57,12 @@ def dagostino_k2(n: Column, g1: Column, g2: Column) -> Column:
 
 
 def describe(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
-             probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Moments + exact quartiles + mode per (keys, variable) from one value-count table."""
-    cnt = S.materialized_counts(df, cols, keys)
+             probs: Sequence[float] = (0.25, 0.5, 0.75), with_mode: bool = False) -> DataFrame:
+    """Moments and exact quantiles (and the mode, which alone needs value counts) per (keys, variable)."""
+    long = S.long_form(df, cols, keys)
     gk = [*keys, VAR]
-    mom = S.moments_from_counts(cnt, keys)
-    qs = S.exact_quantiles(cnt, probs, keys, names=[f"q{int(p * 100)}" for p in probs], materialize=False)
-    mode = S.mode_from_counts(cnt, keys)
-    return null_safe_join(null_safe_join(mom, qs, gk), mode, gk)
+    out = null_safe_join(S.moments(long, keys), S.quantiles(long, probs, keys, names=[f"q{int(p * 100)}" for p in probs]), gk)
+    return null_safe_join(out, S.mode(long, keys), gk) if with_mode else out
 
 
 def profile_continuous(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -91,7 +85,7 @@ def profile_discrete(df: DataFrame, cols: Sequence[str], test: str = "dagostino"
     """
     if test not in ("dagostino", "shapiro") or (test == "shapiro" and shapiro is None):
         raise ValueError("test is 'dagostino', or 'shapiro' with its statistics")
-    d = describe(df, cols)
+    d = describe(df, cols, with_mode=True)
     G1, G2 = bias_corrected(F.col("n_obs"), F.col("g1"), F.col("g2"))
     n = F.col("n_obs")
     # column names are case-insensitive: the corrected moments get distinct names
@@ -124,25 +118,25 @@ def profile_discrete(df: DataFrame, cols: Sequence[str], test: str = "dagostino"
 
 def dagostino(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """STA-1: (variable, n, K2, p) per column."""
-    mom = S.moments_from_counts(_counts(df, cols))
+    mom = S.moments(S.long_form(df, cols))
     k2 = dagostino_k2(F.col("n_obs"), F.col("g1"), F.col("g2"))
     return mom.select(VAR, "n_obs", k2.alias("k2"), F.exp(-k2 / 2.0).alias("p_value"))
 
 
 def shape_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """STA-3: (variable, skewness G1, kurtosis G2), bias-corrected."""
-    mom = S.moments_from_counts(_counts(df, cols))
+    mom = S.moments(S.long_form(df, cols))
     G1, G2 = bias_corrected(F.col("n_obs"), F.col("g1"), F.col("g2"))
     return mom.select(VAR, G1.alias("skewness"), G2.alias("kurtosis"))
 
 
 def frequency(df: DataFrame, cols: Sequence[str], lookup: DataFrame | None = None,
-              text_nulls: Sequence[str] = tuple(FV.TEXT_NULLS)) -> DataFrame:
+              text_nulls: Sequence[str] = tuple(FV.TEXT_NULLS), keep_unmapped: bool = True) -> DataFrame:
     """AGG-4: (variable, code, n, pct[, label]) per categorical column.
 
     Text nulls are dropped first (FLT-5); the percent base is every remaining
-    row, including codes the lookup does not map; unmapped codes are dropped
-    after the percentages (FLT-6), as the reference does.
+    row. Codes that the lookup doesn't map have a null label, so that none is
+    lost unseen; ``keep_unmapped=False`` drops them after the percentages (FLT-6).
     """
     arr = F.array(*[F.struct(F.lit(x).alias(VAR), F.col(x).cast("string").alias("code")) for x in cols])
     long = df.select(F.explode(arr).alias("_s")).select("_s.*")
@@ -153,19 +147,22 @@ def frequency(df: DataFrame, cols: Sequence[str], lookup: DataFrame | None = Non
     if lookup is not None:
         lk = lookup.select(VAR, F.col("code").cast("string").alias("code"), "label")
         from surveyspark.functions.exprs import bounded_broadcast
-        out = out.join(bounded_broadcast(lk, 1_000_000), [VAR, "code"], "inner")
+        out = out.join(bounded_broadcast(lk, 1_000_000), [VAR, "code"], "left" if keep_unmapped else "inner")
     return out
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30, density: bool = True) -> DataFrame:
-    """AGG-14: fixed-count equal-width bins from min to max: (variable, bin, lo, hi, n[, density])."""
-    cnt = _counts(df, cols)
-    rng = cnt.groupBy(VAR).agg(F.min(VAL).alias("_mn"), F.max(VAL).alias("_mx"), F.sum("n").alias("_N"))
+    """AGG-14: fixed-count equal-width bins from min to max: (variable, bin, lo, hi, n[, density]).
+
+    One pass for the ends and one for the counts; a task shuffles at most ``bins`` rows per variable.
+    """
+    long = S.long_form(df, cols)
+    rng = long.groupBy(VAR).agg(F.min(VAL).alias("_mn"), F.max(VAL).alias("_mx"), F.count(VAL).alias("_N"))
     width = (F.col("_mx") - F.col("_mn")) / float(bins)
-    j = cnt.join(F.broadcast(rng), VAR).withColumn("_w", width)
+    j = long.join(F.broadcast(rng), VAR).withColumn("_w", width)
     b = F.when(F.col("_w") > 0, F.least(F.floor((F.col(VAL) - F.col("_mn")) / F.col("_w")),
                                         F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    h = j.withColumn("bin", b).groupBy(VAR, "bin", "_mn", "_w", "_N").agg(F.sum("n").alias("n"))
+    h = j.withColumn("bin", b).groupBy(VAR, "bin", "_mn", "_w", "_N").agg(F.count(F.lit(1)).alias("n"))
     out = h.select(VAR, "bin", (F.col("_mn") + F.col("bin") * F.col("_w")).alias("lo"),
                    (F.col("_mn") + (F.col("bin") + 1) * F.col("_w")).alias("hi"),
                    F.col("n").cast("long").alias("n"),
@@ -176,40 +173,57 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30, density: bool
 def kde(df: DataFrame, cols: Sequence[str], grid: int = 100) -> DataFrame:
     """AGG-15: Gaussian kernel density on an even grid from min to max.
 
-    Bandwidth = sample sd * n^(-1/5) (Scott). Every distinct value contributes
-    to every grid point, exploded in place (``grid`` rows per distinct value,
-    summed before the shuffle) - no join of grid and data.
+    Bandwidth = sample sd * n^(-1/5) (Scott). Each task keeps one array of
+    ``grid`` sums per variable and adds its Arrow batches to it, so a task
+    shuffles ``grid`` rows per variable, whatever the number of rows.
     """
-    cnt = _counts(df, cols)
-    mom = S.moments_from_counts(cnt).select(
-        VAR, F.col("n_obs").alias("_N"), F.col("min").alias("_mn"), F.col("max").alias("_mx"),
-        (F.col("sd") * F.pow(F.col("n_obs").cast("double"), -0.2)).alias("_h"))
-    step = (F.col("_mx") - F.col("_mn")) / float(grid - 1)
-    j = cnt.join(F.broadcast(mom), VAR).withColumn("_st", step)
-    ex = j.where((F.col("_h") > 0) & (F.col("_st") > 0)).withColumn(
-        "g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-    x = F.col("_mn") + F.col("g") * F.col("_st")
-    u = (x - F.col(VAL)) / F.col("_h")
-    contrib = F.col("n") * F.exp(-0.5 * u * u)
-    agg = ex.groupBy(VAR, "g", "_mn", "_st", "_N", "_h").agg(F.sum(contrib).alias("_s"))
+    import numpy as np
+    import pyarrow as pa
+
+    long = S.long_form(df, cols)
+    # one row per variable
+    facts = {r[VAR]: r for r in S.moments(long).collect()}
+    plan = {c: (r["n_obs"], r["min"], (r["max"] - r["min"]) / (grid - 1), r["sd"] * r["n_obs"] ** -0.2)
+            for c, r in facts.items() if r["sd"] and r["max"] > r["min"]}
+    names = [c for c in cols if c in plan]
+
+    def added(batches):
+        sums = np.zeros((len(names), grid))
+        for batch in batches:
+            for i, c in enumerate(names):
+                _, lo, step, h = plan[c]
+                v = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                at = lo + np.arange(grid) * step
+                for start in range(0, len(v), 4096):
+                    u = (at[:, None] - v[None, start:start + 4096]) / h
+                    sums[i] += np.exp(-0.5 * u * u).sum(axis=1)
+        yield pa.RecordBatch.from_pydict({VAR: pa.array(np.repeat(names, grid).tolist(), pa.string()),
+                                          "g": pa.array(np.tile(np.arange(grid, dtype=np.int32), len(names))), "s": sums.ravel()})
+
+    schema = f"{VAR} string, g int, s double"
+    if not names:
+        parts = df.sparkSession.createDataFrame([], schema)
+    else:
+        parts = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(added, schema)
+    known = df.sparkSession.createDataFrame([(c, float(n), float(lo), float(st), float(h)) for c, (n, lo, st, h) in plan.items()],
+                                            f"{VAR} string, _N double, _mn double, _st double, _h double")
+    agg = parts.groupBy(VAR, "g").agg(F.sum("s").alias("_s")).join(F.broadcast(known), VAR)
     return agg.select(VAR, F.col("g").alias("grid_index"), (F.col("_mn") + F.col("g") * F.col("_st")).alias("x"),
                       (F.col("_s") / (F.col("_N") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """AGG-16: quartiles, whiskers (most extreme values within k IQR), outlier count, mean."""
-    cnt = S.materialized_counts(df, cols)
-    q = S.exact_quantiles(cnt, [0.25, 0.5, 0.75], names=["q1", "median", "q3"], materialize=False)
-    mom = S.moments_from_counts(cnt).select(VAR, "mean")
-    j = cnt.join(F.broadcast(q), VAR)
+    long = S.long_form(df, cols)
+    # one row per variable
+    q = F.broadcast(S.quantiles(long, [0.25, 0.5, 0.75], names=["q1", "median", "q3"]))
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - k * iqr, F.col("q3") + k * iqr
     inside = (F.col(VAL) >= lo_f) & (F.col(VAL) <= hi_f)
-    agg = j.groupBy(VAR, "q1", "median", "q3").agg(
+    return long.join(q, VAR).groupBy(VAR, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(VAL))).alias("whisker_lo"),
         F.max(F.when(inside, F.col(VAL))).alias("whisker_hi"),
-        F.sum(F.when(~inside, F.col("n")).otherwise(0)).cast("long").alias("n_outliers"))
-    return agg.join(mom, VAR)
+        F.count_if(~inside).alias("n_outliers"), F.avg(VAL).alias("mean"))
 
 
 def _plain(col: str) -> Column:

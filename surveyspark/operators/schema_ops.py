@@ -80,18 +80,48 @@ def with_default(df: DataFrame, out: str, expr: Column, needs: Sequence[str], de
 
 
 def encode_labels(df: DataFrame, maps: Mapping[str, Mapping[str, int]], reason: str = "unknown_labels"):
-    """PRJ-8: label -> code for many columns. Unknown labels -> (valid, rejected)."""
-    exprs = {}
-    bad = []
+    """PRJ-8: label -> code for many columns. Unknown labels (and nulls) -> (valid, rejected).
+
+    Valid rows hold the codes; rejected rows hold the labels as they came, and the reason names the columns.
+    """
+    codes, bad = {}, []
     for col, m in maps.items():
         mp = F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(int(v)))])
-        code = mp[F.col(col)]
-        exprs[col] = code
-        bad.append(F.when(code.isNull(), F.lit(col)))
-    out = df.withColumns({**{f"__code_{k}": v for k, v in exprs.items()}}) \
-        .withColumn(reason, F.concat_ws(",", *bad))
-    out = out.drop(*maps.keys()).withColumnsRenamed({f"__code_{k}": k for k in maps})
-    return out.where(F.col(reason) == "").drop(reason), out.where(F.col(reason) != "")
+        codes[col] = mp[F.col(col)]
+        bad.append(F.when(codes[col].isNull(), F.lit(col)))
+    out = df.withColumn(reason, F.concat_ws(",", *bad))
+    return out.where(F.col(reason) == "").withColumns(codes).drop(reason), out.where(F.col(reason) != "")
+
+
+def checked_records(df: DataFrame, schema: T.StructType, maps: Mapping[str, Mapping[str, int]] | None = None, keep: Sequence[str] = (),
+                    reason: str = "reject_reason", record: str = "record") -> DataFrame:
+    """PRJ-5 and PRJ-8 in one projection, for batches and streams alike.
+
+    Returns ``keep``, the fields of ``schema`` (labels coded, values cast), ``reason`` - empty for a valid record, else
+    the required fields that are missing or wrong and the labels that are not known, as ``field`` and
+    ``field:label`` - and ``record``, the row of a rejected record as it came (JSON), null for a valid one.
+    """
+    maps, cols, why = dict(maps or {}), [], []
+    for f in schema.fields:
+        if f.name not in df.columns:
+            value = F.lit(None).cast(f.dataType)
+        elif f.name in maps:
+            table = F.create_map(*[x for k, v in maps[f.name].items() for x in (F.lit(k), F.lit(int(v)))])
+            text = F.col(f"`{f.name}`").cast("string")
+            # a known label, or a code that came as such
+            value = F.coalesce(table[text].cast(f.dataType), text.try_cast(f.dataType))
+        else:
+            value = F.col(f"`{f.name}`").try_cast(f.dataType)
+        cols.append(value.alias(f.name))
+        given = F.col(f"`{f.name}`").cast("string") if f.name in maps and f.name in df.columns else F.lit(None).cast("string")
+        unknown = value.isNull() & given.isNotNull()
+        why.append(F.when(unknown, F.concat(F.lit(f"{f.name}:"), given)).when(value.isNull() & F.lit(not f.nullable), F.lit(f.name)))
+    # A filter on the reason must not be pushed below the casts: it holds them all, and the planner would derive
+    # a constraint for every mixture of a cast and its name. An expression that isn't deterministic stays where it is.
+    found = F.when(F.spark_partition_id() >= 0, F.concat_ws(",", *why))
+    out = df.select(*[F.col(f"`{c}`") for c in keep if c not in schema.names], *cols, found.alias(reason),
+                    F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(record))
+    return out.withColumn(record, F.when(F.col(reason) != "", F.col(record)))
 
 
 def decode_labels(df: DataFrame, col: str, lookup: DataFrame, out: str | None = None,

@@ -30,7 +30,7 @@ def unit_hash(seed, key) -> Column:
 
 
 def hash_rank(df: DataFrame, h: str, partition: Sequence[str] = (), digits: int = 4,
-              out: str = "rank") -> DataFrame:
+              out: str = "rank", tie: Sequence[str] = ()) -> DataFrame:
     """1-based rank of rows by the hex-hash column ``h`` within ``partition``.
 
     Equivalent to ``row_number() over (partition by .. order by h)`` but the
@@ -42,7 +42,7 @@ def hash_rank(df: DataFrame, h: str, partition: Sequence[str] = (), digits: int
     cnt = b.groupBy(*part, "_bk").agg(F.count(F.lit(1)).alias("_bn"))
     wb = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
-    wi = Window.partitionBy(*part, "_bk").orderBy(h)
+    wi = Window.partitionBy(*part, "_bk").orderBy(h, *tie)
     return (null_safe_join(b, off, [*part, "_bk"])
             .withColumn(out, F.col("_off") + F.row_number().over(wi))
             .drop("_bk", "_off"))
@@ -105,19 +105,20 @@ def sample_n(df: DataFrame, n: int, seed, key: Sequence[str] | str, by: Sequence
 
     Bucket counts locate, per group, the last hash bucket needed to reach n
     rows; only rows up to that bucket are ranked, so the window work is about
-    n + N / 16**digits rows per group instead of the whole group.
+    n + N / 16**digits rows per group instead of the whole group. Rows with
+    equal keys are ordered by a hash of the whole row.
     """
     keys = [key] if isinstance(key, str) else list(key)
     by = list(by)
     h = seeded_hash(seed, F.concat_ws("|", *[F.col(c).cast("string") for c in keys]))
-    b = df.withColumn("_h", h).withColumn("_bk", F.substring("_h", 1, digits))
+    b = df.withColumn("_t", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).withColumn("_h", h).withColumn("_bk", F.substring("_h", 1, digits))
     cnt = b.groupBy(*by, "_bk").agg(F.count(F.lit(1)).alias("_bn"))
     wb = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     need = (cnt.withColumn("_before", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
             .where(F.col("_before") < n).select(*by, "_bk"))
     kept = null_safe_join(b, need, [*by, "_bk"], "left_semi").drop("_bk")
-    r = hash_rank(kept, "_h", by, digits=digits, out="_r")
-    return r.where(F.col("_r") <= n).drop("_h", "_r")
+    r = hash_rank(kept, "_h", by, digits=digits, out="_r", tie=["_t"])
+    return r.where(F.col("_r") <= n).drop("_h", "_r", "_t")
 
 
 def fraction_ladder(df: DataFrame, sizes: Sequence[float], seed, key: Sequence[str] | str,

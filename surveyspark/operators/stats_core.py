@@ -1,15 +1,9 @@
 """Distributed building blocks shared by profiling, cleaning and inference.
 
-Everything starts from the *value-count* table ``(keys..., variable, value, n)``:
-rows are collapsed to one row per distinct value with a map-side partial
-aggregate, so a hot value (a third of all rows) is one row, never a hot task.
-
-Exact quantiles: groups whose distinct-value count is checked to be bounded
-use ``percentile(value, p, n)`` (a bounded value map); larger groups use a
-two-level prefix sum: distinct values are cut into ordered buckets by a range
-partitioning (``ordered_buckets``), bucket totals are summed in order (a small
-table), and each bucket ranks its own values. No group is ever sorted inside
-one task and no unbounded value map is built.
+Columns are stacked to (keys..., variable, value). Moments are one aggregate over that form, quantiles a
+distributed selection by refining bin counts; neither shuffles values. Only the mode and the tie-aware metrics count
+distinct values: a map-side partial aggregate makes a hot value (a third of all rows) one row per task.
+Global orders come from ``ordered_buckets``: range partitions and prefix sums, so no task sorts a whole group.
 """
 
 from __future__ import annotations
@@ -49,156 +43,125 @@ def value_counts(long_df: DataFrame, keys: Sequence[str] = (), var: str = VAR,
     return long_df.groupBy(*keys, var, val).agg(*aggs)
 
 
-def moments_from_counts(counts: DataFrame, keys: Sequence[str] = (), var: str = VAR,
-                        val: str = VAL) -> DataFrame:
-    """n, mean, sample sd/variance, min, max, population skewness g1 and excess kurtosis g2.
+def moments(long_df: DataFrame, keys: Sequence[str] = (), var: str = VAR, val: str = VAL) -> DataFrame:
+    """n, mean, sample sd/variance, min, max, population skewness g1 and excess kurtosis g2, in one aggregate.
 
-    Two passes over the (small) value-count table: totals, then central
-    moments around the broadcast per-variable mean (numerically stable).
+    Spark's central-moment aggregates merge partial results stably, so only one
+    row per (keys, variable) and task is shuffled.
+    """
+    v = F.col(val)
+    spread = F.max(v) > F.min(v)
+    return long_df.groupBy(*keys, var).agg(
+        F.count(v).alias("n_obs"), F.avg(v).alias("mean"),
+        F.when(F.count(v) > 1, F.stddev_samp(v)).alias("sd"), F.when(F.count(v) > 1, F.var_samp(v)).alias("variance"),
+        F.min(v).alias("min"), F.max(v).alias("max"),
+        F.when(spread, F.skewness(v)).alias("g1"), F.when(spread, F.kurtosis(v)).alias("g2"))
+
+
+def mode(long_df: DataFrame, keys: Sequence[str] = (), var: str = VAR, val: str = VAL) -> DataFrame:
+    """Most frequent value; ties go to the lowest value (pandas ``mode().iloc[0]``).
+
+    A mode needs the count of every distinct value; a hot value is one partial count per task.
     """
-    gk = [*keys, var]
-    tot = counts.groupBy(*gk).agg(
-        F.sum("n").alias("n_obs"),
-        (F.sum(F.col("n") * F.col(val)) / F.sum("n")).alias("mean"),
-        F.min(val).alias("min"), F.max(val).alias("max"))
-    dev = F.col(val) - F.col("mean")
-    cm = (null_safe_join(counts, per_group(tot.select(*gk, "mean", "n_obs"), keys), gk)
-          .groupBy(*gk).agg(
-              F.sum(F.col("n") * dev * dev).alias("m2s"),
-              F.sum(F.col("n") * dev * dev * dev).alias("m3s"),
-              F.sum(F.col("n") * dev * dev * dev * dev).alias("m4s")))
-    out = null_safe_join(tot, cm, gk)
-    n = F.col("n_obs").cast("double")
-    m2 = F.col("m2s") / n
-    var_s = F.try_divide(F.col("m2s"), n - 1.0)
-    return out.select(
-        *gk, F.col("n_obs"), "mean",
-        F.sqrt(var_s).alias("sd"), var_s.alias("variance"),
-        "min", "max",
-        F.when(m2 > 0, (F.col("m3s") / n) / F.pow(m2, 1.5)).alias("g1"),
-        F.when(m2 > 0, (F.col("m4s") / n) / (m2 * m2) - 3.0).alias("g2"))
-
-
-def mode_from_counts(counts: DataFrame, keys: Sequence[str] = (), var: str = VAR,
-                     val: str = VAL) -> DataFrame:
-    """Most frequent value; ties go to the lowest value (pandas ``mode().iloc[0]``)."""
     gk = [*keys, var]
     best = F.max(F.struct(F.col("n"), (-F.col(val)).alias("neg")))
-    return counts.groupBy(*gk).agg(best.alias("_b")).select(*gk, (-F.col("_b.neg")).alias("mode"))
-
+    return (value_counts(long_df, keys, var, val).groupBy(*gk).agg(best.alias("_b"))
+            .select(*gk, (-F.col("_b.neg")).alias("mode")))
 
-def exact_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = (),
-                    var: str = VAR, val: str = VAL, bucket_rows: int = 200_000,
-                    names: Sequence[str] | None = None, max_distinct: int = 50_000,
-                    materialize: bool = True) -> DataFrame:
-    """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``) from value counts.
 
-    Returns one row per (keys..., variable) with one column per probability.
+def quantiles(long_df: DataFrame, probs: Sequence[float], keys: Sequence[str] = (), names: Sequence[str] | None = None,
+              var: str = VAR, val: str = VAL, bins: int = 1024, finish: int = 50_000) -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``): one column per probability.
 
-    The value-count table is checkpointed (reliable, in the cluster's
-    checkpoint folder; skip with ``materialize=False`` when the caller already
-    did) and its per-group distinct count checked: groups with
-    at most ``max_distinct`` values use Spark's ``percentile`` with a frequency
-    column (its value map is then bounded); larger groups use the bucketed
-    prefix-sum plan, which never holds a whole group in one task.
+    Distributed selection: the interval from the smallest to the largest value
+    is cut into ``bins``; a pass counts the rows of each bin (map-side, at most
+    ``bins`` rows per interval are shuffled) with its own smallest and largest
+    value, and only the bin that holds a target rank goes on. A bin with one
+    value is an answer; a bin with at most ``finish`` rows is ranked whole. The
+    plan is the same at every size and for every distribution, and no task ever
+    holds more than ``finish`` rows of a group. Rows without a value don't count.
     """
     from surveyspark.session import ensure_checkpoint_dir
 
+    ensure_checkpoint_dir(long_df.sparkSession)
     gk = [*keys, var]
     names = list(names) if names else [f"q{int(round(p * 1000)):04d}" for p in probs]
-    if materialize:
-        ensure_checkpoint_dir(counts.sparkSession)
-        counts = counts.checkpoint(eager=True)
-    big_d = counts.groupBy(*gk).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > max_distinct)
-    stats = big_d.agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("dmax"), F.sum("_d").alias("drows")).first()
-    n_big = stats["n"]
-    big = big_d.select(*gk)
-    parr = F.array(*[F.lit(float(p)) for p in probs])
-    small = counts if n_big == 0 else null_safe_join(counts, per_group(big, keys), gk, "left_anti")
-    res_small = small.groupBy(*gk).agg(F.percentile(F.col(val), parr, F.col("n")).alias("_qs")).select(
-        *gk, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
-    if n_big == 0:
-        return res_small
-    # ordered buckets of about ``bucket_rows`` distinct values each
-    res_big = _bucketed_quantiles(null_safe_join(counts, per_group(big, keys), gk, "left_semi"), probs, gk, val,
-                                  bucket_rows, names, n_rows=int(stats["drows"]))
-    return res_small.unionByName(res_big)
+    rows = long_df.select(*gk, F.col(val).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    ends = rows.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).checkpoint(eager=True)
+    h = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    wanted = F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor(x).cast("long"), F.least(F.floor(x).cast("long") + 1, F.col("_n") - 1)) for x in h])))
+    # a target: the row of 0-based rank _k lies in [_lo, _hi], which holds _m rows and has _before rows below it
+    targets = ends.select(*gk, F.explode(wanted).alias("_k"), "_lo", "_hi", F.col("_n").alias("_m"), F.lit(0).cast("long").alias("_before"))
+    # every round makes progress: the lowest and the highest value of an interval never share a bin
+    while targets.where((F.col("_lo") < F.col("_hi")) & (F.col("_m") > finish)).limit(1).count():
+        wide = (F.col("_lo") < F.col("_hi")) & (F.col("_m") > finish)
+        spans = targets.where(wide).select(*gk, "_lo", "_hi").distinct()
+        inside = _within(rows, spans, gk)
+        held = inside.groupBy(*gk, "_lo", "_hi", _bin(bins).alias("_b")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_l2"), F.max("_x").alias("_h2"))
+        upto = Window.partitionBy(*gk, "_lo", "_hi").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        held = held.withColumn("_p", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+        at = F.col("_k") - F.col("_before")
+        cut = null_safe_join(targets.where(wide), held, [*gk, "_lo", "_hi"]).where((F.col("_p") <= at) & (at < F.col("_p") + F.col("_c")))
+        cut = cut.select(*gk, "_k", F.col("_l2").alias("_lo"), F.col("_h2").alias("_hi"), F.col("_c").alias("_m"),
+                         (F.col("_before") + F.col("_p")).alias("_before"))
+        targets = targets.where(~wide).unionByName(cut).checkpoint(eager=True)
+    few = F.col("_lo") < F.col("_hi")
+    spans = targets.where(few).select(*gk, "_lo", "_hi").distinct()
+    inside = _within(rows, spans, gk).groupBy(*gk, "_lo", "_hi", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*gk, "_lo", "_hi").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_p", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+    at = F.col("_k") - F.col("_before")
+    ranked = null_safe_join(targets.where(few), inside, [*gk, "_lo", "_hi"]).where((F.col("_p") <= at) & (at < F.col("_p") + F.col("_c")))
+    found = targets.where(~few).select(*gk, "_k", F.col("_lo").alias("_x")).unionByName(ranked.select(*gk, "_k", "_x"))
+    by_rank = null_safe_join(found, ends.select(*gk, "_n"), gk)
+    out = []
+    for p, name in zip(probs, names):
+        x = (F.col("_n") - 1) * F.lit(float(p))
+        low = F.max(F.when(F.col("_k") == F.floor(x), F.col("_x")))
+        high = F.max(F.when(F.col("_k") == F.least(F.floor(x) + 1, F.col("_n") - 1), F.col("_x")))
+        out.append((low + F.max(x - F.floor(x)) * (high - low)).alias(name))
+    return by_rank.groupBy(*gk).agg(*out)
+
+
+def _bin(bins: int) -> Column:
+    """The bin of ``_x`` in [_lo, _hi]; infinite values and NaN (the largest) count as the ends of the doubles."""
+    top = 1.7976931348623157e308
+    low, high, x = (F.when(F.isnan(c), top / 2).otherwise(F.greatest(F.least(F.col(c), F.lit(top)), F.lit(-top)) / 2) for c in ("_lo", "_hi", "_x"))
+    even = F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1))
+    return F.when(high > low, even).otherwise(F.when(F.col("_x") >= F.col("_hi"), bins - 1).otherwise(0)).cast("int")
+
+
+def _within(rows: DataFrame, spans: DataFrame, gk: Sequence[str]) -> DataFrame:
+    """The rows inside the open intervals of their group; a row lies in as many as hold it."""
+    keyed = list(gk)[:-1]
+    return null_safe_join(rows, per_group(spans, keyed), gk).where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
 
 
 def ordered_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_bucket: int = 200_000,
-                    max_buckets: int = 100_000, out: str = "_bk", n_rows: int | None = None) -> DataFrame:
+                    out: str = "_bk", tail: str | None = None) -> DataFrame:
     """Assign each row an ordered bucket id: ids increase with (keys, order).
 
-    ``repartitionByRange`` samples balanced range bounds (bounded sketch) and
-    places rows by binary search in the JVM; the partition id is the bucket.
-    The result is checkpointed (reliable) so every later use sees the same
-    buckets. About ``rows_per_bucket`` rows per bucket, so the windows that run
-    per bucket stay small whatever the skew of ``keys``.
+    The frame is materialised, so that its rows have a lasting position, and
+    ``repartitionByRange`` places them by (keys, order, position): balanced
+    sampled bounds, binary search in the JVM. Rows with equal keys and order
+    are cut by their position, so one bucket holds about ``rows_per_bucket``
+    rows whatever the skew or the ties. The result is checkpointed (reliable),
+    so every later use sees the same buckets. ``tail`` keeps the position as a column.
     """
     import math as _m
     from surveyspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    if n_rows is None:          # size unknown: materialise once, then count
-        df = df.checkpoint(eager=True)
-        n_rows = df.count()
-    base = df
-    nb = int(max(1, min(max_buckets, _m.ceil(n_rows / rows_per_bucket))))
-    return (base.repartitionByRange(nb, *keys, *order).withColumn(out, F.spark_partition_id())
-            .checkpoint(eager=True))
-
-
-def _bucketed_quantiles(counts: DataFrame, probs, gk, val, buckets, names, n_rows: int | None = None) -> DataFrame:
-    """Exact quantiles by a two-level prefix sum over ordered buckets of distinct values."""
-    keyed = gk[:-1]
-    # 1. ordered buckets of distinct values (balanced range partitions)
-    cuts = counts.groupBy(*gk).agg(F.sum("n").alias("_N"))
-    b = null_safe_join(ordered_buckets(counts, gk, [val], rows_per_bucket=max(1, buckets), n_rows=n_rows),
-                       per_group(cuts, keyed), gk)
-    # 2. bucket totals, prefix-summed in bucket order (<= buckets rows per variable)
-    btot = b.groupBy(*gk, "_bk").agg(F.sum("n").alias("_bn"))
-    wb = Window.partitionBy(*gk).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    boff = btot.withColumn("_boff", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
-    # 3. rank inside each bucket (a bucket is a slice of distinct values)
-    wi = Window.partitionBy(*gk, "_bk").orderBy(val).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (null_safe_join(b, per_group(boff.select(*gk, "_bk", "_boff"), keyed), [*gk, "_bk"])
-              .withColumn("_start", F.col("_boff") + F.coalesce(F.sum("n").over(wi), F.lit(0)))
-              .select(*gk, val, "_start", (F.col("_start") + F.col("n")).alias("_end"), "_N"))
-    # 4. target 0-based positions floor(h), floor(h)+1 of h = (N-1) p
-    plist = F.array(*[F.struct(F.lit(i).alias("_pi"), F.lit(float(p)).alias("_p"))
-                      for i, p in enumerate(probs)])
-    targets = (cuts.select(*gk, "_N", F.explode(plist).alias("_pp"))
-               .select(*gk, "_N", "_pp._pi", "_pp._p")
-               .withColumn("_h", (F.col("_N") - 1) * F.col("_p"))
-               .withColumn("_lo", F.floor("_h").cast("long"))
-               .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_N") - 1))
-               .withColumn("_frac", F.col("_h") - F.col("_lo")))
-    pos = targets.select(*gk, "_pi", F.explode(F.array(
-        F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_pos")),
-        F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_pos")))).alias("_t")).select(
-        *gk, "_pi", "_t._side", "_t._pos")
-    hit = (null_safe_join(ranked, per_group(pos, keyed), gk)
-           .where((F.col("_start") <= F.col("_pos")) & (F.col("_pos") < F.col("_end")))
-           .select(*gk, "_pi", "_side", val))
-    pairs = hit.groupBy(*gk, "_pi").agg(
-        F.max(F.when(F.col("_side") == 0, F.col(val))).alias("_vlo"),
-        F.max(F.when(F.col("_side") == 1, F.col(val))).alias("_vhi"))
-    q = (null_safe_join(pairs, targets.select(*gk, "_pi", "_frac"), [*gk, "_pi"])
-         .withColumn("_q", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))))
-    return q.groupBy(*gk).agg(*[
-        F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
-
-
-def materialized_counts(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Value counts of several columns, checkpointed once and shared by every statistic."""
-    from surveyspark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return value_counts(long_form(df, cols, keys), keys).checkpoint(eager=True)
+    base = df.checkpoint(eager=True).withColumn(tail or "_pos", F.monotonically_increasing_id())
+    nb = max(1, _m.ceil(base.count() / rows_per_bucket))
+    cut = base.repartitionByRange(nb, *keys, *order, tail or "_pos").withColumn(out, F.spark_partition_id()).checkpoint(eager=True)
+    return cut if tail else cut.drop("_pos")
 
 
 def medians(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Exact medians of several columns: one row per key with one column per input column."""
-    cnt = value_counts(long_form(df, cols, keys), keys)
-    q = exact_quantiles(cnt, [0.5], keys, names=["median"])
+    q = quantiles(long_form(df, cols, keys), [0.5], keys, names=["median"])
     return q.groupBy(*keys).agg(*[F.max(F.when(F.col(VAR) == x, F.col("median"))).alias(x) for x in cols])
 
 

@@ -92,12 +92,13 @@ def spl04(spark, sf):
 
 @query("spl05_sample_n", """
 WITH s AS (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY
-  md5('42:' || concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR))))
+  md5('42:' || concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
+    CAST(l_suppkey AS VARCHAR))))
   AS r FROM lineitem)
 SELECT l_returnflag, COUNT(*) AS n, ROUND(SUM(l_extendedprice), 2) AS price_sum FROM s WHERE r <= 5000 GROUP BY 1""")
 def spl05(spark, sf):
     li = read(spark, sf, "lineitem")
-    s = SP.sample_n(li, 5000, 42, ["l_orderkey", "l_linenumber", "l_partkey"], by=["l_returnflag"])
+    s = SP.sample_n(li, 5000, 42, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], by=["l_returnflag"])
     return s.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("l_extendedprice"), 2).alias("price_sum"))
 
 
@@ -210,11 +211,39 @@ def fea02(spark, sf):
         F.count(F.lit(1)).alias("n"), _r(F.min("region_te")).alias("enc_min"), _r(F.max("region_te")).alias("enc_max"))
 
 
-@query("fea03_column_transformer")
+_FEA3_CONT, _FEA3_CATS = ["imcmere", "hemoglobinemere", "ageenfant"], ["region", "indicederichesse"]
+
+
+def _encoded_sql(col: str) -> str:
+    """The target encoding of one column: out of fold on the training rows, else from all of them."""
+    def blend(n, s, m, v):
+        lam = f"({n}) * {v} / (({n}) * {v} + (({s}) / ({n}) - (({s}) / ({n})) ^ 2))"
+        return f"{lam} * (({s}) / ({n})) + (1 - {lam}) * {m}"
+    return f"""(WITH cf AS (SELECT fold, {col} AS v, COUNT(*) AS cn, SUM(y) AS cs FROM tr GROUP BY 1, 2),
+      ct AS (SELECT v, SUM(cn) AS tn, SUM(cs) AS ts FROM cf GROUP BY 1)
+      SELECT b.rid, CASE WHEN b.split = 'train' THEN CASE WHEN ct.tn > cf.cn THEN {blend('ct.tn - cf.cn', 'ct.ts - cf.cs', 'g.oym', 'g.oyv')} ELSE g.oym END
+        ELSE CASE WHEN ct.tn > 0 THEN {blend('ct.tn', 'ct.ts', 'fu.fym', 'fu.fyv')} ELSE fu.fym END END AS enc
+      FROM b CROSS JOIN fu LEFT JOIN g ON b.fold = g.fold LEFT JOIN ct ON b.{col} IS NOT DISTINCT FROM ct.v
+      LEFT JOIN cf ON b.{col} IS NOT DISTINCT FROM cf.v AND b.fold = cf.fold)"""
+
+
+_FEA3_STD = ", ".join(f"ROUND(AVG((b.{c} - m_{c}) / s_{c}), 6) AS {c}_std" for c in _FEA3_CONT)
+
+
+@query("fea03_column_transformer", f"""
+WITH b AS (SELECT *, row_number() OVER (ORDER BY household, l_linenumber, l_partkey, cluster) AS rid,
+    CAST((row_number() OVER (PARTITION BY y ORDER BY md5('5:' || {_TE_ROWKEY})) - 1) % 5 AS INTEGER) AS fold FROM {B} x),
+tr AS (SELECT * FROM b WHERE split = 'train'),
+gf AS (SELECT fold, COUNT(*) AS gn, SUM(y) AS gs FROM tr GROUP BY 1),
+gt AS (SELECT SUM(gn) AS tn, SUM(gs) AS ts FROM gf),
+g AS (SELECT fold, (ts - gs) / (tn - gn) AS oym, (ts - gs) / (tn - gn) - ((ts - gs) / (tn - gn)) ^ 2 AS oyv FROM gf, gt),
+fu AS (SELECT ts / tn AS fym, ts / tn - (ts / tn) ^ 2 AS fyv FROM gt),
+p AS (SELECT {', '.join(f'AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}' for c in _FEA3_CONT)} FROM tr)
+SELECT b.split, {_FEA3_STD}, {', '.join(f'ROUND(AVG(e{i}.enc), 6) AS {c}_te' for i, c in enumerate(_FEA3_CATS))}
+FROM b CROSS JOIN p {' '.join(f'JOIN {_encoded_sql(c)} e{i} ON b.rid = e{i}.rid' for i, c in enumerate(_FEA3_CATS))} GROUP BY b.split""")
 def fea03(spark, sf):
     df = SP.stratified_kfold(scored(spark, sf), "y", ROW_KEY, 5, seed=5)
-    out, names = FE.column_transformer(df, ["imcmere", "hemoglobinemere", "ageenfant"],
-                                       ["region", "indicederichesse"], "y")
+    out, names = FE.column_transformer(df, _FEA3_CONT, _FEA3_CATS, "y")
     return out.groupBy("split").agg(*[_r(F.avg(c)).alias(c) for c in names])
 
 
@@ -464,7 +493,27 @@ def evl10(spark, sf):
     return acc.select("subclass", *[_r(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall")])
 
 
-@query("evl11_permutation_importance")
+def _importance_sql(features=("l_discount", "l_tax"), repeats=10, seed=2018) -> str:
+    """EVL-11: rows and donors paired by the ranks of two seeded hashes in each repeat."""
+    rank = ("row_number() OVER (PARTITION BY repeat ORDER BY md5('{0}:{1}:' || concat_ws(':', CAST(repeat AS VARCHAR), {2})))")
+    mixed = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, o.repeat, o.y, round(0.6 * {'d' if f == 'l_discount' else 'o'}.l_discount / 0.10 + "
+        f"0.4 * {'d' if f == 'l_tax' else 'o'}.l_tax / 0.08, 6) AS s FROM own o JOIN donor d ON o.repeat = d.repeat AND o.r = d.r" for f in features)
+    return f"""
+WITH t AS (SELECT * FROM {B} b WHERE split = 'test'),
+e AS (SELECT *, unnest(generate_series(0, {repeats - 1})) AS repeat FROM t),
+own AS (SELECT *, {rank.format(seed, 'own', _TE_ROWKEY)} AS r FROM e),
+donor AS (SELECT *, {rank.format(seed, 'donor', _TE_ROWKEY)} AS r FROM e),
+m AS ({mixed} UNION ALL SELECT '', 0, y, p FROM t),
+g AS (SELECT feature, repeat, s, SUM(y) AS wp, SUM(1 - y) AS wn FROM m GROUP BY 1, 2, 3),
+c AS (SELECT *, COALESCE(SUM(wn) OVER (PARTITION BY feature, repeat ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cwn FROM g),
+a AS (SELECT feature, repeat, SUM(wp * (cwn + wn / 2.0)) / (SUM(wp) * SUM(wn)) AS auc FROM c GROUP BY 1, 2),
+z AS (SELECT auc AS base FROM a WHERE feature = '')
+SELECT feature, ROUND(AVG(base - auc), 6) AS importance_mean, ROUND(STDDEV_POP(base - auc), 6) AS importance_sd
+FROM a, z WHERE feature <> '' GROUP BY feature"""
+
+
+@query("evl11_permutation_importance", _importance_sql())
 def evl11(spark, sf):
     """Permutation importance of the linear scorer's two inputs on the test partition (10 repeats)."""
     test = scored(spark, sf).where(F.col("split") == "test").select(

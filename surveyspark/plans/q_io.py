@@ -14,10 +14,11 @@ from surveyspark.operators import score as SC
 from surveyspark.operators import schema_ops as PRJ
 from surveyspark.plans.q_score import FEATURES, SCORER, _BATCH_SQL
 from surveyspark.plans.registry import query
-from surveyspark.plans.tables import SURVEY_SQL, read, survey_from_lineitem, survey_records
+from surveyspark.plans.tables import SURVEY_COLUMNS, SURVEY_SQL, read, survey_from_lineitem, survey_records
 from surveyspark.sources import readers as R
 from surveyspark.sources import sinks as K
 from surveyspark.streaming import scoring as ST
+from surveyspark.streaming.evolution import score_evolution
 
 SV = SURVEY_SQL
 
@@ -86,7 +87,8 @@ def snk01(spark, sf):
     return back.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("snk02_write_dataset")
+@query("snk02_write_dataset", f"""
+SELECT COUNT(*) AS n_rows, CAST({len(SURVEY_COLUMNS)} AS BIGINT) AS n_variables FROM lineitem""")
 def snk02(spark, sf):
     from surveyspark.functions.fixed_values import LABELS
     df = survey_records(spark, sf)
@@ -145,3 +147,21 @@ def str02(spark, sf):
     back = ST.latest_updates(spark, sink, ["window_start", "user_id"])
     return back.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "user_id", "total",
                        "alerts", _r(F.col("alert_rate")).alias("alert_rate"), _r(F.col("mean_score")).alias("mean_score"))
+
+
+@query("str02b_score_evolution", """
+WITH e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS t, user_id, CAST(event_type = 'error' AS INTEGER) AS y, value / 500.0 AS s
+           FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+r AS (SELECT *, row_number() OVER w AS n, SUM(y) OVER w AS alerts, AVG(s) OVER w AS mean_score FROM e
+      WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT user_id, n, y AS alert, ROUND(s, 6) AS score, CAST(alerts AS BIGINT) AS alerts, ROUND(mean_score, 6) AS mean_score FROM r
+WHERE epoch_ms(t) + 1 <= (SELECT MAX(epoch_ms(t)) FROM e) - 3600000""")
+def str02b(spark, sf):
+    """STR-2: the score series of each user over the event stream, up to the watermark (an hour before the last event)."""
+    ev = read(spark, sf, "events")
+    stream = ST.read_stream(spark, _path(sf, "events"), ev.schema)
+    s = stream.withColumn("y", (F.col("event_type") == "error").cast("int")).withColumn("s", F.col("value") / 500.0)
+    sink, ck = ST.stream_paths(spark, "evolution")
+    ST.run_to_sink(score_evolution(s, "ts", "user_id", "y", "s", "event_id", "1 hour", "3650 days"), sink, ck)
+    back = spark.read.parquet(sink)
+    return back.select("user_id", "n", "alert", _r(F.col("score")).alias("score"), "alerts", _r(F.col("mean_score")).alias("mean_score"))

@@ -9,62 +9,81 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyspark.functions import fixed_values as FV
+from surveyspark.operators import aggregate as A
+from surveyspark.operators import clean as C
+from surveyspark.operators import derive as D
 from surveyspark.operators import evaluate as EV
 from surveyspark.operators import features as FE
 from surveyspark.operators import inference as INF
 from surveyspark.operators import models as M
 from surveyspark.operators import split as SP
-from surveyspark.plans.q_eval import scored
+from surveyspark.operators.encoder import fit_encoder
+from surveyspark.operators.joins import null_safe_join, with_scalars
+from surveyspark.plans.q_eval import SCORED_SQL, scored
 from surveyspark.plans.registry import query
 from surveyspark.plans.sqlgen import values_sql
 from surveyspark.plans.tables import OBS_SQL, ROW_KEY, SURVEY_SQL, observations, read, survey_records
 from surveyspark.sources import sinks
 
 SV, O = SURVEY_SQL, OBS_SQL
-CONT = ["imcmere", "hemoglobinemere", "ageenfant", "agemere", "intervalleintergenesique"]
-CATS = ["region", "indicederichesse", "niveauinstructionmere", "sourceeaupotable"]
+#: the 39 model features: 34 record fields and the five derived ones (ageenfant_carre belongs to the formulas)
+CONT = ["rangdenaissance", "hemoglobinemere", "intervalleintergenesique", "dureeallaitement", "agemere", "nombreenfantsnesvivants",
+        "nombrevisitesprenatales", "nombremembresmenage", "ageenfant", "imcmere", "ratio_charge_menage"]
+CATS = ["sexeenfant", "milieuderesidence", "niveauinstructionmere", "indicederichesse", "region", "vaccine_status", "vaccinbcg",
+        "diarrhee", "prisededecisionmere", "statutmatrimonialmere", "tailleanaissance", "sourceeaupotable",
+        "typeinstallationssanitaires", "typecombustiblecuisine", "lieuderesidence", "regionecologique", "vaccinpolio0",
+        "vaccinpolio1", "vaccinpolio2", "vaccinpolio3", "vaccindtp1", "vaccindtp2", "vaccindtp3", "vaccinrougeole1",
+        "eau_amelioree", "toilettes_ameliorees", "index_wash_synergie", "pauvrete_rurale"]
+FEATURES = CONT + CATS
 
 
 def _r(c, d=6):
     return F.round(c, d)
 
 
-_ENC_CACHE: dict = {}
+def split_records(spark, sf):
+    """Survey records with derived features, split, encoding fold (SPL-4) and tuning fold (SPL-3), checkpointed."""
+    from surveyspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    base = D.derive_features(scored(spark, sf)).select(*ROW_KEY, "split", "y", "y1", "y2", "y3", "w", *FEATURES)
+    df = SP.stratified_kfold(base, "y", ROW_KEY, 5, seed=5)
+    gf = SP.group_kfold(df, "cluster", 3, seed=1).withColumnRenamed("fold", "gfold")
+    df = null_safe_join(df, gf, ["cluster"])
+    return FE.balance_weights(df.withColumn("label", F.col("y").cast("double")), "y", "w", "w_bal", split="split").checkpoint(eager=True)
+
+
+def fitted_encoder(df):
+    return fit_encoder(df.where(F.col("split") == "train"), CONT, CATS, "label", "fold")
 
 
 def encoded(spark, sf):
     """FEA-3 + FEA-4 on the split survey records: features vector, label, balanced weight.
 
-    The split + fold assignment and the encoded frame are checkpointed (reliable
-    checkpoints in the cluster's checkpoint folder): iterative learners then
-    read a short lineage, and a lost executor recomputes from the checkpoint.
+    The records and the encoded frame are checkpointed (reliable checkpoints in
+    the cluster's checkpoint folder): iterative learners then read a short
+    lineage, and a lost executor recomputes from the checkpoint.
     """
-    key = (spark.sparkContext.applicationId, sf)
-    if key in _ENC_CACHE:
-        return _ENC_CACHE[key]
-    from surveyspark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    base = scored(spark, sf).select("household", "cluster", "l_linenumber", "l_partkey", "split", "y", "y1", "y2",
-                                    "y3", "w", *CONT, *CATS)
-    df = SP.stratified_kfold(base, "y", ROW_KEY, 5, seed=5)
-    gf = SP.group_kfold(df, "cluster", 3, seed=1).withColumnRenamed("fold", "gfold")
-    df = df.join(gf, "cluster").checkpoint(eager=True)
-    enc, names = FE.column_transformer(df, CONT, CATS, "y")
-    enc = FE.balance_weights(enc, "y", "w", "w_bal", split="split")
-    out = M.assemble(enc.withColumn("label", F.col("y").cast("double")), names).checkpoint(eager=True)
-    _ENC_CACHE[key] = (out, names)
-    return out, names
+    df = split_records(spark, sf)
+    enc = fitted_encoder(df)
+    out = enc.assembled(enc.encode(df, F.col("split") == "train"))
+    return out.checkpoint(eager=True), enc.feature_names()
 
 
 def _fit_and_table(spark, sf, est):
     df, _ = encoded(spark, sf)
-    df = df.cache()
     m = est.fit(df.where(F.col("split") == "train"))
     s = M.positive_probability(m.transform(df))
     t = EV.partition_table(s, "y", "prob", "w")
     return t.select("split", *[_r(F.col(c), 4).alias(c) for c in ("auc", "log_loss", "f1_macro", "gap_vs_train")])
 
 
+#: share of the full trees and iterations (300 trees, 250 and 300 boosting steps, ...) that the registered queries fit;
+#: the functions in ``models`` default to the full numbers
+BUDGET = 0.1
+TUNING_DRAWS = 6
+SVM_FEATURES = 64
+
+
 @query("mdl01_ridge_logistic")
 def mdl01(spark, sf):
     return _fit_and_table(spark, sf, M.ridge_logistic(C=1.0, weight="w_bal"))
@@ -72,42 +91,63 @@ def mdl01(spark, sf):
 
 @query("mdl02_random_forest")
 def mdl02(spark, sf):
-    return _fit_and_table(spark, sf, M.random_forest(trees=50, depth=4, min_leaf=30, weight="w_bal"))
+    return _fit_and_table(spark, sf, M.six_models("w_bal", BUDGET)["random_forest"])
 
 
 @query("mdl03_boosted_trees")
 def mdl03(spark, sf):
-    return _fit_and_table(spark, sf, M.boosted_trees(iters=20, depth=4, rate=0.1, weight="w_bal"))
+    return _fit_and_table(spark, sf, M.six_models("w_bal", BUDGET)["boosted_a"])
 
 
 @query("mdl04_perceptron")
 def mdl04(spark, sf):
-    return _fit_and_table(spark, sf, M.perceptron(len(CONT) + len(CATS), (16, 8), max_iter=50))
+    return _fit_and_table(spark, sf, M.six_models("w_bal", BUDGET, len(FEATURES))["perceptron"])
 
 
 @query("mdl05_rbf_svm")
 def mdl05(spark, sf):
-    return _fit_and_table(spark, sf, M.RbfSvm(len(CONT) + len(CATS), C=1.0, gamma=0.1, n_features=100,
-                                              weight="w_bal", max_iter=50))
+    return _fit_and_table(spark, sf, M.RbfSvm(C=1.0, gamma=0.02, nFeatures=SVM_FEATURES, weightCol="w_bal", maxIter=30, foldCol="gfold"))
 
 
 @query("mdl08_compete")
 def mdl08(spark, sf):
-    df, _ = encoded(spark, sf)
-    models = {"logistic": M.ridge_logistic(C=0.1, weight="w_bal"),
-              "forest": M.random_forest(trees=30, depth=4, min_leaf=30, weight="w_bal")}
-    _, table = M.compete(df.where(F.col("split") == "train"), df, models, "label", "w", "split")
+    """The six models on 39 features, scored on every partition."""
+    df, names = encoded(spark, sf)
+    _, table = M.compete(df.where(F.col("split") == "train"), df, M.six_models("w_bal", BUDGET, len(names)), "label", "w", "split")
     return table.select("model", "split", *[_r(F.col(c), 4).alias(c) for c in ("auc", "log_loss", "f1_macro")])
 
 
+@query("mdl08b_best_model")
+def mdl08b(spark, sf):
+    """MDL-8 carried on to EVL-8 and TOP-1: the gap table of the six models and the winner on the test partition."""
+    df, names = encoded(spark, sf)
+    models = M.six_models("w_bal", BUDGET, len(names))
+    scored_all = M.scored_by_all(M.fit_all(df.where(F.col("split") == "train"), models), df, ["split", "label", "w"])
+    gaps = EV.gap_table(scored_all, "label", "prob", "w")
+    order = spark.createDataFrame([(m, i) for i, m in enumerate(models)], "model string, ordinal int")
+    best = A.best_model(gaps.join(F.broadcast(order), "model"), "auc_test").select(F.col("model").alias("best"))
+    return with_scalars(gaps, best).select("model", *[_r(F.col(c), 4).alias(c) for c in ("auc_train", "auc_test", "delta_auc")], "diagnostic",
+                                           (F.col("model") == F.col("best")).alias("is_best"))
+
+
+def _searched(spark, sf, estimator, space):
+    df, _ = encoded(spark, sf)
+    found, res = M.random_search(estimator, space, df.where(F.col("split") == "train"), "gfold", n_draws=TUNING_DRAWS, seed=2018)
+    chosen = ", ".join(f"{k}={found['params'][k]}" for k in sorted(found["params"]))
+    return res.select("draw", "params", _r(F.col("mean_auc"), 4).alias("mean_auc"), (F.col("params") == chosen).alias("chosen"))
+
+
 @query("tun01_random_search")
 def tun01(spark, sf):
-    df, _ = encoded(spark, sf)
-    tr = df.where(F.col("split") == "train")
-    space = {"C": ("log", 0.01, 10.0), "iters": [25, 50]}
-    _, res = M.random_search(lambda p: M.ridge_logistic(C=p["C"], weight="w_bal", max_iter=p["iters"]),
-                             space, tr, "gfold", n_draws=6, seed=2018, y="label")
-    return res.select("draw", "params", _r(F.col("mean_auc"), 4).alias("mean_auc"))
+    """TUN-1 on the boosted trees' space, its iterations cut to the budget."""
+    space = {**M.BOOSTED_SPACE, "maxIter": [round(n * BUDGET) for n in M.BOOSTED_SPACE["maxIter"]]}
+    return _searched(spark, sf, M.boosted_trees(weight="w_bal"), space)
+
+
+@query("tun01b_svm_search")
+def tun01b(spark, sf):
+    """TUN-1 on the kernel classifier's space."""
+    return _searched(spark, sf, M.RbfSvm(nFeatures=SVM_FEATURES, weightCol="w_bal", maxIter=10, folds=2), M.SVM_SPACE)
 
 
 @query("tun02_learning_curve")
@@ -119,7 +159,21 @@ def tun02(spark, sf):
     return lc.select("size", _r(F.col("train"), 4).alias("train_auc"), _r(F.col("validation"), 4).alias("validation_auc"))
 
 
-@query("jn03_model_transform")
+@query("evl11b_importance_of_fitted")
+def evl11b(spark, sf):
+    """EVL-11 on a fitted model: every one of the 39 features of the test partition, two repeats."""
+    df, names = encoded(spark, sf)
+    model = M.ridge_logistic(C=1.0, weight="w_bal").fit(df.where(F.col("split") == "train"))
+
+    def score(frame):
+        return M.positive_probability(model.transform(M.assemble(frame, names)))
+
+    imp = EV.permutation_importance(df.where(F.col("split") == "test"), names, score, "label", ROW_KEY, repeats=2, seed=2018, at_once=13)
+    return imp.select("feature", _r(F.col("importance_mean"), 5).alias("importance_mean"), _r(F.col("importance_sd"), 5).alias("importance_sd"))
+
+
+@query("jn03_model_transform", f"""
+SELECT split, COUNT(*) AS n, COUNT(*) AS n_scored FROM {SCORED_SQL} b GROUP BY split""")
 def jn03(spark, sf):
     df, _ = encoded(spark, sf)
     m = M.ridge_logistic(weight="w_bal").fit(df.where(F.col("split") == "train"))
@@ -152,27 +206,70 @@ def snk05(spark, sf):
 
 # ---------------------------------------------------------------- inference
 
+#: the two formulas of the weighted regression (fixed values)
+FIRST_FORMULA = ("y ~ ageenfant + C(sexeenfant) + C(milieuderesidence) + C(niveauinstructionmere) + C(indicederichesse) + C(region) + "
+                 "C(sourceeaupotable) + C(typeinstallationssanitaires)")
+FINAL_FORMULA = ("y ~ ageenfant + ageenfant_carre + C(sexeenfant) + C(milieuderesidence) + C(indicederichesse) + C(education_mere_opt) + "
+                 "C(eau_amelioree) + C(toilettes_ameliorees)")
+
+
 def glm_frame(spark, sf):
-    dm, terms = FE.design_matrix(survey_records(spark, sf).withColumn(
-        "eau_amelioree", F.col("sourceeaupotable").isin(FV.IMPROVED_WATER).cast("double")),
-        ["ageenfant", "eau_amelioree"], ["sexeenfant", "milieuderesidence"],
-        factor_levels={"sexeenfant": [1, 2], "milieuderesidence": [1, 2]})
-    return dm, terms
+    """Survey records with the derived and regrouped columns of the formulas."""
+    return C.recode(D.derive_features(survey_records(spark, sf)), "niveauinstructionmere", {3: 2}, "education_mere_opt")
+
+
+def _coefficients(t):
+    return t.select("term", _r(F.col("Coefficient_Beta"), 5).alias("beta"), _r(F.col("Erreur_Type_Robuste"), 5).alias("se"),
+                    _r(F.col("p_value"), 6).alias("p_value"))
 
 
 @query("mdl06_weighted_glm")
 def mdl06(spark, sf):
-    dm, terms = glm_frame(spark, sf)
-    t = INF.weighted_glm(dm, terms, "y", "w", cluster=None)
-    return t.select("term", _r(F.col("Coefficient_Beta"), 5).alias("beta"), _r(F.col("Erreur_Type_Robuste"), 5).alias("se"))
+    """MDL-6: the first formula, model-based errors."""
+    return _coefficients(INF.formula_glm(glm_frame(spark, sf), FIRST_FORMULA, "w"))
 
 
 @query("sta05_cluster_cov")
 def sta05(spark, sf):
-    dm, terms = glm_frame(spark, sf)
-    t = INF.weighted_glm(dm, terms, "y", "w", cluster="cluster")
-    return t.select("term", _r(F.col("Coefficient_Beta"), 5).alias("beta"),
-                    _r(F.col("Erreur_Type_Robuste"), 5).alias("robust_se"), _r(F.col("p_value"), 6).alias("p_value"))
+    """STA-5: the final formula with cluster-robust errors."""
+    return _coefficients(INF.formula_glm(glm_frame(spark, sf), FINAL_FORMULA, "w", "cluster"))
+
+
+_CELLS = f"""x AS (SELECT CAST(milieuderesidence = 2 AS INTEGER) AS c, y, w, cluster FROM {SV} s),
+m AS (SELECT SUM(w * y) FILTER (c = 0) / SUM(w) FILTER (c = 0) AS m0, SUM(w * y) FILTER (c = 1) / SUM(w) FILTER (c = 1) AS m1,
+  SUM(w) FILTER (c = 0) AS w0, SUM(w) FILTER (c = 1) AS w1, COUNT(*) AS n, COUNT(DISTINCT cluster) AS g FROM x),
+b AS (SELECT *, w0 * m0 * (1 - m0) AS b0, w1 * m1 * (1 - m1) AS b1, ln(m0 / (1 - m0)) AS beta0, ln(m1 / (1 - m1)) - ln(m0 / (1 - m0)) AS beta1 FROM m)"""
+
+
+@query("mdl06b_glm_closed_form", f"""
+WITH {_CELLS} SELECT 'Intercept' AS term, ROUND(beta0, 4) AS beta, ROUND(sqrt(1 / b0), 5) AS se FROM b
+UNION ALL SELECT 'C(milieuderesidence)[T.2]', ROUND(beta1, 4), ROUND(sqrt(1 / b0 + 1 / b1), 5) FROM b""")
+def mdl06b(spark, sf):
+    """MDL-6 where the fit has a closed form: one factor of two levels."""
+    t = INF.formula_glm(glm_frame(spark, sf), "y ~ C(milieuderesidence)", "w")
+    return t.select("term", _r(F.col("Coefficient_Beta"), 4).alias("beta"), _r(F.col("Erreur_Type_Robuste"), 5).alias("se"))
+
+
+@query("sta05b_cluster_closed_form", f"""
+WITH {_CELLS}, s AS (SELECT cluster, SUM(CASE WHEN c = 0 THEN w * (y - m0) ELSE 0 END) AS s0, SUM(CASE WHEN c = 1 THEN w * (y - m1) ELSE 0 END) AS s1
+  FROM x, m GROUP BY cluster),
+v AS (SELECT SUM(s0 * s0) AS a00, SUM(s0 * s1) AS a01, SUM(s1 * s1) AS a11 FROM s),
+f AS (SELECT *, CAST(g AS DOUBLE) / (g - 1) * (n - 1) / (n - 2) AS fac FROM b, v)
+SELECT 'Intercept' AS term, ROUND(sqrt(fac * a00 / (b0 * b0)), 5) AS robust_se FROM f
+UNION ALL SELECT 'C(milieuderesidence)[T.2]', ROUND(sqrt(fac * (a11 / (b1 * b1) + a00 / (b0 * b0) - 2 * a01 / (b0 * b1))), 5) FROM f""")
+def sta05b(spark, sf):
+    """STA-5 where the sandwich has a closed form."""
+    t = INF.formula_glm(glm_frame(spark, sf), "y ~ C(milieuderesidence)", "w", "cluster")
+    return t.select("term", _r(F.col("Erreur_Type_Robuste"), 5).alias("robust_se"))
+
+
+@query("sta06b_odds_from_fit")
+def sta06b(spark, sf):
+    """STA-6 and STA-10 from the robust fit of the final formula, with display labels."""
+    odds = INF.odds_ratios(INF.formula_glm(glm_frame(spark, sf), FINAL_FORMULA, "w", "cluster"))
+    lk = spark.createDataFrame(list(FV.TERM_LABELS.items()), "term STRING, label STRING")
+    f = INF.forest_table(odds, lk).join(odds.select("term", "Significatif"), "term")
+    return f.select("term", "label", *[_r(F.col(c), 5).alias(c) for c in ("AOR", "err_low", "err_high")], "Significatif")
 
 
 @query("mdl07_null_model", f"""
@@ -218,12 +315,20 @@ def sta02(spark, sf):
     return s.select("variable", "n", _r(F.col("W"), 6).alias("W"), "p")
 
 
-@query("win03_order_stats")
+@query("win03_order_stats", """
+WITH l AS (SELECT 'l_quantity' AS variable, CAST(l_quantity AS DOUBLE) AS value, * FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', CAST(l_extendedprice AS DOUBLE), * FROM lineitem),
+h AS (SELECT variable, value, row_number() OVER (PARTITION BY variable ORDER BY md5('42:' || concat_ws('|', CAST(l_orderkey AS VARCHAR),
+  CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), variable))) AS r FROM l WHERE value IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY value) AS i FROM h WHERE r <= 5000)
+SELECT variable, COUNT(*) AS n, MIN(i) AS first_rank, MAX(i) AS last_rank, ROUND(SUM(value), 2) AS value_sum,
+  ROUND(SUM(value * i) / SUM(i), 4) AS rank_mean FROM o GROUP BY variable""")
 def win03(spark, sf):
     o = INF.order_stats(read(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"],
                         ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], cap=5000, seed=42)
-    return o.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first_rank"),
-                                     F.max("i").alias("last_rank"))
+    return o.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.min("i").cast("long").alias("first_rank"),
+                                     F.max("i").cast("long").alias("last_rank"), _r(F.sum("value"), 2).alias("value_sum"),
+                                     _r(F.sum(F.col("value") * F.col("i")) / F.sum("i"), 4).alias("rank_mean"))
 
 
 _IND = ["y1", "y2", "y3"]

@@ -279,15 +279,15 @@ def prj07(spark, sf):
 
 
 @query("prj08_encode_labels", """
-SELECT CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 END AS code,
+SELECT CASE l_returnflag WHEN 'A' THEN '1' WHEN 'N' THEN '2' ELSE l_returnflag END AS value,
   CASE WHEN l_returnflag IN ('A', 'N') THEN 'valid' ELSE 'rejected' END AS status, COUNT(*) AS n
 FROM lineitem GROUP BY 1, 2""")
 def prj08(spark, sf):
     df = read(spark, sf, "lineitem").select("l_returnflag")
     valid, rej = PRJ.encode_labels(df, {"l_returnflag": {"A": 1, "N": 2}})
-    v = valid.groupBy(F.col("l_returnflag").alias("code")).agg(F.count(F.lit(1)).alias("n")) \
+    v = valid.groupBy(F.col("l_returnflag").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
         .withColumn("status", F.lit("valid"))
-    r = rej.groupBy(F.col("l_returnflag").alias("code")).agg(F.count(F.lit(1)).alias("n")) \
+    r = rej.groupBy(F.col("l_returnflag").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
         .withColumn("status", F.lit("rejected"))
     return v.unionByName(r)
 

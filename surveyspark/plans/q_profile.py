@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from surveyspark.functions import fixed_values as FV
@@ -12,7 +14,9 @@ from surveyspark.operators import derive as D
 from surveyspark.operators import profile as P
 from surveyspark.plans.registry import query
 from surveyspark.plans.sqlgen import bias_sql, dagostino_k2_sql, dagostino_sql, long_sql, moments_cte, values_sql
-from surveyspark.plans.tables import OBS_SQL, SURVEY_SQL, observations, read, supplier_region, survey_records
+from surveyspark.plans.tables import (OBS_SQL, RAW_SURVEY, RAW_SURVEY_SQL, SURVEY_SQL, observations, raw_survey, read, supplier_region,
+                                     survey_records)
+from surveyspark.sources import sinks
 
 O, SV = OBS_SQL, SURVEY_SQL
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -114,21 +118,24 @@ def snk03(spark, sf):
 
 # ---------------------------------------------------------------- frequency, histogram, kde, box
 
-FREQ_COLS = ["sexeenfant", "milieuderesidence", "indicederichesse", "niveauinstructionmere",
-             "sourceeaupotable", "typeinstallationssanitaires", "typecombustiblecuisine", "diarrhee"]
-_LK_ROWS = [(v, str(k), lab) for v, m in FV.LABELS.items() if v in FREQ_COLS for k, lab in m.items()]
+#: every labelled variable; the health card is not among the scoring fields, so it has an expression of its own
+FREQ_COLS = list(FV.FREQUENCY_LABELS)
+_CARD = "household % 5"
+_LK_ROWS = [(v, str(k), lab) for v, m in FV.FREQUENCY_LABELS.items() for k, lab in m.items()]
 
 
 @query("agg04_frequency", f"""
-WITH l AS ({' UNION ALL '.join(f"SELECT '{c}' AS variable, trim(CAST({c} AS VARCHAR)) AS code FROM {SV} s" for c in FREQ_COLS)}),
+WITH s AS (SELECT *, {_CARD} AS cartesante FROM {SV} x),
+l AS ({' UNION ALL '.join(f"SELECT '{c}' AS variable, trim(CAST({c} AS VARCHAR)) AS code FROM s" for c in FREQ_COLS)}),
 c AS (SELECT variable, code, COUNT(*) AS n FROM l GROUP BY 1, 2),
 t AS (SELECT variable, SUM(n) AS tot FROM c GROUP BY 1)
 SELECT c.variable, c.code, c.n, ROUND(c.n * 100.0 / t.tot, 6) AS pct, k.label
-FROM c JOIN t USING (variable) JOIN {values_sql(_LK_ROWS, ['variable', 'code', 'label'], 'k')}
-  ON t.variable = k.variable AND c.code = k.code""")
+FROM c JOIN t USING (variable) LEFT JOIN {values_sql(_LK_ROWS, ['variable', 'code', 'label'], 'k')}
+  ON c.variable = k.variable AND c.code = k.code""")
 def agg04(spark, sf):
-    lk = label_lookup(spark).select("variable", F.col("code").cast("string").alias("code"), "label")
-    f = P.frequency(survey_records(spark, sf), FREQ_COLS, lookup=lk)
+    """All labelled variables and all their codes; codes without a label are reported with a null one."""
+    lk = label_lookup(spark, FV.FREQUENCY_LABELS).select("variable", F.col("code").cast("string").alias("code"), "label")
+    f = P.frequency(survey_records(spark, sf).withColumn("cartesante", F.expr(_CARD)), FREQ_COLS, lookup=lk)
     return f.select("variable", "code", "n", _r(F.col("pct")).alias("pct"), "label")
 
 
@@ -194,10 +201,67 @@ UNION ALL SELECT 'valid', COUNT(*), 11 FROM lineitem WHERE l_linestatus = 'F'
 UNION ALL SELECT 'in_range', COUNT(*), 11 FROM lineitem WHERE l_linestatus = 'F'
   AND l_extendedprice BETWEEN 1000.0 AND 100000.0""")
 def agg01(spark, sf):
-    li = read(spark, sf, "lineitem")
-    s1 = C.keep_valid(li, "l_linestatus", "F")
-    s2 = C.keep_range(s1, ["l_extendedprice"], 1000.0, 100000.0)
-    return A.stack_metrics([A.shape_log(li, "raw"), A.shape_log(s1, "valid"), A.shape_log(s2, "in_range")])
+    """Counted while the plan runs once, into a table."""
+    watch = A.StageCounts()
+    li = watch("raw", read(spark, sf, "lineitem"))
+    s1 = watch("valid", C.keep_valid(li, "l_linestatus", "F"))
+    s2 = watch("in_range", C.keep_range(s1, ["l_extendedprice"], 1000.0, 100000.0))
+    sinks.write_table(s2, sinks.output_path(spark, f"in_range_{uuid.uuid4().hex[:12]}"), "parquet")
+    return watch.table(spark)
+
+
+# ---------------------------------------------------------------- the preparation plan
+
+_CONT = FV.CONTINUOUS_FIELDS
+_CATS = [c for c in C.merged(FV.CATEGORICAL_FIELDS, FV.MISSING_RULES) if c not in _CONT]
+_SENT = ", ".join(map(str, FV.GENERIC_SENTINELS))
+_HGB = ", ".join(map(str, FV.HAEMOGLOBIN_SENTINELS + [9996, 9997, 9998, 9999]))
+_BMI = ", ".join(map(str, FV.BMI_SENTINELS))
+_VALID_SQL = f"(SELECT * FROM {RAW_SURVEY_SQL} r WHERE hw13 = 0)"
+_ANTHRO_SQL = f"""(SELECT * FROM {_VALID_SQL} r WHERE hw5 NOT IN (9998, 9999) AND hw8 NOT IN (9998, 9999) AND hw11 NOT IN (9998, 9999)
+  AND hw5 BETWEEN -600 AND 600 AND hw8 BETWEEN -600 AND 600 AND hw11 BETWEEN -600 AND 600)"""
+_MEASURED_SQL = f"""(SELECT * REPLACE (v445 / 100.0 AS v445, v438 / 10.0 AS v438) FROM {_ANTHRO_SQL} r
+  WHERE COALESCE(v445 NOT IN ({_BMI}), true) AND COALESCE(v438 NOT IN ({_HGB}), true))"""
+
+
+def _rule_sql(c: str) -> str:
+    codes, target = FV.MISSING_RULES[c]
+    return f"CAST(COALESCE(CASE WHEN {c} IN ({', '.join(map(str, codes))}) THEN {target} ELSE {c} END, {target}) AS BIGINT)"
+
+
+def _null_sql(c: str) -> str:
+    return c if c in ("v445", "v438") else f"CASE WHEN {c} IN ({_SENT}) THEN NULL ELSE {c} END"
+
+
+_CLEAN_SQL = f"""(WITH n AS (SELECT * REPLACE ({', '.join(f'CAST({_null_sql(c)} AS DOUBLE) AS {c}' for c in _CONT)}) FROM {_MEASURED_SQL} r),
+  m AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}' for c in _CONT)} FROM n)
+  SELECT hw5, hw8, hw11, v005 / 1e6 AS poids_analytique, {', '.join(f'COALESCE({c}, m_{c}) AS {c}' for c in _CONT)}, {', '.join(f'{_rule_sql(c)} AS {c}' for c in _CATS)},
+  CAST(hw5 < -200 OR hw8 < -200 OR hw11 < -200 AS INTEGER) AS Y_ICEA FROM n, m)"""
+
+
+@query("cln09_clean_survey", f"""
+SELECT v024, COUNT(*) AS n, CAST(SUM(Y_ICEA) AS BIGINT) AS positives, ROUND(SUM(poids_analytique), 4) AS weight,
+  {', '.join(f'ROUND(SUM({c}), 3) AS {c}_sum' for c in _CONT)}, {', '.join(f'CAST(SUM({c}) AS BIGINT) AS {c}_codes' for c in _CATS if c != 'v024')}
+FROM {_CLEAN_SQL} c GROUP BY v024""")
+def cln09(spark, sf):
+    """The whole preparation plan (validity, sentinels, implied decimals, medians, missing codes, indicators) per region."""
+    df = C.clean_survey(raw_survey(spark, sf))
+    return df.groupBy("v024").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("Y_ICEA").cast("long").alias("positives"), _r(F.sum("poids_analytique"), 4).alias("weight"),
+        *[_r(F.sum(c), 3).alias(f"{c}_sum") for c in _CONT], *[F.sum(c).cast("long").alias(f"{c}_codes") for c in _CATS if c != "v024"])
+
+
+@query("agg01b_preparation_counts", f"""
+SELECT 'raw' AS stage, COUNT(*) AS n_rows, {len(RAW_SURVEY)} AS n_cols FROM lineitem
+UNION ALL SELECT 'valid', COUNT(*), {len(RAW_SURVEY)} FROM {_VALID_SQL} v
+UNION ALL SELECT 'anthropometry', COUNT(*), {len(RAW_SURVEY)} FROM {_ANTHRO_SQL} a
+UNION ALL SELECT 'continuous', COUNT(*), {len(RAW_SURVEY)} FROM {_MEASURED_SQL} m
+UNION ALL SELECT 'clean', COUNT(*), {len(RAW_SURVEY) + 5} FROM {_MEASURED_SQL} m""")
+def agg01b(spark, sf):
+    """AGG-1 of the preparation plan, counted while it writes its table."""
+    watch = A.StageCounts()
+    sinks.write_table(C.clean_survey(raw_survey(spark, sf), watch), sinks.output_path(spark, f"clean_{uuid.uuid4().hex[:12]}"), "parquet")
+    return watch.table(spark)
 
 
 @query("agg05_cardinality", """

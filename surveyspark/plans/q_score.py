@@ -181,7 +181,10 @@ UNION ALL SELECT 'subclass', 'stunting', COUNT(*), CAST(COUNT(*) FILTER (WHERE p
 UNION ALL SELECT 'subclass', 'wasting', COUNT(*), CAST(COUNT(*) FILTER (WHERE prob_amaigrissement_wasting >= 0.15) AS BIGINT),
   ROUND(AVG(prob_amaigrissement_wasting), 6) FROM b
 UNION ALL SELECT 'subclass', 'underweight', COUNT(*), CAST(COUNT(*) FILTER (WHERE prob_insuffisance_ponderale_underweight >= 0.20) AS BIGINT),
-  ROUND(AVG(prob_insuffisance_ponderale_underweight), 6) FROM b""")
+  ROUND(AVG(prob_insuffisance_ponderale_underweight), 6) FROM b
+UNION ALL SELECT 'histogram', CAST(CAST(bin AS INTEGER) AS VARCHAR), COUNT(*), NULL, ROUND(ANY_VALUE(lo), 6) FROM (
+  SELECT LEAST(floor((v - mn) / w), 29) AS bin, mn + LEAST(floor((v - mn) / w), 29) * w AS lo
+  FROM (SELECT {SC.PROB} AS v, MIN({SC.PROB}) OVER () AS mn, (MAX({SC.PROB}) OVER () - MIN({SC.PROB}) OVER ()) / 30.0 AS w FROM b) x) h GROUP BY bin""")
 def scr03(spark, sf):
     b = scored_batch(spark, sf)
     s = SC.batch_summary(b)
@@ -193,7 +196,9 @@ def scr03(spark, sf):
     from surveyspark.operators.joins import with_scalars
     sub = with_scalars(s["subclasses"], tot).select(F.lit("subclass").alias("part"), F.col("subclass").alias("key"), "n",
                                         F.col("n_above").alias("alerts"), _r(F.col("mean_prob")).alias("mean_value"))
-    return k.unionByName(r).unionByName(sub)
+    hist = s["histogram"].select(F.lit("histogram").alias("part"), F.col("bin").cast("string").alias("key"), "n",
+                                 F.lit(None).cast("long").alias("alerts"), _r(F.col("lo")).alias("mean_value"))
+    return k.unionByName(r).unionByName(sub).unionByName(hist)
 
 
 @query("scr04_explain", f"""

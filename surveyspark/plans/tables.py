@@ -101,6 +101,7 @@ SURVEY_FIELDS_SQL = {
     "sourceeaupotable": f"CAST(element_at(array({', '.join(map(str, _WATER))}), CAST(l_partkey % 7 AS INTEGER) + 1) AS INTEGER)",
     "typeinstallationssanitaires": f"CAST(element_at(array({', '.join(map(str, _TOILET))}), CAST(l_orderkey % 5 AS INTEGER) + 1) AS INTEGER)",
     "typecombustiblecuisine": f"CAST(element_at(array({', '.join(map(str, _FUEL))}), CAST(l_suppkey % 5 AS INTEGER) + 1) AS INTEGER)",
+    "lieuderesidence": "CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END",
     "regionecologique": "CAST(1 + l_partkey % 4 AS INTEGER)",
     "vaccinpolio0": "CAST(l_orderkey % 3 AS INTEGER) % 2",
     "vaccinpolio1": "CAST(l_partkey % 3 AS INTEGER) % 2",
@@ -114,6 +115,7 @@ SURVEY_FIELDS_SQL = {
 }
 
 SURVEY_FIELDS = list(SURVEY_FIELDS_SQL)
+SURVEY_COLUMNS = ["household", "cluster", "l_linenumber", "l_partkey", "w", "l_discount", "l_tax", "y1", "y2", "y3", "y", "p", *SURVEY_FIELDS]
 
 
 def _duck(expr: str) -> str:
@@ -128,7 +130,7 @@ ROW_KEY_SQL = "concat_ws('|', CAST(household AS VARCHAR), CAST(l_linenumber AS V
 
 
 def survey_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survey-shaped records (33 scoring fields + roles) from lineitem."""
+    """Survey-shaped records (34 scoring fields + roles) from lineitem."""
     return survey_from_lineitem(read(spark, sf_dir, "lineitem"))
 
 
@@ -144,6 +146,41 @@ def survey_from_lineitem(li: DataFrame) -> DataFrame:
         *[f"{e} AS {k}" for k, e in SURVEY_FIELDS_SQL.items()])
 
 
+# --- the raw coded survey: the columns and non-response codes of the micro-data -----
+RAW_SURVEY = {
+    "v001": "l_suppkey", "v002": "l_orderkey", "v005": "l_quantity * 1000000.0",
+    "hw13": "CASE WHEN l_linenumber = 6 THEN 1 ELSE 0 END",
+    "hw5": "CASE WHEN l_partkey % 41 = 0 THEN 9998 WHEN l_partkey % 43 = 0 THEN NULL ELSE l_partkey % 1300 - 650 END",
+    "hw8": "CASE WHEN l_suppkey % 31 = 0 THEN 9999 ELSE l_suppkey % 900 - 450 END", "hw11": "l_orderkey % 1000 - 500",
+    "v445": "CASE WHEN l_partkey % 53 = 0 THEN 9998.0 WHEN l_partkey % 47 = 0 THEN NULL ELSE 1500.0 + l_partkey % 2000 END",
+    "v438": "CASE WHEN l_orderkey % 59 = 0 THEN 999.0 ELSE 70.0 + l_partkey % 90 END",
+    "hw1": "CASE WHEN l_orderkey % 61 = 0 THEN 98.0 ELSE l_quantity + 9 END",
+    "v012": "CASE WHEN l_suppkey % 37 = 0 THEN 99 ELSE 15 + l_partkey % 35 END", "v136": "l_suppkey % 7",
+    "b11": "CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_partkey % 60 END",
+    "m14": "CASE WHEN l_partkey % 19 = 0 THEN 98 ELSE l_partkey % 9 END", "m34": "l_orderkey % 100", "bord": "l_linenumber",
+    "v201": "1 + l_suppkey % 8", "v008": "1400 + l_partkey % 12",
+    "b4": "CASE WHEN l_partkey % 71 = 0 THEN 9 ELSE 1 + l_linenumber % 2 END",
+    "v025": "CASE WHEN l_returnflag = 'R' THEN 2 WHEN l_returnflag = 'A' THEN 1 ELSE NULL END",
+    "v106": "CASE WHEN l_partkey % 23 = 0 THEN 8 ELSE l_partkey % 4 END", "v190": "1 + l_orderkey % 5",
+    "v024": "CASE WHEN l_partkey % 67 = 0 THEN 99 ELSE 1 + l_suppkey % 12 END",
+    "m18": "CASE WHEN l_partkey % 29 = 0 THEN 8 ELSE 1 + l_orderkey % 5 END", "m15": "l_partkey % 10",
+    "h1": "l_orderkey % 4", "h2": "l_partkey % 10", "h3": "l_orderkey % 10", "h4": "l_suppkey % 10", "h5": "l_partkey % 4",
+    "h6": "l_orderkey % 9", "h7": "l_suppkey % 4", "h8": "l_partkey % 9", "h9": "CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_partkey % 4 END",
+    "h10": "l_orderkey % 2", "h11": "CASE WHEN l_partkey % 17 = 0 THEN 8 ELSE l_linenumber % 3 END",
+    "v743a": "CASE WHEN l_suppkey % 13 = 0 THEN 9 ELSE 1 + l_orderkey % 5 END", "v501": "l_partkey % 7",
+    "v113": "CASE WHEN l_partkey % 83 = 0 THEN 97 ELSE 11 + l_partkey % 3 END",
+    "v116": "CASE WHEN l_partkey % 89 = 0 THEN 98 ELSE 11 + l_orderkey % 4 END",
+    "v161": "CASE WHEN l_orderkey % 97 = 0 THEN 99 ELSE 1 + l_suppkey % 8 END",
+    "v102": "CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END", "v101": "1 + l_suppkey % 10",
+}
+RAW_SURVEY_SQL = "(SELECT " + ", ".join(f"{e} AS {k}" for k, e in RAW_SURVEY.items()) + " FROM lineitem)"
+
+
+def raw_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coded micro-data as it comes, from lineitem."""
+    return read(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {k}" for k, e in RAW_SURVEY.items()])
+
+
 SURVEY_SQL = "(SELECT l_orderkey AS household, l_suppkey AS cluster, l_linenumber, l_partkey, l_quantity AS w, " \
     "l_discount, l_tax, " \
     "CAST(l_discount >= 0.08 AS INTEGER) AS y1, CAST(l_tax >= 0.07 AS INTEGER) AS y2, " \

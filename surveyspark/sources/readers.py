@@ -11,13 +11,21 @@ from pyspark.sql import types as T
 
 def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                fmt: str = "parquet", columns: Sequence[str] | None = None) -> DataFrame:
-    """SRC-1: scan a cleaned table with a declared schema; columns pruned at the scan."""
-    r = spark.read.format(fmt)
-    if schema is not None:
-        r = r.schema(schema)
-    if fmt == "csv":
-        r = r.option("header", True)
-    df = r.load(path)
+    """SRC-1: scan a cleaned table with a declared schema; columns pruned at the scan.
+
+    Columns bind by name in every format; a CSV column outside ``schema`` is left out and one that the
+    files lack is null.
+    """
+    if fmt == "csv" and schema is not None:
+        df = read_batch(spark, path, schema)
+        df = df.drop("_corrupt_record")
+    else:
+        r = spark.read.format(fmt)
+        if schema is not None:
+            r = r.schema(schema)
+        if fmt == "csv":
+            r = r.option("header", True)
+        df = r.load(path)
     return df.select(*columns) if columns else df
 
 

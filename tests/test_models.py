@@ -29,17 +29,35 @@ def test_penalty_follows_the_weights(frame, C):
 
 
 def test_svm_is_saved_and_loaded(spark, frame, tmp_path):
+    from pyspark.ml import PipelineModel
     *_, df = frame
-    svm = M.RbfSvm(2, C=1.0, gamma=0.3, n_features=40, weight="w", max_iter=30).fit(df)
+    svm = M.RbfSvm(C=1.0, gamma=0.3, nFeatures=40, weightCol="w", maxIter=30, folds=3).fit(df)
     path = f"file://{tmp_path}/svm"
     assert not M.save_if(svm, 0.4, 0.5, path) and M.save_if(svm, 0.9, 0.5, path)
-    back = M.RbfSvm.load(f"{path}/model", spark)
+    back = PipelineModel.load(f"{path}/model")
     prob = lambda m: [r[0] for r in M.positive_probability(m.transform(df)).orderBy("a").select("prob").collect()]
     assert prob(svm) == prob(back)
     with pytest.raises(TypeError):
         M.save_if(object(), 0.9, 0.5, path)
 
 
+def test_csv_tables_bind_by_name(spark, tmp_path):
+    from surveyspark.sources.readers import load_table
+    (tmp_path / "x.csv").write_text("b,a\n20,1\n")
+    assert [(r.a, r.b) for r in load_table(spark, f"file://{tmp_path}/x.csv", "a int, b int", fmt="csv").collect()] == [(1, 20)]
+
+
+def test_rows_without_a_cluster_keep_their_split(spark):
+    from surveyspark.operators import joins as J
+    from surveyspark.operators import split as SP
+    df = spark.createDataFrame([(i % 5 or None, i) for i in range(50)], "c int, i int")
+    st = SP.group_split(df, "c", 0.4, 7)
+    out = J.attach_split(df, st, "c")
+    assert out.count() == 50 and out.filter("split is null").count() == 0
+    kept = J.keep_split(df, st, "c", "test").count()
+    assert kept + J.drop_split(df, st, "c", "test").count() == 50
+
+
 def test_csv_batches_bind_by_name(spark, tmp_path):
     from surveyspark.sources.readers import read_batch
     (tmp_path / "x.csv").write_text("b,extra,a\n20,z,1\nbad,z,2\n")
