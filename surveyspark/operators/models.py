@@ -197,7 +197,7 @@ def random_search(estimator, space: Mapping[str, object], df: DataFrame, fold: s
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=WeightedAuc(weightCol=w or ""), numFolds=k,
                         foldCol=fold, parallelism=parallelism, seed=seed)
     fitted = cv.fit(df)
-    rows = [(i, ", ".join(f"{a}={d[a]}" for a in sorted(d)), m) for i, (d, m) in enumerate(zip(draws, fitted.avgMetrics))]
+    rows = [(i, ", ".join(f"{a}={d[a]}" for a in sorted(d)), float(m)) for i, (d, m) in enumerate(zip(draws, fitted.avgMetrics))]
     best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
     return ({"params": draws[best], "model": fitted.bestModel},
             df.sparkSession.createDataFrame(rows, "draw INT, params STRING, mean_auc DOUBLE"))

@@ -101,9 +101,10 @@ def trained(spark, rows, learner):
     return df, PipelineModel([encoder, *stages])
 
 
-@pytest.mark.parametrize("learner", [M.ridge_logistic(weight=None), M.RbfSvm(nFeatures=20, maxIter=5, folds=2), M.random_forest(5, 3, weight=None)])
+@pytest.mark.parametrize("learner", [lambda: M.ridge_logistic(weight=None), lambda: M.RbfSvm(nFeatures=20, maxIter=5, folds=2),
+                                     lambda: M.random_forest(5, 3, weight=None)], ids=["logistic", "svm", "forest"])
 def test_a_reloaded_bundle_scores_alike(spark, rows, learner, tmp_path):
-    df, pipeline = trained(spark, rows, learner)
+    df, pipeline = trained(spark, rows, learner())
     bundle = Bundle(pipeline, ["x", "cat", "name"], dict(zip(RATES, (0.5, 0.3, 0.2))), SCHEMA, {"name": {"a": 1}}, 0.8, 0.7)
     path = f"file://{tmp_path}/bundle"
     assert save_bundle(spark, bundle, path)
