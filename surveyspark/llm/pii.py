@@ -138,7 +138,8 @@ def disclosing_words(docs: DataFrame, hits: DataFrame, n_docs: int) -> DataFrame
         return none
     # PMI is at most log2(N / df(t)), so more frequent words can't reach the share
     most_t = lambda df_e: F.pow(F.lit(float(n_docs)), F.lit(1 - GENERALISE)) * F.pow(df_e, F.lit(GENERALISE)) * (1 + 1e-9)
-    alike = df_t.groupBy("df_t").agg(F.count("*").alias("alike"))
+    # d different frequencies add up to at least d^2 / 2, so they are at most the root of twice the words
+    alike = F.broadcast(df_t.groupBy("df_t").agg(F.count("*").alias("alike")))
     rare = staged(df_t.filter(F.col("df_t") <= most_t(F.lit(float(most)))).join(alike, "df_t"), "pii-rare")
     if rare.count() <= BROADCAST_ROWS:
         rare = F.broadcast(rare)
