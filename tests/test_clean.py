@@ -65,3 +65,21 @@ def test_q4_sentinels_before_rescaling(spark):
                                      "v005 double, h2 int")
     out = [r.v438 for r in C.clean_survey(df).collect()]
     assert out == [12.0]
+
+
+def test_stage_counts_come_from_the_plan_itself(spark, tmp_path):
+    from surveyspark.operators import aggregate as A
+    rows = [(0, -250, 10, -300, 2300.0, 120.0, 1, 5000000.0, 8), (1, 0, 0, 0, 2000.0, 110.0, 1, 1000000.0, 1),
+            (0, 9999, 0, 0, 2000.0, 110.0, 1, 1000000.0, 2), (0, 5, 5, 5, 9998.0, 110.0, 1, 1000000.0, 2)]
+    df = spark.createDataFrame(rows, "hw13 int, hw5 int, hw8 int, hw11 int, v445 double, v438 double, v025 int, v005 double, h2 int")
+    watch = A.StageCounts()
+    C.clean_survey(df, watch).write.parquet(f"file://{tmp_path}/out")
+    assert [(r.stage, r.n_rows) for r in watch.table(spark).collect()] == [("raw", 4), ("valid", 3), ("anthropometry", 2), ("continuous", 1), ("clean", 1)]
+
+
+def test_every_categorical_field_has_a_rule(spark):
+    from surveyspark.functions import fixed_values as FV
+    assert set(FV.CATEGORICAL_FIELDS) <= set(FV.MISSING_RULES)
+    df = spark.createDataFrame([(8, 9, None), (12, 1, 8)], "v024 int, v025 int, m18 int")
+    out = C.collapse_missing(df, ["v024", "v025", "m18"]).collect()
+    assert [tuple(r) for r in out] == [(8, 9, 9), (12, 1, 9)]          # region 8 is a region

@@ -53,3 +53,23 @@ def test_design_matrix_treatment_coding(spark):
     df = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "a int, f int")
     dm, terms = FE.design_matrix(df, ["a"], ["f"])
     assert terms == ["Intercept", "a", "C(f)[T.2]", "C(f)[T.3]"]
+
+
+def test_formula_design_learns_its_levels_in_training(spark):
+    import pytest
+    train = spark.createDataFrame([(1, 2, 10, "u"), (0, 3, 2, "v"), (1, 4, 7, "u"), (0, None, 7, "v"), (1, 5, 2, "v")], "y int, a int, f int, g string")
+    d = FE.fit_design(train, "y ~ a + C(f) + C(g)")
+    assert d.terms == ["Intercept", "a", "C(f)[T.10]", "C(f)[T.7]", "C(g)[T.v]"] and d.label == "y"
+    rows = {r.a: r for r in d.columns(train).collect()}
+    assert len(rows) == 4 and (rows[2]["C(f)[T.10]"], rows[2]["C(f)[T.7]"], rows[2]["C(g)[T.v]"]) == (1.0, 0.0, 0.0)
+    assert (rows[3]["C(f)[T.10]"], rows[3]["C(f)[T.7]"], rows[3]["C(g)[T.v]"], rows[3]["Intercept"]) == (0.0, 0.0, 1.0, 1.0)
+    with pytest.raises(Exception, match="[Uu]nseen"):
+        d.transform(spark.createDataFrame([(1, 2, 99, "u")], "y int, a int, f int, g string")).collect()
+
+
+def test_null_categories_have_their_own_rate(spark):
+    rows = [(None, 1, "train", i % 2) for i in range(30)] + [(1, i % 2, "train", i % 3) for i in range(60)] + [(None, 0, "test", 0), (2, 0, "test", 0)]
+    df = spark.createDataFrame(rows, "cat int, y int, split string, fold int")
+    out = {r.cat: r.cat_te for r in FE.target_encode(df, ["cat"], "y").filter("split = 'test'").collect()}
+    mean = 60 / 90
+    assert out[None] > 0.95 and abs(out[2] - mean) < 1e-12

@@ -25,3 +25,21 @@ def test_stream_equals_batch(spark):
     import datetime
     exp = {(str(r.w.start), r.user_id, r.total) for r in b.collect() if r.w.end <= wm - datetime.timedelta(hours=1)}
     assert got == exp and len(got) > 0
+
+
+def test_score_series_with_late_events(spark, tmp_path):
+    """Late events within the delay take their place, in more than one batch; a silent session starts anew."""
+    from surveyspark.streaming.evolution import score_evolution
+    schema = "id long, t timestamp, s string, y int, p double"
+    batches = [[(1, "2024-01-01 10:00:00", "a", 1, 0.5), (2, "2024-01-01 10:30:00", "a", 0, 0.1), (3, "2024-01-01 10:30:00", None, 0, 0.1)],
+               [(4, "2024-01-01 10:10:00", "a", 1, 0.9), (5, "2024-01-01 10:20:00", "b", 0, 0.2), (6, None, "b", 0, 0.2)],
+               [(7, "2024-01-03 10:00:00", "a", 1, 0.7), (8, "2024-01-05 10:00:00", "c", 1, 0.3)]]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "id long, t string, s string, y int, p double").withColumn("t", F.col("t").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = ST.read_stream(spark, f"file://{tmp_path}/in", spark.createDataFrame([], schema).schema, max_files=1)
+    sink, ck = ST.stream_paths(spark, "series")
+    ST.run_to_sink(score_evolution(stream, "t", "s", "y", "p", "id", "1 hour", "1 day"), sink, ck)
+    got = sorted((r.s, str(r.at), r.n, r.alerts, round(r.mean_score, 6)) for r in spark.read.parquet(sink).collect())
+    assert got == [("a", "2024-01-01 10:00:00", 1, 1, 0.5), ("a", "2024-01-01 10:10:00", 2, 2, 0.7), ("a", "2024-01-01 10:30:00", 3, 2, 0.5),
+                   ("a", "2024-01-03 10:00:00", 1, 1, 0.7), ("b", "2024-01-01 10:20:00", 1, 0, 0.2)]
