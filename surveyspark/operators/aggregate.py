@@ -21,13 +21,18 @@ def shape_log(df: DataFrame, stage: str) -> DataFrame:
 class StageCounts:
     """AGG-1 while a plan runs: ``watch(stage, frame)`` observes the frame; no job of its own counts anything.
 
-    After the plan's action ``table`` gives (stage, n_rows, n_cols) in the order of the stages.
+    The frames must come from ``watch.spark``, a session of the watch's own: a session that has observed once holds a manager
+    that can't be serialised, and can no longer checkpoint plans with scalar subqueries. After the plan's action
+    ``table`` gives (stage, n_rows, n_cols) in the order of the stages.
     """
 
-    def __init__(self):
+    def __init__(self, spark: SparkSession):
+        self.spark = spark.newSession()
         self.seen: list = []
 
     def __call__(self, stage: str, df: DataFrame) -> DataFrame:
+        if df.sparkSession is not self.spark:
+            raise ValueError("the frame is not of the watch's session")
         observed = Observation()
         self.seen.append((stage, observed, len(df.columns)))
         return df.observe(observed, F.count(F.lit(1)).alias("n_rows"))

@@ -90,7 +90,7 @@ WHERE c.code = l.code""")
 def flt06(spark, sf):
     lk = spark.createDataFrame([("l_returnflag", "A", "Accepted"), ("l_returnflag", "R", "Returned")],
                                "variable STRING, code STRING, label STRING")
-    f = P.frequency(read(spark, sf, "lineitem"), ["l_returnflag"], lookup=lk)
+    f = P.frequency(read(spark, sf, "lineitem"), ["l_returnflag"], lookup=lk, keep_unmapped=False)
     return f.select("variable", "code", "n", _r(F.col("pct")).alias("pct"), "label")
 
 

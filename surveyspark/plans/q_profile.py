@@ -202,8 +202,8 @@ UNION ALL SELECT 'in_range', COUNT(*), 11 FROM lineitem WHERE l_linestatus = 'F'
   AND l_extendedprice BETWEEN 1000.0 AND 100000.0""")
 def agg01(spark, sf):
     """Counted while the plan runs once, into a table."""
-    watch = A.StageCounts()
-    li = watch("raw", read(spark, sf, "lineitem"))
+    watch = A.StageCounts(spark)
+    li = watch("raw", read(watch.spark, sf, "lineitem"))
     s1 = watch("valid", C.keep_valid(li, "l_linestatus", "F"))
     s2 = watch("in_range", C.keep_range(s1, ["l_extendedprice"], 1000.0, 100000.0))
     sinks.write_table(s2, sinks.output_path(spark, f"in_range_{uuid.uuid4().hex[:12]}"), "parquet")
@@ -259,8 +259,8 @@ UNION ALL SELECT 'continuous', COUNT(*), {len(RAW_SURVEY)} FROM {_MEASURED_SQL}
 UNION ALL SELECT 'clean', COUNT(*), {len(RAW_SURVEY) + 5} FROM {_MEASURED_SQL} m""")
 def agg01b(spark, sf):
     """AGG-1 of the preparation plan, counted while it writes its table."""
-    watch = A.StageCounts()
-    sinks.write_table(C.clean_survey(raw_survey(spark, sf), watch), sinks.output_path(spark, f"clean_{uuid.uuid4().hex[:12]}"), "parquet")
+    watch = A.StageCounts(spark)
+    sinks.write_table(C.clean_survey(raw_survey(watch.spark, sf), watch), sinks.output_path(spark, f"clean_{uuid.uuid4().hex[:12]}"), "parquet")
     return watch.table(spark)
 
 

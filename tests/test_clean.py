@@ -71,8 +71,8 @@ def test_stage_counts_come_from_the_plan_itself(spark, tmp_path):
     from surveyspark.operators import aggregate as A
     rows = [(0, -250, 10, -300, 2300.0, 120.0, 1, 5000000.0, 8), (1, 0, 0, 0, 2000.0, 110.0, 1, 1000000.0, 1),
             (0, 9999, 0, 0, 2000.0, 110.0, 1, 1000000.0, 2), (0, 5, 5, 5, 9998.0, 110.0, 1, 1000000.0, 2)]
-    df = spark.createDataFrame(rows, "hw13 int, hw5 int, hw8 int, hw11 int, v445 double, v438 double, v025 int, v005 double, h2 int")
-    watch = A.StageCounts()
+    watch = A.StageCounts(spark)
+    df = watch.spark.createDataFrame(rows, "hw13 int, hw5 int, hw8 int, hw11 int, v445 double, v438 double, v025 int, v005 double, h2 int")
     C.clean_survey(df, watch).write.parquet(f"file://{tmp_path}/out")
     assert [(r.stage, r.n_rows) for r in watch.table(spark).collect()] == [("raw", 4), ("valid", 3), ("anthropometry", 2), ("continuous", 1), ("clean", 1)]
 
