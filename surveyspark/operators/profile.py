@@ -131,12 +131,12 @@ def shape_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def frequency(df: DataFrame, cols: Sequence[str], lookup: DataFrame | None = None,
-              text_nulls: Sequence[str] = tuple(FV.TEXT_NULLS), keep_unmapped: bool = True) -> DataFrame:
+              text_nulls: Sequence[str] = tuple(FV.TEXT_NULLS), keep_unmapped: bool = False) -> DataFrame:
     """AGG-4: (variable, code, n, pct[, label]) per categorical column.
 
     Text nulls are dropped first (FLT-5); the percent base is every remaining
-    row. Codes that the lookup doesn't map have a null label, so that none is
-    lost unseen; ``keep_unmapped=False`` drops them after the percentages (FLT-6).
+    row. Codes that the lookup doesn't map are dropped after the percentages (FLT-6); with
+    ``keep_unmapped`` they stay with a null label, so that none is lost unseen.
     """
     arr = F.array(*[F.struct(F.lit(x).alias(VAR), F.col(x).cast("string").alias("code")) for x in cols])
     long = df.select(F.explode(arr).alias("_s")).select("_s.*")

@@ -121,7 +121,9 @@ def quantiles(long_df: DataFrame, probs: Sequence[float], keys: Sequence[str] =
         x = (F.col("_n") - 1) * F.lit(float(p))
         low = F.max(F.when(F.col("_k") == F.floor(x), F.col("_x")))
         high = F.max(F.when(F.col("_k") == F.least(F.floor(x) + 1, F.col("_n") - 1), F.col("_x")))
-        out.append((low + F.max(x - F.floor(x)) * (high - low)).alias(name))
+        part = F.max(x - F.floor(x))
+        # an infinite neighbour that has no weight must not turn the value into NaN
+        out.append(F.when((part == 0) | (low == high), low).otherwise(low + part * (high - low)).alias(name))
     return by_rank.groupBy(*gk).agg(*out)
 
 

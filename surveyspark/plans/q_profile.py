@@ -135,7 +135,7 @@ FROM c JOIN t USING (variable) LEFT JOIN {values_sql(_LK_ROWS, ['variable', 'cod
 def agg04(spark, sf):
     """All labelled variables and all their codes; codes without a label are reported with a null one."""
     lk = label_lookup(spark, FV.FREQUENCY_LABELS).select("variable", F.col("code").cast("string").alias("code"), "label")
-    f = P.frequency(survey_records(spark, sf).withColumn("cartesante", F.expr(_CARD)), FREQ_COLS, lookup=lk)
+    f = P.frequency(survey_records(spark, sf).withColumn("cartesante", F.expr(_CARD)), FREQ_COLS, lookup=lk, keep_unmapped=True)
     return f.select("variable", "code", "n", _r(F.col("pct")).alias("pct"), "label")
 
 
