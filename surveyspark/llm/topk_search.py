@@ -3,8 +3,9 @@
 Candidates are dealt into buckets of about ``CHUNK`` rows and packed into postings lists
 (term -> row numbers and weights); queries are packed into blocks. Each (query block, bucket)
 pair meets in one task: every query term scatters ``query weight x posting weight`` into a dense
-array of scores, a partition selection keeps the best ``k`` of the bucket, and a window merges the
-buckets. Nothing is pruned, so the result is exact.
+array of scores (terms that a quarter of the bucket's rows hold do so together, in one product of
+their query weights and laid out postings), a partition selection keeps the best ``k`` of the bucket,
+and a window merges the buckets. Nothing is pruned, so the result is exact.
 
 Defined results: rows without an id or a usable vector take no part; an id that repeats counts
 once (the smallest vector stands); a query never finds its own id; ties go to the smaller id; fewer
@@ -65,16 +66,35 @@ def _postings(r: dict) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarr
     return ids, {int(v): (rows[a:b], weights[a:b]) for v, a, b in zip(values, starts, ends)}
 
 
-def _accumulate(queries, n_queries: int, postings, n_rows: int) -> np.ndarray:
-    scores = np.zeros((n_queries, n_rows), np.int64)
-    for term, (qi, qw) in queries.items():
-        if term not in postings:
-            continue
-        idx, w = postings[term]
-        if len(idx) == n_rows:
-            scores[qi] += np.multiply.outer(qw, w)
-        else:
-            scores[np.ix_(qi, idx)] += np.multiply.outer(qw, w)
+def _frequent(postings, n_rows: int) -> tuple[list[int], np.ndarray]:
+    """The terms that at least a quarter of the rows hold, and their weights laid out as term x row."""
+    terms = [t for t, (idx, _) in postings.items() if 4 * len(idx) >= n_rows]
+    dense = np.zeros((len(terms), n_rows), np.int64)
+    for row, t in zip(dense, terms):
+        row[postings[t][0]] = postings[t][1]
+    return terms, dense
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b of whole numbers: in doubles where no sum can leave their exact range, else in 64-bit integers."""
+    # an empty side has the product 0
+    reach = (np.abs(a).max(axis=0, initial=0).astype(float) * np.abs(b).max(axis=1, initial=0)).sum()
+    if reach < 2.0 ** 52:
+        return (a.astype(float) @ b.astype(float)).astype(np.int64)
+    return a @ b
+
+
+def _accumulate(queries, n_queries: int, postings, n_rows: int, frequent=None) -> np.ndarray:
+    """Scores of a block of queries: the frequent terms' postings in one product, every other term scattered by itself."""
+    terms, dense = frequent or _frequent(postings, n_rows)
+    by_term = np.zeros((n_queries, len(terms)), np.int64)
+    for j, term in enumerate(terms):
+        if term in queries:
+            by_term[queries[term][0], j] = queries[term][1]
+    scores = _product(by_term, dense)
+    for term in queries.keys() & (postings.keys() - set(terms)):
+        (qi, qw), (idx, w) = queries[term], postings[term]
+        scores[np.ix_(qi, idx)] += np.multiply.outer(qw, w)
     return scores
 
 
@@ -89,17 +109,30 @@ def _select(scores: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
     return pos[np.lexsort((pos, -scores[pos]))]
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int) -> list[np.ndarray]:
+    """:func:`_select` for every query of a block; a first cut leaves each only the entries that can be among its k best."""
+    at = np.minimum(np.searchsorted(ids, qids), len(ids) - 1)
+    own = ids[at] == qids
+    if len(ids) <= k + 1:
+        return [_select(s, ids != q, k) for s, q in zip(scores, qids)]
+    # with its own row a query may hold one of the k + 1 best places
+    cut = np.partition(scores, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
+    qi, pos = np.nonzero(scores >= cut[:, None])
+    near = np.split(pos, np.cumsum(np.bincount(qi, minlength=len(qids)))[:-1])
+    return [p[_select(s[p], p != a if o else np.ones(len(p), bool), k)] for p, s, a, o in zip(near, scores, at, own)]
+
+
 def _search(batches, k: int):
-    last, ids, postings = None, None, None
+    last, ids, postings, frequent = None, None, None, None
     for batch in batches:
         for r in batch.to_pylist():
             if r["bucket"] != last:
                 last, (ids, postings) = r["bucket"], _postings(r)
+                frequent = _frequent(postings, len(ids))
             qids, queries = _postings({x[2:]: r[x] for x in ("q_ids", "q_rows", "q_terms", "q_weights")})
-            scores = _accumulate(queries, len(qids), postings, len(ids))
+            scores = _accumulate(queries, len(qids), postings, len(ids), frequent)
             q_out, v_out, s_out = [], [], []
-            for i, q in enumerate(qids):
-                best = _select(scores[i], ids != q, k)
+            for i, (q, best) in enumerate(zip(qids, _best(scores, ids, qids, k))):
                 q_out.append(np.full(len(best), q))
                 v_out.append(ids[best])
                 s_out.append(scores[i][best])

@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from surveyspark.llm import ann_forest, topk_search
@@ -49,6 +52,56 @@ def test_topk_of_few_and_none(ready):
     assert topk_search.topk_of_table(one.limit(0), "vec_id", "embedding").count() == 0
 
 
+def packed(x, ids):
+    pairs = [np.flatnonzero(r).astype(np.int32) for r in x]
+    return topk_search._pack(pa.table({
+        "bucket": pa.array([0] * len(x), pa.int64()), "vec_id": pa.array(ids, pa.int64()), "terms": pa.array(pairs, pa.list_(pa.int32())),
+        "weights": pa.array([r[p] for r, p in zip(x, pairs)], pa.list_(pa.int64()))})).to_pylist()[0]
+
+
+@pytest.mark.parametrize("size", [200, 1 << 38])        # the second leaves the whole numbers that doubles hold exactly
+def test_frequent_and_rare_terms_together(size):
+    rng = np.random.default_rng(7)
+    x = rng.integers(-size, size, (300, 40))
+    x[:, 20:][rng.random((300, 20)) < 0.9] = 0          # rare terms
+    x[:, :20][rng.random((300, 20)) < 0.05] = 0         # frequent terms that some rows lack
+    x[100:150] = x[0]
+    ids = np.arange(300) * 7
+    block = packed(x[:90], ids[:90])
+    record = {**packed(x, ids), **{f"q_{c}": block[c] for c in ("ids", "rows", "terms", "weights")}}
+    got = next(topk_search._search([pa.RecordBatch.from_pylist([record])], 5)).to_pydict()
+    scores = (x @ x.T).tolist()
+    want = expect({int(q): s for q, s in zip(ids[:90], scores)}, ids.tolist(), ids[:90].tolist(), 5)
+    assert list(zip(got["vec_id"], got["score"])) == [pair for q in ids[:90].tolist() for pair in want[q]]
+    assert got["query_id"] == np.repeat(ids[:90], 5).tolist()
+
+
+def test_a_term_that_few_rows_lack_costs_no_scatter():
+    """Components that floor to 0 here and there leave almost full postings; scattering each of them took most of the time."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-200, 200, (4096, 64))
+    x[rng.random(x.shape) < 0.01] = 0
+    _, rows = topk_search._postings(packed(x, np.arange(4096)))
+    queries = topk_search._postings(packed(x[:256], np.arange(256)))[1]
+
+    def scattered():
+        scores = np.zeros((256, 4096), np.int64)
+        for t, (qi, qw) in queries.items():
+            scores[np.ix_(qi, rows[t][0])] += np.multiply.outer(qw, rows[t][1])
+        return scores
+
+    def seconds(work):
+        took = []
+        for _ in range(3):
+            t = time.perf_counter()
+            found = work()
+            took.append(time.perf_counter() - t)
+        assert (found == x[:256] @ x.T).all()
+        return min(took)
+
+    assert 3 * seconds(lambda: topk_search._accumulate(queries, 256, rows, 4096)) < seconds(scattered)
+
+
 def test_forest_is_exact_when_all_leaves_are_searched(ready, monkeypatch):
     monkeypatch.setattr(ann_forest, "BLOCK", 32)
     df, x = vectors(ready, 600)
