@@ -43,3 +43,55 @@ def test_score_series_with_late_events(spark, tmp_path):
     got = sorted((r.s, str(r.at), r.n, r.alerts, round(r.mean_score, 6)) for r in spark.read.parquet(sink).collect())
     assert got == [("a", "2024-01-01 10:00:00", 1, 1, 0.5), ("a", "2024-01-01 10:10:00", 2, 2, 0.7), ("a", "2024-01-01 10:30:00", 3, 2, 0.5),
                    ("a", "2024-01-03 10:00:00", 1, 1, 0.7), ("b", "2024-01-01 10:20:00", 1, 0, 0.2)]
+
+
+def test_events_that_come_together_are_one_state_value():
+    """A state value, a timer and a row of output for each event took most of the time; silence starts a new series."""
+    import datetime
+    from types import SimpleNamespace
+
+    import pandas as pd
+    import pyarrow as pa
+
+    from surveyspark.streaming import evolution as E
+
+    class Value:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, v):
+            self.kept = v
+
+        def clear(self):
+            self.kept = None
+
+    class Listed(Value):
+        def get(self):
+            return iter(self.kept or [])
+
+        def put(self, v):
+            self.kept = v
+
+        def appendList(self, v):
+            self.kept = [*(self.kept or []), *v]
+
+    timers, totals, waiting = [], Value(), Listed()
+    proc = E.SessionEvolution("s", idle_ms=1000)
+    proc.init(SimpleNamespace(getValueState=lambda *_: totals, getListState=lambda *_: waiting, registerTimer=timers.append))
+    at = [5_000_000, 1_000_000, 1_500_000, 9_000_000, 1_500_000]
+    batch = pa.RecordBatch.from_pydict({"s": ["a"] * 5, "_ts": [datetime.datetime(2024, 1, 1)] * 5, "at": pa.array(at, pa.int64()),
+                                        "tie": pa.array([1, 2, 9, 4, 3], pa.int64()), "alert": pa.array([1, 1, 0, 1, 1], pa.int32()),
+                                        "score": [0.5, 0.25, 0.75, 1.0, 0.5]})
+    packed = pa.Table.from_batches(E._packed([batch])).to_pandas()
+    assert not list(proc.handleInputRows(("a",), iter([packed]), None))
+    assert len(waiting.kept) == 1 and timers == [1001]
+    found = pd.concat(proc.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 6000), None))
+    assert len(found) == 1 and timers[1:] == [9001, 6001]
+    rows = pa.Table.from_batches(E._unpacked(pa.Table.from_pandas(found, preserve_index=False).to_batches())).to_pylist()
+    assert [(r["n"], r["at"], r["alert"], r["alerts"], r["mean_score"]) for r in rows] == [
+        (1, 1_000_000, 1, 1, 0.25), (2, 1_500_000, 1, 2, 0.375), (3, 1_500_000, 0, 2, 0.5), (1, 5_000_000, 1, 1, 0.5)]
+    assert totals.kept == (1, 1, 0.5, 5_000_000) and len(waiting.kept) == 1
+    with pytest.raises(ValueError):
+        list(E._packed([batch.set_column(3, "tie", pa.array([None] * 5, pa.int64()))]))
