@@ -23,6 +23,20 @@ def test_a_global_rank_shuffles_whole_rows_once(spark):
     assert (got["r"].sort_index() == want.sort_index()).all()
 
 
+def test_folds_do_not_shuffle_the_hash(spark):
+    """Whole rows travel without what can be computed where they arrive: 32 digits of hash a row hardly compress."""
+    df = spark.range(3000).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 7).alias("x"))
+    folds = SP.stratified_kfold(df, "y", "id", 5, seed=5)
+    plan = _plan(folds)
+    assert plan.count("Exchange hashpartitioning") == 1
+    below = plan[plan.index("Exchange hashpartitioning"):]
+    assert below.count("md5(") == 1 and "substring(md5(" in below        # the bucket, not the hash
+    got = folds.toPandas().sort_values("id")
+    h = df.withColumn("h", SP.seeded_hash(5, F.concat_ws("|", F.col("id").cast("string")))).toPandas().sort_values("h")
+    want = (h.groupby("y").cumcount() % 5).sort_index()
+    assert (got["fold"].to_numpy() == want.to_numpy()).all()
+
+
 def test_a_sample_ranks_only_the_rows_it_keeps(spark):
     df = spark.range(5000).select("id", (F.col("id") % 3).alias("g"))
     got = SP.sample_n(df, 20, 7, "id", by=["g"])
