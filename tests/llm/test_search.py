@@ -102,6 +102,27 @@ def test_a_term_that_few_rows_lack_costs_no_scatter():
     assert 3 * seconds(lambda: topk_search._accumulate(queries, 256, rows, 4096)) < seconds(scattered)
 
 
+def test_topk_joins_and_broadcasts_nothing(ready):
+    """Blocks of queries were joined with whole buckets; at 600,000 vectors their broadcast table took more than the driver has."""
+    df, _ = vectors(ready)
+    plan = topk_search.topk_of_table(df, "vec_id", "embedding")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
+
+
+def test_records_are_bounded_and_lose_no_row():
+    rows = [(g, q, 100 * g + 10 * q + i) for g in (0, 2) for q in (False, True) for i in range(7)]
+    table = pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "is_query": [r[1] for r in rows], "vec_id": pa.array([r[2] for r in rows], pa.int64()),
+                      "terms": pa.array([[0]] * len(rows), pa.list_(pa.int32())), "weights": pa.array([[1]] * len(rows), pa.list_(pa.int64()))})
+    got = []
+    for batch in topk_search._records(table.to_batches(max_chunksize=5), 3, 4):
+        (r,) = batch.to_pylist()
+        side = "q_" if r["ids"] is None else ""
+        ids = np.frombuffer(r[f"{side}ids"], np.int64)
+        assert len(ids) <= (4 if side else 3)
+        got += [(r["bucket"], bool(side), i) for i in ids.tolist()]
+    assert got == rows
+
+
 def test_forest_is_exact_when_all_leaves_are_searched(ready, monkeypatch):
     monkeypatch.setattr(ann_forest, "BLOCK", 32)
     df, x = vectors(ready, 600)
