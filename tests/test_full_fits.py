@@ -56,3 +56,7 @@ def test_the_six_models_compete_in_full(spark, monkeypatch, query, step):
     models = next(a for a in caught(spark, monkeypatch, query, M, step) if isinstance(a, dict))
     assert models["random_forest"].getNumTrees() == 300
     assert [models[m].getMaxIter() for m in ("boosted_a", "boosted_b", "boosted_c", "perceptron")] == [250, 250, 300, 1000]
+
+
+def test_the_search_draws_from_the_whole_space(spark, monkeypatch):
+    assert caught(spark, monkeypatch, "tun01_random_search", q_model, "_searched")[3] == M.BOOSTED_SPACE
